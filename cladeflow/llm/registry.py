@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from . import embedding_dedup, exact_topk, warc
 from .bpe_codec import op10_bpe
+from .near_dedup import op8_near_dedup
 from .packing import op6_packing
 from .token_counts import op3_token_counts
 
-QUERIES = {"op3_token_counts": op3_token_counts, "op6_packing": op6_packing, "op10_bpe": op10_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op3_token_counts": op3_token_counts,
+    "op5_exact_topk": exact_topk.op5_exact_topk,
+    "op6_packing": op6_packing,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
+    "op8_near_dedup": op8_near_dedup,
+    "op10_bpe": op10_bpe,
+}
+ORACLES = {"op1_warc": warc.ORACLE, "op5_exact_topk": exact_topk.ORACLE, "op7_embedding_dedup": embedding_dedup.ORACLE}
