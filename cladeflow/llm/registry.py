@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_topk, warc
+from . import embedding_dedup, exact_topk, pii, warc
 from .bpe_codec import op10_bpe
 from .near_dedup import op8_near_dedup
 from .packing import op6_packing
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_near_dedup": op8_near_dedup,
+    "op9_pii": pii.op9_pii,
     "op10_bpe": op10_bpe,
 }
 ORACLES = {"op1_warc": warc.ORACLE, "op5_exact_topk": exact_topk.ORACLE, "op7_embedding_dedup": embedding_dedup.ORACLE}
