@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,6 +30,24 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for what is run inside: whole texts and vectors of 10,000 rows weigh too much at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+@functools.lru_cache(maxsize=1)
+def per_worker(make, *args):
+    """What a Python worker keeps from task to task: one object, memos and all, until another is asked for."""
+    return make(*args)
+
+
 class Generations(dict):
     """A bounded memo: two generations of at most ``limit`` entries, the older one dropped whole.
 
@@ -104,3 +124,34 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     roots = pairs.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+
+
+def may_hold(rows: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """``rows`` with a boolean ``may``: false only for rows whose ``column`` is in no row of ``ids`` (one column ``id``).
+
+    A bitmap of hashed ids, of at most ``bits`` bits whatever the input, is broadcast; so wide rows that surely don't
+    join need not be shuffled.  Where the bitmap fills up, ``may`` is true for more rows; results stay the same.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = ids.where("id is not null").select(slot(F.col("id").cast("long")).alias("slot"))
+    pages = at.groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
+    own = rows.withColumn("slot_", slot(F.col(column).cast("long"))).withColumn("page_", F.bitmap_bucket_number("slot_")).withColumn("bit_", F.bitmap_bit_position("slot_"))
+    marked = own.join(F.broadcast(pages), F.col("page_") == F.col("page"), "left")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.expr("shiftright(b_, cast(bit_ % 8 as int)) & 1")
+    tested = marked.withColumn("b_", byte).withColumn("may", F.coalesce((set_ == 1) & F.col(column).isNotNull(), F.lit(False)))
+    return tested.drop("slot_", "page_", "bit_", "page", "bitmap", "b_")
+
+
+def only(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is among ``ids`` (column ``id``, distinct); only likely rows are shuffled."""
+    likely = may_hold(rows, column, ids).where("may").drop("may")
+    return likely.join(ids.select(F.col("id").alias("id_")), likely[column].cast("long") == F.col("id_"), "left_semi")
+
+
+def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is not among ``ids``; nulls stay.  Rows that surely stay are not shuffled."""
+    marked = may_hold(rows, column, ids)
+    likely = marked.where("may").drop("may")
+    stay = likely.join(ids.select(F.col("id").alias("id_")), likely[column].cast("long") == F.col("id_"), "left_anti")
+    return marked.where("not may").drop("may").unionByName(stay)
