@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_topk, pii, warc
+from . import embedding_dedup, exact_topk, pii, quality, secrets, warc
 from .bpe_codec import op10_bpe
 from .near_dedup import op8_near_dedup
 from .packing import op6_packing
@@ -10,7 +10,9 @@ from .token_counts import op3_token_counts
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_quality": quality.op2_quality,
     "op3_token_counts": op3_token_counts,
+    "op4_secrets": secrets.op4_secrets,
     "op5_exact_topk": exact_topk.op5_exact_topk,
     "op6_packing": op6_packing,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
