@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .closure import closure, labels_of
-from .common import Generations, components, write_table
+from .common import Generations, arrow_batches, components, per_worker, write_table
 
 ROWS, BANDS, BASE, RATE, MARGIN = 6, 24, 1.2, 20.0, 0.1
 M = ROWS * BANDS
@@ -138,7 +138,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
     """Per row: set size, set key (equal for equal sets), sketch, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, factors = Shingler(words), _odd(ROWS, "band")
+        shingle, factors = per_worker(Shingler, words), _odd(ROWS, "band")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -157,7 +157,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle = per_worker(Shingler, words)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -168,6 +168,11 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` per row; see the module."""
+    with arrow_batches(docs.sparkSession, 1000):
+        return _near_duplicates(docs, words, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     marked = write_table(features(texts, words), "sketches")
     full = marked.where("id is not null and set_key is not null")
