@@ -52,11 +52,12 @@ class Bpe:
         #: id -> the bytes it stands for; special tokens stand for their own string.
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in self.vocab.items() if not self.suffix and all(c in back for c in s)}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(len(s.removesuffix(self.suffix)) for s in self.vocab)
+        self.sizes = {i: len(s) - len(self.suffix) if self.suffix and s.endswith(self.suffix) else len(s) for s, i in self.vocab.items()}
+        self.longest = max(self.sizes[i] for s, i in self.vocab.items() if s not in self.special)
         self.fits: dict[int, bool] = {}
         self.limit = limit
         self.words = Generations(self._merge_word, limit)
-        self.counts = Generations(lambda w: self.prefix_counts(w)[-1], limit)
+        self.counts = Generations(self.word_count, limit)
 
     # --- pre-tokenising -------------------------------------------------------------------------------------------
     def pretokens(self, text: str) -> list[str | int]:
@@ -65,7 +66,7 @@ class Bpe:
         if plain:
             words = [w for w in plain.groups() if w]
             if self.normal:
-                words = ["".join(c.lower() for c in w.strip(" ")) for w in words]
+                words = [w.lower().lstrip(" ") for w in words]  # Latin-1 letters: each stands for itself when lowered
             return [w if w.isascii() and w[0] != " " else w.encode().decode("latin-1").translate(self.as_letters) for w in words]
         out: list[str | int] = []
         for part in self.apart.split(text) if self.apart else [text]:
@@ -84,28 +85,39 @@ class Bpe:
     def merge(self, ids: list[int]) -> list[int]:
         """Merge by rank, then from the left.
 
-        ``ids`` with ``after`` and ``before`` is a doubly linked list; the heap holds rank * n + place.  An entry is
+        ``ids`` with ``after`` and ``before`` is a doubly linked list; a heap entry is a rank above a place.  An entry is
         stale if the pair that now starts at its place no longer has its rank; such entries are skipped.
         """
         n = len(ids)
         if n < 2:
             return ids
-        get, after, before = self.pairs.get, list(range(1, n + 1)), list(range(-1, n))
-        heap = [hit[0] * n + i for i in range(n - 1) if (hit := get(ids[i] << 24 | ids[i + 1]))]
+        get, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        heap = [hit[0] << bits | i for i, hit in enumerate([get(a << 24 | b) for a, b in zip(ids, ids[1:])]) if hit]  # noqa: B905
+        if not heap:
+            return ids
         heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
         while heap:
-            rank, i = divmod(heapq.heappop(heap), n)
-            j = after[i]
-            if ids[i] < 0 or j >= n or not (hit := get(ids[i] << 24 | ids[j])) or hit[0] != rank:
+            entry = pop(heap)
+            i = entry & low
+            j, a = after[i], ids[i]
+            if j == n or a < 0:
+                continue
+            hit = get(a << 24 | ids[j])
+            if not hit or hit[0] != entry >> bits:
                 continue
-            ids[i], ids[j] = hit[1], -1
+            ids[i] = made = hit[1]
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if new := get(hit[1] << 24 | ids[k]):
-                    heapq.heappush(heap, new[0] * n + i)
-            if (h := before[i]) >= 0 and (new := get(ids[h] << 24 | hit[1])):
-                heapq.heappush(heap, new[0] * n + h)
+                if new := get(made << 24 | ids[k]):
+                    push(heap, new[0] << bits | i)
+            h = before[i]
+            if h >= 0 and (new := get(ids[h] << 24 | made)):
+                push(heap, new[0] << bits | h)
         return [x for x in ids if x >= 0]
 
     def _merge_word(self, word: str) -> list[int]:
@@ -121,66 +133,64 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     # --- operator 3: prefix dynamic programming ---------------------------------------------------------------------
-    def together(self, a: int, b: int, joined: list[int]) -> bool:
-        """Does merging the letters of tokens a and b give just a, b?  Then b may follow a in any encoding."""
-        key = a << 24 | b
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 4 * self.limit:
-                self.fits.clear()
-            known = self.fits[key] = self.merge(joined) == [a, b]
-        return known
-
-    def prefix_counts(self, word: str) -> list[int]:
-        """Token counts of every prefix of one pre-token, by length in byte letters (entry 0 is the empty prefix).
+    def inner_table(self, word: str, upto: int) -> tuple[list[int], list[int]]:
+        """Of each prefix with no end-of-word suffix, by length in byte letters: last token and token count.
 
         An encoding is valid if each token merges to itself and neighbours stay apart, and just one is valid.  So the
         last token of a prefix is the one token that ends there and stays apart from the last token of the prefix in
-        front of it: one table look-up a letter and length, no encoding anew.  ``inner`` are tokens with no
-        end-of-word suffix (to go on from), the result counts the prefix as a text of its own.
+        front of it: one table look-up a letter and length, no encoding anew.
         """
-        vocab, suffix, n = self.vocab, self.suffix, len(word)
-        letter = [vocab[c] for c in word]
-        final = [vocab[c + suffix] for c in word] if suffix else letter
-        last, count, out = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for start in range(max(0, i - self.longest), i):
-                piece = word[start:i]
-                if not suffix or not last[i] >= 0:
-                    t = vocab.get(piece)
-                    if t is not None and self._joins(last[start], t, word, start, i, letter, letter):
-                        last[i], count[i] = t, count[start] + 1
-                        if not suffix:
-                            break
-                if suffix and not out[i]:
-                    t = vocab.get(piece + suffix)
-                    if t is not None and self._joins(last[start], t, word, start, i, letter, final):
-                        out[i] = count[start] + 1
-                if last[i] >= 0 and out[i]:
+        get, known, longest = self.vocab.get, self.fits, self.longest
+        last, count = [-1] * (upto + 1), [0] * (upto + 1)
+        for i in range(1, upto + 1):
+            for start in range(i - longest if i > longest else 0, i):
+                t = get(word[start:i])
+                if t is None:
+                    continue
+                ok = known.get(last[start] << 24 | t) if start else known.get(-t - 1)
+                if ok or ok is None and self._learn(last[start] if start else -1, t, word, start, i, ""):
+                    last[i], count[i] = t, count[start] + 1
                     break
-        return out if suffix else count
+        return last, count
 
-    def _joins(self, a: int, t: int, word: str, start: int, end: int, letter: list[int], final: list[int]) -> bool:
-        own = letter[start : end - 1] + [final[end - 1]]
+    def _final(self, word: str, i: int, last: list[int], count: list[int]) -> int:
+        """The token count of the prefix of length i as a text of its own: its last token carries the suffix."""
+        for start in range(max(0, i - self.longest), i):
+            t = self.vocab.get(word[start:i] + self.suffix)
+            if t is None:
+                continue
+            ok = self.fits.get(last[start] << 24 | t) if start else self.fits.get(-t - 1)
+            if ok or ok is None and self._learn(last[start] if start else -1, t, word, start, i, self.suffix):
+                return count[start] + 1
+        raise ValueError(f"the vocabulary lacks letters of {word!r}")
+
+    def _learn(self, a: int, t: int, word: str, start: int, end: int, suffix: str) -> bool:
+        """Does token t merge to itself, and stay apart from token a in front of it?"""
+        if len(self.fits) > 4 * self.limit:
+            self.fits.clear()
+        vocab = self.vocab
+        own = [vocab[c] for c in word[start : end - 1]] + [vocab[word[end - 1] + suffix]]
         if a < 0:
-            return start == 0 and self._itself(t, own)
-        size = self._size(a)
-        return self._itself(t, own) and self.together(a, t, letter[start - size : start] + own)
+            ok = self.fits[-t - 1] = self.merge(own) == [t]
+        else:
+            front = [vocab[c] for c in word[start - self.sizes[a] : start]]
+            ok = self.fits[a << 24 | t] = self.merge(front + own) == [a, t]
+        return ok
 
-    def _itself(self, t: int, own: list[int]) -> bool:
-        known = self.fits.get(-t - 1)
-        if known is None:
-            known = self.fits[-t - 1] = self.merge(list(own)) == [t]
-        return known
+    def prefix_counts(self, word: str) -> list[int]:
+        """Token counts of every prefix of one pre-token as a text of its own, by length in byte letters (0: none)."""
+        last, count = self.inner_table(word, len(word))
+        return [0] + [self._final(word, i, last, count) for i in range(1, len(word) + 1)] if self.suffix else count
 
-    def _size(self, t: int) -> int:
-        if not hasattr(self, "sizes"):
-            self.sizes = {i: len(s.removesuffix(self.suffix) if self.suffix and len(s) > len(self.suffix) else s) for s, i in self.vocab.items()}
-        return self.sizes[t]
+    def word_count(self, word: str) -> int:
+        """The last entry of ``prefix_counts``."""
+        n = len(word)
+        last, count = self.inner_table(word, n - 1 if self.suffix else n)
+        return self._final(word, n, last, count) if self.suffix else count[n]
 
     def count(self, chunk: str) -> int:
         """Tokens of a chunk by the prefix tables."""
-        return sum(1 if isinstance(w, int) else self.counts[w] if len(w) < 100 else self.prefix_counts(w)[-1] for w in self.pretokens(chunk))
+        return sum(1 if isinstance(w, int) else self.counts[w] if len(w) < 100 else self.word_count(w) for w in self.pretokens(chunk))
 
     def trim(self) -> None:
         self.words.trim()

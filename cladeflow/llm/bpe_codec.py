@@ -13,17 +13,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Bpe, space_chunks
-from .common import Generations
+from .common import Generations, per_worker
 
 
 def _chunks_of(bpe: Bpe):
     def entry(chunk: bytes) -> tuple[bytes, bytes, int]:
         ids = bpe.encode(chunk.decode("utf-8", "replace"))
-        return ",".join(map(str, ids)).encode(), bpe.decode(ids), len(ids)
+        text = bpe.decode(ids)
+        return ",".join(map(str, ids)).encode(), chunk if text == chunk else text, len(ids)
 
     return Generations(entry, bpe.limit)
 
 
+def _digest_memo(vocab_path: str, memo: int):
+    bpe = Bpe(vocab_path, memo)
+    return bpe, _chunks_of(bpe)
+
+
 def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 300_000) -> DataFrame:
     """``(id, ids array<int>)``, as the library encodes without added special tokens."""
 
@@ -53,12 +59,11 @@ def decode(rows: DataFrame, vocab_path: str, id_col: str = "doc_id") -> DataFram
     return rows.select(F.col(id_col).cast("long").alias("id"), "ids").mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
-def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 300_000) -> DataFrame:
+def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 500_000) -> DataFrame:
     """Encode and decode in one pass, keeping only digests of both: ``(id, n_tokens, ids_sha256, decoded_sha256)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(vocab_path, memo)
-        known = _chunks_of(bpe)
+        bpe, known = per_worker(_digest_memo, vocab_path, memo)
         for batch in batches:
             n_tokens, of_ids, of_text = [], [], []
             for data in batch.column(1).to_pylist():
