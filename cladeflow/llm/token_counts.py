@@ -6,17 +6,19 @@ not read.  A text is worked on as a whole, in memory in proportion to it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Bpe
+from .common import Generations, per_worker
 
 SCHEMA = "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
 
 
-def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", memo: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", memo: int = 600_000) -> DataFrame:
     """Per row: bytes, tokens, whether tokens exceed ``limit``, and ``fit_chars``: the longest prefix, in code points,
     that has at most ``limit`` tokens (a prefix counts as a text of its own).
 
@@ -25,8 +27,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(vocab_path, memo)
-        memo_of = Chunks(bpe)
+        bpe, memo_of = per_worker(_memo, vocab_path, memo)
         for batch in batches:
             rows = []
             for data in batch.column(1).to_pylist():
@@ -41,17 +42,18 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA).withColumnRenamed("id", id_col)
 
 
-def Chunks(bpe: Bpe):  # noqa: N802
-    from .common import Generations
+def _memo(vocab_path: str, memo: int) -> tuple[Bpe, Generations]:
+    bpe = Bpe(vocab_path, memo)
+    return bpe, chunk_counts(bpe)
 
+
+def chunk_counts(bpe: Bpe) -> Generations:
     return Generations(lambda chunk: bpe.count(chunk.decode("utf-8", "replace")), bpe.limit)
 
 
 def prefix_table(bpe: Bpe, text: str) -> list[int]:
     """Token counts of all prefixes of a text, by length in code points."""
     out, done, data = [0], 0, text
-    import re
-
     for m in re.finditer(r"[\t-\r ]+|[^\t-\r ]+", data):
         piece = m.group()
         if piece[0] in "\t\n\v\f\r ":
