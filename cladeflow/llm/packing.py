@@ -17,40 +17,129 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Generations, write_table
+from .common import per_worker, write_table
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut_pieces(docs: DataFrame, vocab_path: str, size: int, end_id: int, id_col: str, text_col: str, memo: int = 300_000) -> DataFrame:
-    """Pieces of every document, in one pass.  Chunks between white space are encoded by the library once and remembered."""
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=-@\[-`{-~"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+
+def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The runs ``flat[starts[i] : starts[i] + lens[i]]`` for each i of ``index``, one after the other."""
+    own = lens[index]
+    begin = np.cumsum(own) - own
+    return flat[np.arange(own.sum()) + np.repeat(starts[index] - begin, own)]
+
+
+class WordEncoder:
+    """The library's ids of many texts at once, for a vocabulary that drops white space and marks word ends.
+
+    Texts are cut at ASCII white space, over which no token reaches; each distinct chunk of a batch is encoded once.  A
+    chunk of Latin letters and then marks is two pre-tokens.  Distinct words go to the library many in one call and are
+    parted at ids that end a word; if these don't come out as many as the words, and for all other chunks, one by one.
+    """
+
+    def __init__(self, vocab_path: str):
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(vocab_path)
-        library.no_truncation()
-        library.no_padding()
-        raw = lambda ids: np.array(ids, "<u4").tobytes()
-        known = Generations(lambda c: raw(library.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids), memo)
-        end = raw([end_id])
+        self.library = Tokenizer.from_file(vocab_path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+
+    def single(self, chunks: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def words(self, words: list[str], step: int = 20_000) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for lo in range(0, len(words), step):
+            some = words[lo : lo + step]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            out += np.split(ids, ends[:-1]) if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)) else self.single(some)
+        return out
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (strings, no nulls) as little-endian bytes."""
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        kinds, code = coded.dictionary, coded.indices.to_numpy()
+        plain = pc.match_substring_regex(kinds, f"^[{LETTERS}]*[{MARKS}]*$")
+        word = pc.utf8_lower(pc.replace_substring_regex(kinds, f"[{MARKS}]*$", ""))
+        mark = pc.replace_substring_regex(kinds, f"^[{LETTERS}]*", "")
+        empty = pa.scalar("")
+        word, mark = (pc.if_else(plain, x, empty).dictionary_encode() for x in (word, mark))
+        other = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        # runs of ids: words, then marks, then other chunks, then the empty run
+        names = word.dictionary.to_pylist()
+        full = [i for i, w in enumerate(names) if w]
+        nothing = np.empty(0, "<u4")
+        runs = [nothing] * len(names)
+        for i, ids in zip(full, self.words([names[i] for i in full]), strict=True):
+            runs[i] = ids
+        runs += self.single(mark.dictionary.to_pylist()) + self.single(kinds.take(pa.array(other)).to_pylist()) + [nothing]
+        lens = np.fromiter(map(len, runs), np.int64, len(runs))
+        flat = np.concatenate(runs)
+        starts = np.cumsum(lens) - lens
+        parts = np.empty((len(kinds), 2), np.int64)
+        parts[:, 0] = word.indices.to_numpy()
+        parts[:, 1] = mark.indices.to_numpy() + len(names)
+        parts[other, 0] = len(names) + len(mark.dictionary) + np.arange(len(other))
+        parts[other, 1] = len(runs) - 1
+        flat = gather(flat, starts, lens, parts.ravel())
+        lens = lens[parts].sum(1)
+        starts = np.cumsum(lens) - lens
+        ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        for lo in range(0, len(texts), 1024):
+            hi = min(lo + 1024, len(texts))
+            own = code[ends[lo] : ends[hi]]
+            raw = gather(flat, starts, lens, own).astype("<u4", copy=False).tobytes()
+            upto = np.r_[0, np.cumsum(lens[own])][ends[lo : hi + 1] - ends[lo]].tolist()
+            for i, j in zip(upto[:-1], upto[1:], strict=True):
+                yield raw[4 * i : 4 * j]
+
+
+def slices(texts: pa.Array, most: int = 10 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch with about ``most`` bytes of text each."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi
+        lo = hi
+
+
+def cut_pieces(docs: DataFrame, vocab_path: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """Pieces of every document, in one pass, with the library's ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = per_worker(WordEncoder, vocab_path)
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(known.__getitem__, (data or b"").split())) + end
-                known.trim()
-                n = len(ids) // 4
-                for start in range(0, n, size):
-                    piece = ids[4 * start : 4 * (start + size)]
-                    for col, x in zip(cols, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
-                        col.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, PIECES)
+            for lo, hi in slices(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                cols: list[list] = [[], [], [], [], []]
+                texts = pc.fill_null(part.column(1), "").cast(pa.string())
+                for doc, ids in zip(part.column(0).to_pylist(), encoder(texts), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    for start in range(0, n, size):
+                        piece = ids[4 * start : 4 * (start + size)]
+                        for col, x in zip(cols, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                            col.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
