@@ -32,6 +32,8 @@ QUANTILE, MARGIN, LEAST = 0.995, 0.1, 200
 #: One in this many trusted texts is held out, for thresholds.
 HELD_OUT = 5
 FLUSH = 4_000_000
+#: Texts in a parcel, parcels in an Arrow batch; n-grams in a row of answers.
+PARCEL, ANSWERS = 128, 16_384
 
 
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +158,10 @@ def answers(asked: DataFrame, p: DataFrame) -> DataFrame:
             order = np.argsort(split, kind="stable")
             split, key, bits = split[order], key[order], bits[order]
             cuts = np.flatnonzero(np.r_[True, split[1:] != split[:-1], True])
-            parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            parts = [(k, min(k + ANSWERS, j)) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for k in range(i, j, ANSWERS)]
             none = [None] * len(parts)
             return pa.RecordBatch.from_arrays(
-                [pa.array(split[cuts[:-1]]), pa.array([0] * len(parts), pa.int32()), pa.array([key[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([bits[i:j].tobytes() for i, j in parts], pa.binary()), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.string())), pa.array(none, pa.list_(pa.int32()))],
+                [pa.array(split[[i for i, _ in parts]]), pa.array([0] * len(parts), pa.int32()), pa.array([key[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([bits[i:j].tobytes() for i, j in parts], pa.binary()), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.string())), pa.array(none, pa.list_(pa.int32()))],
                 names=["split", "kind", "a", "b", "ids", "langs", "sizes"],
             )
 
@@ -176,15 +178,15 @@ def answers(asked: DataFrame, p: DataFrame) -> DataFrame:
 
 
 def parcels(texts: DataFrame) -> DataFrame:
-    """A split's texts in compressed rows of up to 512."""
+    """A split's texts in compressed rows of up to ``PARCEL``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, PARCEL):
+                part = batch.slice(lo, PARCEL)
                 split = part.column(0).to_numpy()
                 for s in np.unique(split).tolist():
                     own = part.filter(pa.array(split == s))
@@ -270,8 +272,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     texts = plain.withColumn("split", split_id())
     asked = write_table(asked_ngrams(texts), "asked")
     p = probabilities(train, asked)
-    with arrow_batches(docs.sparkSession, 4):
-        found = write_table(scored(parcels(texts).unionByName(answers(asked, p))), "scores")
+    replies = write_table(answers(asked, p), "answers")
+    with arrow_batches(docs.sparkSession, PARCEL):
+        found = write_table(scored(parcels(texts).unionByName(replies)), "scores")
     return found.select("id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
 
 
