@@ -17,7 +17,9 @@ SPACE = "\t-\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: A space that follows other white space: cutting in front of it could split a run.
 MIXED = re.compile(rb"(?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80) ")
-PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Letters that stay together, then a run of ASCII marks, which is a pre-token of its own.  No apostrophe (contractions),
+#: no '<' (special tokens).
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
 
 def byte_letters() -> list[str]:

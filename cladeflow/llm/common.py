@@ -126,32 +126,38 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
+#: Columns of this prefix are the library's own; inputs don't have them.
+MAY, ID = "_cladeflow_may", "_cladeflow_id"
+
+
 def may_hold(rows: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """``rows`` with a boolean ``may``: false only for rows whose ``column`` is in no row of ``ids`` (one column ``id``).
+    """``rows`` with a boolean ``MAY``: false only for rows whose ``column`` is in no row of ``ids`` (one column ``id``).
 
     A bitmap of hashed ids, of at most ``bits`` bits whatever the input, is broadcast; so wide rows that surely don't
-    join need not be shuffled.  Where the bitmap fills up, ``may`` is true for more rows; results stay the same.
+    join need not be shuffled.  Where the bitmap fills up, ``MAY`` is true for more rows; results stay the same.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    own = {n: f"_cladeflow_{n}" for n in ("slot", "page", "bit", "byte", "key", "bitmap")}
     at = ids.where("id is not null").select(slot(F.col("id").cast("long")).alias("slot"))
-    pages = at.groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap"))
-    own = rows.withColumn("slot_", slot(F.col(column).cast("long"))).withColumn("page_", F.bitmap_bucket_number("slot_")).withColumn("bit_", F.bitmap_bit_position("slot_"))
-    marked = own.join(F.broadcast(pages), F.col("page_") == F.col("page"), "left")
-    byte = F.conv(F.hex(F.substring("bitmap", (F.col("bit_") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    set_ = F.expr("shiftright(b_, cast(bit_ % 8 as int)) & 1")
-    tested = marked.withColumn("b_", byte).withColumn("may", F.coalesce((set_ == 1) & F.col(column).isNotNull(), F.lit(False)))
-    return tested.drop("slot_", "page_", "bit_", "page", "bitmap", "b_")
+    pages = at.groupBy(F.bitmap_bucket_number("slot").alias(own["key"])).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(own["bitmap"]))
+    placed = rows.withColumn(own["slot"], slot(F.col(column).cast("long")))
+    placed = placed.withColumn(own["page"], F.bitmap_bucket_number(own["slot"])).withColumn(own["bit"], F.bitmap_bit_position(own["slot"]))
+    marked = placed.join(F.broadcast(pages), F.col(own["page"]) == F.col(own["key"]), "left")
+    byte = F.conv(F.hex(F.substring(F.col(own["bitmap"]), (F.col(own["bit"]) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.expr(f"shiftright({own['byte']}, cast({own['bit']} % 8 as int)) & 1")
+    tested = marked.withColumn(own["byte"], byte).withColumn(MAY, F.coalesce((bit == 1) & F.col(column).isNotNull(), F.lit(False)))
+    return tested.drop(*own.values())
 
 
 def only(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows whose ``column`` is among ``ids`` (column ``id``, distinct); only likely rows are shuffled."""
-    likely = may_hold(rows, column, ids).where("may").drop("may")
-    return likely.join(ids.select(F.col("id").alias("id_")), likely[column].cast("long") == F.col("id_"), "left_semi")
+    likely = may_hold(rows, column, ids).where(MAY).drop(MAY)
+    return likely.join(ids.select(F.col("id").alias(ID)), likely[column].cast("long") == F.col(ID), "left_semi")
 
 
 def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows whose ``column`` is not among ``ids``; nulls stay.  Rows that surely stay are not shuffled."""
     marked = may_hold(rows, column, ids)
-    likely = marked.where("may").drop("may")
-    stay = likely.join(ids.select(F.col("id").alias("id_")), likely[column].cast("long") == F.col("id_"), "left_anti")
-    return marked.where("not may").drop("may").unionByName(stay)
+    likely = marked.where(MAY).drop(MAY)
+    stay = likely.join(ids.select(F.col("id").alias(ID)), likely[column].cast("long") == F.col(ID), "left_anti")
+    return marked.where(f"not {MAY}").drop(MAY).unionByName(stay)

@@ -141,8 +141,8 @@ def _default_trees(app: str) -> list:
     return trees_of(train(SparkSession.active(), labelled_findings()))
 
 
-def scan(docs: DataFrame, text_col: str = "text", trees: list | None = None, least: float = 0.5) -> DataFrame:
-    """``docs`` with ``findings``: array of (start, end, text, score, secret), in order."""
+def scan(docs: DataFrame, text_col: str = "text", trees: list | None = None, least: float = 0.5, out: str = "findings") -> DataFrame:
+    """``docs`` with ``findings`` (``out``): array of (start, end, text, score, secret), in order."""
     trees = trees or _default_trees(docs.sparkSession.sparkContext.applicationId)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -154,15 +154,15 @@ def scan(docs: DataFrame, text_col: str = "text", trees: list | None = None, lea
         p = score(trees, [F.element_at(m["x"], i + 1) for i in range(len(FEATURES))])
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.round(p, 4).alias("score"), (p >= least).alias("secret"))
 
-    found = docs.withColumn("measured_", F.transform(located(text, CANDIDATE), measured))
-    return found.withColumn("findings", F.transform("measured_", judged)).drop("measured_")
+    found = docs.withColumn("_cladeflow_measured", F.transform(located(text, CANDIDATE), measured))
+    return found.withColumn(out, F.transform("_cladeflow_measured", judged)).drop("_cladeflow_measured")
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **how) -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; other columns as they are."""
     columns = docs.columns
-    found = scan(docs, text_col, **how)
-    secrets = F.filter("findings", lambda f: f["secret"])
+    found = scan(docs, text_col, out="_cladeflow_findings", **how)
+    secrets = F.filter("_cladeflow_findings", lambda f: f["secret"])
     text = F.col(text_col)
 
     def step(acc: Column, f: Column) -> Column:
