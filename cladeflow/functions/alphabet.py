@@ -86,9 +86,8 @@ def codon_table() -> dict[str, str]:
 def translated(dna: Column) -> Column:
     """Codons to residues; unknown ones X, '---' a gap; an incomplete last codon is left out."""
     table = F.create_map(*[F.lit(x) for kv in (codon_table() | {"---": "-"}).items() for x in kv])
-    n = F.floor(F.length(dna) / 3).cast("int")
-    codons = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.element_at(table, F.substring(dna, i * 3 + 1, F.lit(3))), F.lit("X")))
-    return F.when(n > 0, F.array_join(codons, "")).otherwise(F.lit(""))
+    codons = F.transform(F.regexp_extract_all(dna, F.lit("..."), F.lit(0)), lambda c: F.coalesce(F.element_at(table, c), F.lit("X")))
+    return F.array_join(codons, "")
 
 
 def back_translated_positions(start: Column, n: Column) -> Column:

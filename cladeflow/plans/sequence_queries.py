@@ -63,7 +63,7 @@ def reversals(spark, sf):
 _CODONS = ", ".join(f"('{k}', '{v}')" for k, v in alphabet.codon_table().items())
 
 
-@query(f"WITH {PEPTIDES}, d AS (SELECT rid, translate(regexp_replace(seq, '[^ACGT]', '', 'g'), '', '') AS dna FROM reads), c AS (SELECT rid, i, substr(dna, CAST(i * 3 + 1 AS BIGINT), 3) AS codon FROM (SELECT rid, dna, unnest(range(0, length(dna) // 3)) AS i FROM d)), t(codon, aa) AS (VALUES {_CODONS}) SELECT d.rid, md5(coalesce(string_agg(coalesce(aa, 'X'), '' ORDER BY i), '')) AS protein FROM d LEFT JOIN c ON c.rid = d.rid LEFT JOIN t ON t.codon = c.codon GROUP BY d.rid")
+@query(f"WITH {PEPTIDES}, d AS (SELECT rid, translate(regexp_replace(seq, '[^ACGT]', '', 'g'), '', '') AS dna FROM reads), c AS (SELECT rid, i, substr(dna, CAST(i * 3 + 1 AS BIGINT), 3) AS codon FROM (SELECT rid, dna, unnest(range(0, length(dna) // 3)) AS i FROM d)), t(codon, aa) AS (VALUES {_CODONS}) SELECT d.rid, md5(coalesce(string_agg(CASE WHEN c.i IS NOT NULL THEN coalesce(aa, 'X') END, '' ORDER BY c.i), '')) AS protein FROM d LEFT JOIN c ON c.rid = d.rid LEFT JOIN t ON t.codon = c.codon GROUP BY d.rid")
 def codon_translation(spark, sf):
     dna = F.regexp_replace("seq", "[^ACGT]", "")
     return peptides(spark, sf).select("rid", F.md5(alphabet.translated(dna)).alias("protein"))
@@ -151,15 +151,15 @@ def contained_reads(spark, sf):
     return kmers.contained(peptides(spark, sf), 24)
 
 
-_OVERLAPS = f"{PEPTIDES}, {sql_kmers(20)}, tails AS (SELECT rid AS a, seq AS aseq, right(seq, 20) AS kmer FROM reads WHERE length(seq) >= 20), found AS (SELECT a, k.rid AS b, pos + 19 AS n, aseq, seq FROM tails JOIN kmers k USING (kmer) JOIN reads r ON r.rid = k.rid WHERE a <> k.rid), overlaps AS (SELECT a, b, max(n) AS length FROM found WHERE right(aseq, n) = left(seq, n) AND n < length(seq) AND n < length(aseq) GROUP BY a, b)"
+_OVERLAPS = f"{PEPTIDES}, {sql_kmers(20)}, tails AS (SELECT rid AS a, seq AS aseq, right(seq, 20) AS kmer FROM reads WHERE length(seq) >= 20), found AS (SELECT a, k.rid AS b, pos + 19 AS n, aseq, seq FROM tails JOIN kmers k USING (kmer) JOIN reads r ON r.rid = k.rid WHERE a <> k.rid), ov AS (SELECT a, b, max(n) AS length FROM found WHERE right(aseq, n) = left(seq, n) AND n < length(seq) AND n < length(aseq) GROUP BY a, b)"
 
 
-@query(f"WITH {_OVERLAPS} SELECT a, b, CAST(length AS BIGINT) AS length FROM overlaps")
+@query(f"WITH {_OVERLAPS} SELECT a, b, CAST(length AS BIGINT) AS length FROM ov")
 def read_overlaps(spark, sf):
     return kmers.overlaps(peptides(spark, sf), 20)
 
 
-@query(f"WITH {_OVERLAPS} SELECT a, b, CAST(length AS BIGINT) AS length FROM overlaps o WHERE NOT EXISTS (SELECT 1 FROM overlaps x JOIN overlaps y ON x.b = y.a WHERE x.a = o.a AND y.b = o.b)")
+@query(f"WITH {_OVERLAPS} SELECT a, b, CAST(length AS BIGINT) AS length FROM ov o WHERE NOT EXISTS (SELECT 1 FROM ov x JOIN ov y ON x.b = y.a WHERE x.a = o.a AND y.b = o.b)")
 def irreducible_overlaps(spark, sf):
     return kmers.irreducible(kmers.overlaps(peptides(spark, sf), 20))
 
