@@ -46,11 +46,9 @@ def e_step(cells: DataFrame, mixing: DataFrame) -> DataFrame:
     return joint.withColumn("r", F.col("q") / F.sum("q").over(Window.partitionBy("pattern")))
 
 
-def m_step(posterior: DataFrame) -> DataFrame:
-    """New mixing weights."""
-    sums = posterior.groupBy("genome").agg(F.sum(F.col("r") * F.col("weight")).alias("s"))
-    total = sums.agg(F.sum("s").alias("n"))
-    return sums.join(F.broadcast(total), F.lit(True)).select("genome", (F.col("s") / F.col("n")).alias("pi"))
+def m_step(posterior: DataFrame, reads: float) -> DataFrame:
+    """New mixing weights; posteriors sum to the number of reads."""
+    return posterior.groupBy("genome").agg((F.sum(F.col("r") * F.col("weight")) / reads).alias("pi"))
 
 
 def uniform(cells: DataFrame) -> DataFrame:
@@ -61,16 +59,18 @@ def uniform(cells: DataFrame) -> DataFrame:
 
 def column_sums(cells: DataFrame) -> DataFrame:
     """Start weights by summed hits."""
-    return m_step(cells.withColumn("r", F.col("a")))
+    sums = cells.groupBy("genome").agg(F.sum(F.col("a") * F.col("weight")).alias("s"))
+    return sums.join(F.broadcast(sums.agg(F.sum("s").alias("n"))), F.lit(True)).select("genome", (F.col("s") / F.col("n")).alias("pi"))
 
 
 def expectation_maximisation(hits: DataFrame, rounds: int = 10000, tolerance: float = 1e-6, start=uniform, every: int = 5) -> DataFrame:
     """Mixing weights ``(genome, pi)`` after ``rounds`` rounds, or when their mean absolute change is below ``tolerance``
     (0: never).  Lineage is cut by ``checkpoint()`` where the session has a checkpoint folder."""
     cells = patterns(hits).cache()
+    reads = float(cells.select("pattern", "weight").distinct().agg(F.sum("weight")).first()[0] or 0)
     mixing = start(cells)
     for i in range(1, rounds + 1):
-        new = m_step(e_step(cells, mixing))
+        new = m_step(e_step(cells, mixing), reads)
         if i % every == 0:
             new = cut(new)
         if tolerance and i > 1 and i % every == 0:

@@ -16,9 +16,18 @@ def reads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("rid"), alphabet.normalised(F.col(text_col)).alias("seq"))
 
 
+#: Residues of a block: a k-mer's cost is a walk inside its block, not from the start of its sequence.
+BLOCK = 128
+
+
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
-    """``(rid, pos, kmer)``, positions from 1."""
-    return seqs.select("rid", F.posexplode(alphabet.kmer_array(F.col("seq"), k)).alias("p", "kmer")).select("rid", (F.col("p") + 1).cast("long").alias("pos"), "kmer")
+    """``(rid, pos, kmer)``, positions from 1.  Sequences are cut into blocks that overlap by k - 1, so that long ones cost
+    in proportion to their length and a row never holds all k-mers of a sequence."""
+    n = F.length("seq") - k + 1
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.substring(F.col("seq"), b * BLOCK + 1, F.lit(BLOCK + k - 1)))
+    cut = seqs.where(n > 0).select("rid", F.posexplode(blocks).alias("b", "block"))
+    each = cut.select("rid", "b", F.posexplode(alphabet.kmer_array(F.col("block"), k)).alias("p", "kmer"))
+    return each.select("rid", (F.col("b") * BLOCK + F.col("p") + 1).cast("long").alias("pos"), "kmer")
 
 
 def spectrum(seqs: DataFrame, k: int) -> DataFrame:
@@ -162,7 +171,8 @@ def profile_distance(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
 
 def minimizer(seqs: DataFrame, k: int) -> DataFrame:
     """``(rid, minimizer)``: the smallest k-mer of each sequence; null where it is shorter."""
-    return seqs.select("rid", F.array_min(alphabet.kmer_array(F.col("seq"), k)).alias("minimizer"))
+    low = kmers(seqs, k).groupBy("rid").agg(F.min("kmer").alias("minimizer"))
+    return seqs.select("rid").join(low, "rid", "left")
 
 
 def bloom_bits(seqs: DataFrame, k: int, primes: tuple[int, ...] = (251, 241, 239, 233, 229, 227, 223, 211)) -> DataFrame:

@@ -78,26 +78,24 @@ def tips_removed(edges: DataFrame, longest: int) -> DataFrame:
 def unitigs(edges: DataFrame) -> DataFrame:
     """Unbranched paths of a k-mer graph as sequences: ``(seq, n_edges)``.
 
-    An edge goes on in the next if the vertex between them has one way in and one way out.  Pointers to the last edge of
-    a path are doubled each round, so a path of m edges takes log2(m) joins.  Closed circles have no first edge and are
-    left out.
+    An edge goes on in the next if the vertex between them has one way in and one way out.  Pointers towards the last edge
+    of a path are doubled each round, so a path of m edges takes log2(m) joins; rounds end when no more edges have
+    arrived.  Closed circles have no last edge, never arrive, and are left out.
     """
-    deg = degrees(edges)
-    through = deg.where("n_in = 1 and n_out = 1").select("v")
-    e = edges.select("src", "dst")
-    # next: the edge after this one on its path
-    nxt = e.join(through, F.col("dst") == F.col("v"), "left_semi").alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("a.dst").alias("dst"), F.col("b.src").alias("nsrc"), F.col("b.dst").alias("ndst"))
-    table = e.join(nxt, ["src", "dst"], "left").select("src", "dst", F.coalesce("nsrc", "src").alias("lsrc"), F.coalesce("ndst", "dst").alias("ldst"), F.when(F.col("nsrc").isNull(), 0).otherwise(1).cast("long").alias("hops"))
+    through = degrees(edges).where("n_in = 1 and n_out = 1").select("v")
+    e = cut(edges.select("src", "dst", F.xxhash64("src", "dst").alias("id")))
+    step = e.join(through, F.col("dst") == F.col("v"), "left_semi").select("id", F.col("dst").alias("src")).join(e.select("src", F.col("id").alias("next")), "src")
+    table = e.select("id").join(step.select("id", "next"), "id", "left").select("id", F.coalesce("next", "id").alias("far"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("next").isNull().alias("there"))
 
     def jump(t: DataFrame) -> DataFrame:
-        far = t.select(F.col("src").alias("lsrc"), F.col("dst").alias("ldst"), F.col("lsrc").alias("fsrc"), F.col("ldst").alias("fdst"), F.col("hops").alias("more"))
-        return t.join(far, ["lsrc", "ldst"]).select("src", "dst", F.col("fsrc").alias("lsrc"), F.col("fdst").alias("ldst"), F.least(F.col("hops") + F.col("more"), F.lit(1 << 40)).alias("hops"))
+        ahead = t.select(F.col("id").alias("far"), F.col("far").alias("beyond"), F.col("hops").alias("more"), F.col("there").alias("over"))
+        return t.join(ahead, "far").select("id", F.col("beyond").alias("far"), F.try_add("hops", "more").alias("hops"), F.col("over").alias("there"))
 
-    done = until_stable(table, jump, lambda t: tuple(t.agg(F.bit_xor(F.xxhash64("src", "dst", "lsrc", "ldst")), F.count(F.lit(1))).first()), 40)
+    done = until_stable(table, jump, lambda t: tuple(t.agg(F.count_if("there")).first()), 60)
     # a path is known by its last edge; order along it by hops still to go
-    ends = done.select("src", "dst", "lsrc", "ldst", "hops")
+    ends = done.where("there").join(e, "id").select("far", "src", "dst", "hops")
     rows = F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), "src", F.right("dst", F.lit(1)).alias("last"))))
-    paths = ends.groupBy("lsrc", "ldst").agg(rows.alias("p"))
+    paths = ends.groupBy("far").agg(rows.alias("p"))
     return paths.select(F.concat(F.col("p")[0]["src"], F.array_join(F.transform("p", lambda x: x["last"]), "")).alias("seq"), F.size("p").cast("long").alias("n_edges"))
 
 
