@@ -72,13 +72,13 @@ lengths AS (SELECT genome, CAST(sum(length) AS BIGINT) AS length FROM contigs GR
 def community(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
     where = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("n_name").alias("sample"), F.col("r_name").alias("cohort"))
-    lines = t("lineitem").where("l_shipdate < '1995-01-01'").select("l_suppkey", "l_partkey", "l_quantity")
+    lines = t("lineitem").where("l_quantity >= 50").select("l_suppkey", "l_partkey", "l_quantity")
     return lines.join(t("part").select("p_partkey", F.col("p_brand").alias("taxon")), F.col("l_partkey") == F.col("p_partkey")).join(where, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("cohort", "sample", "taxon").agg(F.sum("l_quantity").alias("value"))
 
 
 COMMUNITY = """community AS (SELECT r_name AS cohort, n_name AS sample, p_brand AS taxon, sum(l_quantity) AS value
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE l_shipdate < TIMESTAMP '1995-01-01' GROUP BY ALL)"""
+WHERE l_quantity >= 50 GROUP BY ALL)"""
 
 
 # vertices are suppliers; a pair that meets in orders much more (or less) often than the mean pair is an edge
@@ -92,12 +92,12 @@ def meetings(spark: SparkSession, sf: str, by: str | None = None) -> DataFrame:
 def network(spark: SparkSession, sf: str) -> DataFrame:
     m = meetings(spark, sf)
     mean = m.agg(F.avg("n").alias("mean"))
-    return m.join(F.broadcast(mean), F.lit(True)).where("n >= 1.4 * mean or n <= 0.5 * mean").select("source", "target", (F.col("n") - F.col("mean")).alias("weight"))
+    return m.join(F.broadcast(mean), F.lit(True)).where("n >= 1.25 * mean or n <= 0.6 * mean").select("source", "target", (F.col("n") - F.col("mean")).alias("weight"))
 
 
 MEETINGS = """lines AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
 meetings AS (SELECT x.l_suppkey AS source, y.l_suppkey AS target, count(*) AS n FROM lines x JOIN lines y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey GROUP BY ALL),
-edges AS (SELECT source, target, n - mean AS weight FROM meetings, (SELECT avg(n) AS mean FROM meetings) WHERE n >= 1.4 * mean OR n <= 0.5 * mean)"""
+edges AS (SELECT source, target, n - mean AS weight FROM meetings, (SELECT avg(n) AS mean FROM meetings) WHERE n >= 1.25 * mean OR n <= 0.6 * mean)"""
 BOTH = "ends AS (SELECT source AS v, target AS u, weight FROM edges UNION ALL SELECT target, source, weight FROM edges)"
 
 

@@ -146,7 +146,7 @@ def recruit_table(spark, sf):
     return com.recruit_table(table(spark, sf, "lineitem"), "l_suppkey", "l_returnflag", ["A", "N", "R"])
 
 
-@query("SELECT c_nationkey, c_mktsegment, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey), 6) AS percent FROM customer GROUP BY ALL")
+@query("WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) SELECT c_nationkey, c_mktsegment, n, round(100.0 * n / sum(n) OVER (PARTITION BY c_nationkey), 6) AS percent FROM c")
 def row_percentages(spark, sf):
     return com.percentages(table(spark, sf, "customer"), "c_nationkey", "c_mktsegment").withColumn("percent", F.round("percent", 6))
 
@@ -181,7 +181,8 @@ def principal_components(spark, sf):
 @query()
 def principal_coordinates(spark, sf):
     found = com.pcoa(com.bray_curtis(community(spark, sf)))
-    return spark.createDataFrame(found.rename_axis("sample").reset_index())
+    rows = [(str(k), *map(float, v)) for k, v in zip(found.index, found.to_numpy(), strict=True)]
+    return spark.createDataFrame(rows, "sample string" + "".join(f", {c} double" for c in found.columns))
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------------------
@@ -199,7 +200,7 @@ _COUNTS = "counts AS (SELECT e, l_suppkey AS gene, count(*) FILTER (l_returnflag
 
 
 def _counts(spark, sf):
-    lines = table(spark, sf, "lineitem").withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(10), F.lit(2))).cast("long"))
+    lines = table(spark, sf, "lineitem").withColumn("e", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long"), F.lit(2).cast("long"))))
     real, hit = F.col("l_returnflag") == "R", F.col("l_discount") * 100 <= F.col("e")
     return lines.groupBy("e", F.col("l_suppkey").alias("gene")).agg(F.count_if(real).alias("truth"), F.count_if(real & hit).alias("tp"), F.count_if(hit).alias("predicted"))
 
@@ -308,7 +309,7 @@ def network_edge_shares(spark, sf):
     return net.edge_shares(networks(spark, sf)).select("network", "edges", r6(F.col("unique"), "unique"), r6(F.col("shared"), "shared"))
 
 
-@query(f"WITH {NETWORKS} SELECT a.network AS a, b.network AS b, round(count(*) / (SELECT count(*) FROM edges e WHERE e.network = a.network), 6) AS share FROM edges a JOIN edges b USING (source, target) GROUP BY ALL")
+@query(f"WITH {NETWORKS}, t AS (SELECT network, count(*) AS n FROM edges GROUP BY network), p AS (SELECT a.network AS a, b.network AS b, count(*) AS k FROM edges a JOIN edges b USING (source, target) GROUP BY 1, 2) SELECT a, b, round(k / n, 6) AS share FROM p JOIN t ON t.network = a")
 def pairwise_shared_edges(spark, sf):
     return net.shared_edges(networks(spark, sf)).withColumn("share", F.round("share", 6))
 
@@ -341,7 +342,7 @@ def network_components(spark, sf):
     return net.components(network(spark, sf))
 
 
-_DIST = "dist AS (WITH RECURSIVE walk(a, b, d) AS (SELECT v, u, 1 FROM ends UNION SELECT w.a, e.u, w.d + 1 FROM walk w JOIN ends e ON e.v = w.b WHERE w.d < 6 AND e.u <> w.a) SELECT a, b, min(d) AS d FROM walk GROUP BY ALL)"
+_DIST = "dist AS (WITH RECURSIVE walk(a, b, d) AS (SELECT v, u, 1 FROM ends UNION SELECT w.a, e.u, w.d + 1 FROM walk w JOIN ends e ON e.v = w.b WHERE w.d < 14 AND e.u <> w.a) SELECT a, b, min(d) AS d FROM walk GROUP BY ALL)"
 
 
 @query(f"WITH {MEETINGS}, {BOTH}, {_DIST} SELECT a AS v, round(sum(1.0 / d), 6) AS harmonic FROM dist GROUP BY a")
