@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Bpe, space_chunks
-from .common import Generations, per_worker
+from .common import Generations, per_worker, released
 
 
 def _chunks_of(bpe: Bpe):
@@ -44,7 +44,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
             bpe.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(lambda batches: released(run(batches)), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(rows: DataFrame, vocab_path: str, id_col: str = "doc_id") -> DataFrame:
@@ -56,7 +56,7 @@ def decode(rows: DataFrame, vocab_path: str, id_col: str = "doc_id") -> DataFram
             texts = [bpe.decode(ids or []).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), "ids").mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.select(F.col(id_col).cast("long").alias("id"), "ids").mapInArrow(lambda batches: released(run(batches)), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 500_000) -> DataFrame:
@@ -75,7 +75,7 @@ def digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
             bpe.trim()
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(lambda batches: released(run(batches)), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op10_bpe(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import whole_groups, write_table
+from .common import released, whole_groups, write_table
 
 #: Finds components of one group: payloads, sizes -> label of each row (the row number of its component's first row).
 Labeler = Callable[[list[bytes], np.ndarray], np.ndarray]
@@ -64,7 +64,7 @@ def closure(members: DataFrame, labeler: Labeler, block: int = 1024) -> DataFram
     schema = "group long, id long, root long, tied boolean"
 
     def deal(df: DataFrame) -> DataFrame:
-        return df.select(*cols).repartition("task").sortWithinPartitions("task", "id").mapInPandas(_run(labeler), schema)
+        return df.select(*cols).repartition("task").sortWithinPartitions("task", "id").mapInPandas(lambda batches: released(_run(labeler)(batches)), schema)
 
     small = deal(members.where(F.col("n") <= block).withColumn("task", F.col("group")))
     links = small.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))

@@ -48,6 +48,21 @@ def per_worker(make, *args):
     return make(*args)
 
 
+def released(rows: Iterable) -> Iterator:
+    """``rows``, and then what the allocators of a Python worker hold unused goes back to the system: workers live on
+    from stage to stage, and what one stage needed would add up with the next one's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    yield from rows
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Generations(dict):
     """A bounded memo: two generations of at most ``limit`` entries, the older one dropped whole.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .closure import closure, labels_of
-from .common import components, whole_groups, write_table
+from .common import components, released, whole_groups, write_table
 
 BITS, TABLES, BLOCK = 18, 28, 1024
 
@@ -61,7 +61,7 @@ def vectors(rows: DataFrame) -> DataFrame:
                 tables.append([int.from_bytes(hashlib.blake2b(f"{label}|{len(x)}|{t}|{s}".encode(), digest_size=8).digest(), "little", signed=True) for t, s in enumerate(signs.tolist())])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(units, pa.binary()), pa.array(tables, pa.list_(pa.int64()))], names=["id", "vec_key", "unit", "buckets"])
 
-    return rows.mapInArrow(run, "id long, vec_key binary, unit binary, buckets array<long>")
+    return rows.mapInArrow(lambda batches: released(run(batches)), "id long, vec_key binary, unit binary, buckets array<long>")
 
 
 def cosine_labeler(least: float):
@@ -96,7 +96,7 @@ def link_counts(members: DataFrame, least: float, block: int) -> DataFrame:
                 counts[lo:hi] = near @ w
             yield pd.DataFrame({"id": pdf["id"].to_numpy(), "n": counts})
 
-    return dealt.repartition("task").sortWithinPartitions("task", "id").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
+    return dealt.repartition("task").sortWithinPartitions("task", "id").mapInPandas(lambda batches: released(run(batches)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
 def near_vectors(rows: DataFrame, least: float = 0.98, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import write_table
+from .common import released, write_table
 
 #: Queries of one scan: what is broadcast is at most QUERIES vectors.
 CELL, QUERIES, K = 2, 8192, 5
@@ -51,7 +51,7 @@ def approximation_file(rows: DataFrame, scale: float, id_col: str, vec_col: str)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(cells, pa.binary()), pa.array(exact, pa.binary())], names=["id", "dim", "cells", "exact"])
 
     plain = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    return write_table(plain.mapInArrow(run, "id long, dim int, cells binary, exact binary"), "cells")
+    return write_table(plain.mapInArrow(lambda batches: released(run(batches)), "id long, dim int, cells binary, exact binary"), "cells")
 
 
 class Chunk:
@@ -93,7 +93,7 @@ def search_chunk(table: DataFrame, chunk: Chunk, k: int, block: int = 4096) -> D
         q, r = np.nonzero(np.isfinite(best)) if best.size else (np.empty(0, int), np.empty(0, int))
         yield pa.RecordBatch.from_arrays([pa.array(c.ids[q]), pa.array(best[q, r])], names=["query_id", "low"])
 
-    lows = same.select("id", "cells").mapInArrow(floors, "query_id long, low double")
+    lows = same.select("id", "cells").mapInArrow(lambda batches: released(floors(batches)), "query_id long, low double")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("low"))
     # at most one number a query of the chunk
     floor = {r[0]: r[1] for r in lows.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") == k).select("query_id", "low").collect()}
@@ -124,7 +124,7 @@ def search_chunk(table: DataFrame, chunk: Chunk, k: int, block: int = 4096) -> D
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
 
-    return same.select("id", "cells", "exact").mapInArrow(exact, RESULT)
+    return same.select("id", "cells", "exact").mapInArrow(lambda batches: released(exact(batches)), RESULT)
 
 
 def exact_top_k(rows: DataFrame, is_query, k: int = K, scale: float = 256.0, id_col: str = "vec_id", vec_col: str = "embedding", queries: int = QUERIES) -> DataFrame:

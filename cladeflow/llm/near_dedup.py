@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .closure import closure, labels_of
-from .common import Generations, arrow_batches, components, per_worker, write_table
+from .common import Generations, arrow_batches, components, per_worker, released, write_table
 
 ROWS, BANDS, BASE, RATE, MARGIN = 6, 24, 1.2, 20.0, 0.1
 M = ROWS * BANDS
@@ -152,7 +152,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                         keys[i], regs[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), found[k].tobytes(), key[k]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "n_shingles", "set_key", "sketch", "bands"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
+    return docs.mapInArrow(lambda batches: released(run(batches)), "id long, n_shingles long, set_key binary, sketch binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -163,7 +163,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(lo, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle(x).tobytes() for x in part.column(2).to_pylist()], pa.binary())], names=["id", "group", "payload"])
 
-    return docs.select("id", "group", "text").mapInArrow(run, "id long, group long, payload binary")
+    return docs.select("id", "group", "text").mapInArrow(lambda batches: released(run(batches)), "id long, group long, payload binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,3 +200,21 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, id_col: str, tex
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CAST(c.component_id AS BIGINT) AS component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.a = d.doc_id
+"""

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import per_worker, write_table
+from .common import per_worker, released, write_table
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -139,7 +139,7 @@ def cut_pieces(docs: DataFrame, vocab_path: str, size: int, end_id: int, id_col:
                             col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda batches: released(run(batches)), PIECES)
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -222,7 +222,7 @@ def pack(docs: DataFrame, vocab_path: str, size: int = 2048, end_id: int = 1, id
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequences, pa.int64()), pa.array(at, pa.int64())], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     flat = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).cast("long").alias("rank"))
-    return flat.mapInArrow(run, f"{PIECES}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return flat.mapInArrow(lambda batches: released(run(batches)), f"{PIECES}, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -25,13 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_batches, only, without, write_table
+from .common import arrow_batches, only, released, without, write_table
 
 ORDER = 5
 QUANTILE, MARGIN, LEAST = 0.995, 0.1, 200
 #: One in this many trusted texts is held out, for thresholds.
 HELD_OUT = 5
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 #: Texts in a parcel, parcels in an Arrow batch; n-grams in a row of answers.
 PARCEL, ANSWERS = 128, 16_384
 
@@ -74,9 +74,17 @@ class Tally:
         return found, total
 
 
-def slices(column: pa.Array, size: int = 512) -> Iterator[tuple[int, list[bytes]]]:
-    for lo in range(0, len(column), size):
-        yield lo, [x or b"" for x in column.slice(lo, size).to_pylist()]
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts in runs of about ``most`` bytes, with the row each run begins at."""
+    begin, held, size = 0, [], 0
+    for i in range(len(column)):
+        held.append(column[i].as_py() or b"")
+        size += len(held[-1])
+        if size >= most:
+            yield begin, held
+            begin, held, size = i + 1, [], 0
+    if held:
+        yield begin, held
 
 
 def count_ngrams(texts: DataFrame) -> DataFrame:
@@ -90,7 +98,7 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
         keys, n = tally.merge()
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "c"])
 
-    return texts.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(lambda batches: released(run(batches)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def asked_ngrams(texts: DataFrame) -> DataFrame:
@@ -108,7 +116,7 @@ def asked_ngrams(texts: DataFrame) -> DataFrame:
             keys = tally.merge()[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), s, np.int64)), pa.array(keys)], names=["split", "key"])
 
-    return texts.select("split", "text").mapInArrow(run, "split long, key long")
+    return texts.select("split", "text").mapInArrow(lambda batches: released(run(batches)), "split long, key long")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -174,7 +182,7 @@ def answers(asked: DataFrame, p: DataFrame) -> DataFrame:
         if n:
             yield rows()
 
-    return asked.join(p, "key").select("split", "key", -F.log2("p").alias("bits")).mapInArrow(run, ROW)
+    return asked.join(p, "key").select("split", "key", -F.log2("p").alias("bits")).mapInArrow(lambda batches: released(run(batches)), ROW)
 
 
 def parcels(texts: DataFrame) -> DataFrame:
@@ -196,7 +204,7 @@ def parcels(texts: DataFrame) -> DataFrame:
                         names=["split", "kind", "a", "b", "ids", "langs", "sizes"],
                     )
 
-    return texts.select("split", "id", "lang", "text").mapInArrow(run, ROW)
+    return texts.select("split", "id", "lang", "text").mapInArrow(lambda batches: released(run(batches)), ROW)
 
 
 class Table:
@@ -254,7 +262,7 @@ def scored(rows: DataFrame) -> DataFrame:
                     total[full] = np.add.reduceat(table(found).astype(np.float64), starts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(total)], names=["id", "lang", "n_bytes", "bits"])
 
-    return rows.repartition("split").sortWithinPartitions("split", "kind").mapInArrow(run, "id long, lang string, n_bytes long, bits double")
+    return rows.repartition("split").sortWithinPartitions("split", "kind").mapInArrow(lambda batches: released(run(batches)), "id long, lang string, n_bytes long, bits double")
 
 
 def split_id() -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Bpe
-from .common import Generations, per_worker
+from .common import Generations, per_worker, released
 
 SCHEMA = "id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
 
@@ -39,7 +39,7 @@ def token_counts(docs: DataFrame, vocab_path: str, limit: int = 2048, id_col: st
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.int64())], names=["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SCHEMA).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(lambda batches: released(run(batches)), SCHEMA).withColumnRenamed("id", id_col)
 
 
 def _memo(vocab_path: str, memo: int) -> tuple[Bpe, Generations]:

@@ -23,7 +23,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import write_table
+from .common import released, write_table
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string())]))
@@ -139,7 +139,7 @@ def write_archives(records: DataFrame, level: int = 3, archive_bytes: int = 4 <<
     def archive(part: int, n: int, data: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}.warc.gz"]), pa.array([data], pa.binary())], names=["archive", "data"])
 
-    return write_table(records.mapInArrow(run, "archive string, data binary"), "monolithic")
+    return write_table(records.mapInArrow(lambda batches: released(run(batches)), "archive string, data binary"), "monolithic")
 
 
 def normalise(archives: DataFrame, level: int = 3) -> DataFrame:
@@ -156,7 +156,7 @@ def normalise(archives: DataFrame, level: int = 3) -> DataFrame:
                     offset += len(one)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(members)], pa.binary()), pa.array([index], ENTRY)], names=["archive", "data", "index"])
 
-    return write_table(archives.select("archive", "data").mapInArrow(run, "archive string, data binary, index array<struct<offset:long,length:long,record_id:string>>"), "members")
+    return write_table(archives.select("archive", "data").mapInArrow(lambda batches: released(run(batches)), "archive string, data binary, index array<struct<offset:long,length:long,record_id:string>>"), "members")
 
 
 def sidecar(files: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def read_records(files: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length"])
 
-    return files.select("archive", "data", "index").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
+    return files.select("archive", "data", "index").mapInArrow(lambda batches: released(run(batches)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
 
 
 def export_files(files: DataFrame, folder: str) -> None:
