@@ -65,7 +65,7 @@ def column_sums(cells: DataFrame) -> DataFrame:
 
 def expectation_maximisation(hits: DataFrame, rounds: int = 10000, tolerance: float = 1e-6, start=uniform, every: int = 5) -> DataFrame:
     """Mixing weights ``(genome, pi)`` after ``rounds`` rounds, or when their mean absolute change is below ``tolerance``
-    (0: never).  Lineage is cut by ``checkpoint()`` where the session has a checkpoint folder."""
+    (0: never).  Lineage is cut by written tables."""
     cells = patterns(hits).cache()
     reads = float(cells.select("pattern", "weight").distinct().agg(F.sum("weight")).first()[0] or 0)
     mixing = start(cells)

@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+KEY = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; where it names none (one machine), one is made and set."""
+    named = spark.sparkContext.getConf().get(KEY) or spark.conf.get(KEY, None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="cladeflow-")
+        spark.conf.set(KEY, named)
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; where the session names none (one machine), one is made for the session."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cladeflow-"))
-    return df.checkpoint()
+    """``df`` as a written table in the shared folder: computed once, and there if an executor is lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], sign: Callable[[DataFrame], tuple], rounds: int = 60) -> DataFrame:
