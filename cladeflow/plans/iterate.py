@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 KEY = "spark.checkpoint.dir"
 
 
+@functools.lru_cache(maxsize=4)
+def own_folder(application: str) -> str:
+    """Where the session names no shared folder (one machine, tests)."""
+    return tempfile.mkdtemp(prefix="cladeflow-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; where it names none (one machine), one is made and set."""
-    named = spark.sparkContext.getConf().get(KEY) or spark.conf.get(KEY, None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="cladeflow-")
-        spark.conf.set(KEY, named)
-    return named.rstrip("/")
+    """The checkpoint folder that the session names."""
+    context = spark.sparkContext
+    named = context.getConf().get(KEY) or spark.conf.get(KEY, None)
+    return (named or own_folder(context.applicationId)).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
