@@ -200,3 +200,49 @@ def raw_cutoff(m: int, n: int, e: float, gap: tuple[int, int] = (11, 1)) -> int:
     lam, k = scoring.karlin("BLOSUM62", *gap)
     return int((math.log(k) + math.log(m) + math.log(n) - math.log(e)) / lam)
 
+
+
+def spelled_paths(edges: DataFrame, steps: int = 50, most: int = 1_000_000) -> DataFrame:
+    """``(path, seq)``: all strings from sources to sinks of a small acyclic k-mer graph ``(src, dst)``, at most ``steps``
+    edges long; more than ``most`` open paths raise."""
+    from ..plans.iterate import cut
+
+    roles = network.degrees(edges)
+    open_ = roles.where("n_in = 0").select(F.col("v").alias("at"), F.col("v").alias("seq"))
+    sinks = roles.where("n_out = 0").select(F.col("v").alias("at"))
+    done = None
+    for _ in range(steps):
+        ended = open_.join(sinks, "at", "left_semi").select("seq")
+        done = ended if done is None else done.union(ended)
+        open_ = cut(open_.join(edges.select(F.col("src").alias("at"), F.col("dst").alias("to")), "at").select(F.col("to").alias("at"), F.concat("seq", F.right("to", F.lit(1))).alias("seq")))
+        n = open_.count()
+        if n > most:
+            raise ValueError(f"{n} open paths")
+        if not n:
+            break
+    return done.union(open_.join(sinks, "at", "left_semi").select("seq")).distinct()
+
+
+def covering_paths(paths: DataFrame, reads: DataFrame) -> DataFrame:
+    """Of ``paths(seq)``, a greedy choice that covers all ``reads(rid, seq)`` that lie in some path: the path with the most
+    reads not yet covered, ties to the text.  The choice is made on (path, read) pairs of one component of a graph."""
+    pairs = paths.withColumnRenamed("seq", "path").join(reads, F.contains(F.col("path"), F.col("seq"))).select("path", "rid")
+    left = {}
+    for r in pairs.groupBy("path").agg(F.collect_set("rid").alias("rids")).limit(100_000).collect():
+        left[r["path"]] = set(r["rids"])
+    chosen = []
+    while any(left.values()):
+        best = min(left, key=lambda p: (-len(left[p]), p))
+        chosen.append((best,))
+        got = left[best]
+        left = {p: s - got for p, s in left.items()}
+    return paths.sparkSession.createDataFrame(chosen, "seq string")
+
+
+def best_seed_pairs(forward: DataFrame, backward: DataFrame) -> DataFrame:
+    """Forward and backward extensions ``(qid, seed, cid, score)`` of a seed paired rank by rank by score; what is left
+    over on one side stays alone."""
+    rank = F.row_number().over(Window.partitionBy("qid", "seed").orderBy(F.desc("score"), "cid"))
+    f = forward.withColumn("rank", rank).select("qid", "seed", "rank", F.col("cid").alias("fcid"), F.col("score").alias("fscore"))
+    b = backward.withColumn("rank", rank).select("qid", "seed", "rank", F.col("cid").alias("bcid"), F.col("score").alias("bscore"))
+    return f.join(b, ["qid", "seed", "rank"], "full_outer").drop("rank")

@@ -127,3 +127,22 @@ def contingency(items: DataFrame, group: str, flag: str) -> DataFrame:
     own = items.groupBy(group).agg(F.count_if(F.col(flag)).alias("k"), F.count(F.lit(1)).alias("n"))
     every = own.agg(F.sum("k").alias("all_k"), F.sum("n").alias("all_n"))
     return own.join(F.broadcast(every), F.lit(True))
+
+
+def recruited_reads(contigs: DataFrame, shortest: int = 60) -> DataFrame:
+    """One row: reads by the ``reads:`` tags of contigs ``(header, seq)`` of at least ``shortest`` residues."""
+    n = F.regexp_extract("header", r"reads:(\d+)", 1).try_cast("long")
+    return contigs.where(F.length("seq") >= shortest).agg(F.coalesce(F.sum(n), F.lit(0)).alias("reads"))
+
+
+def starts_before(rows: DataFrame, order: str, flag: str) -> DataFrame:
+    """``rows`` with ``before``: how many flagged rows stand in front of each, without a single-task sort."""
+    ranked = numbered(rows, [order], "rank")
+    flagged = numbered(ranked.where(flag).select("rank"), ["rank"], "nth").select("rank", "nth")
+    # a flagged row's number is known; others take that of the last flagged row in front, found in blocks of ranks
+    block = 1 << 16
+    joined = ranked.join(flagged, "rank", "left").withColumn("block", F.floor(F.col("rank") / block))
+    own = joined.groupBy("block").agg(F.count("nth").alias("k"))
+    ahead = own.withColumn("ahead", F.coalesce(F.sum("k").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "ahead")
+    inside = F.count("nth").over(Window.partitionBy("block").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    return joined.withColumn("in_", inside).join(F.broadcast(ahead), "block").withColumn("before", F.col("ahead") + F.col("in_")).drop("block", "nth", "in_", "ahead", "rank")

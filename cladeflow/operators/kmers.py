@@ -186,3 +186,93 @@ def pair_mates(reads_: DataFrame) -> DataFrame:
     """``(name, first, second)`` from headers that end in /1 and /2."""
     named = reads_.select("rid", F.regexp_replace("header", "/[12]$", "").alias("name"), F.regexp_extract("header", "/([12])$", 1).alias("mate"))
     return named.where("mate <> ''").groupBy("name").pivot("mate", ["1", "2"]).agg(F.min("rid")).toDF("name", "first", "second").where("first is not null and second is not null")
+
+
+def weighted_profile_distance(a: DataFrame, b: DataFrame, k: int, table=None) -> DataFrame:
+    """``profile_distance`` with each k-mer's squared difference weighted by its score against itself."""
+    table = table if table is not None else scoring.score_map(scoring.blosum62())
+    x = kmers(a, k).groupBy("rid", "kmer").agg(F.count(F.lit(1)).alias("x"))
+    y = kmers(b, k).groupBy("rid", "kmer").agg(F.count(F.lit(1)).alias("y"))
+    d = F.coalesce("x", F.lit(0)) - F.coalesce("y", F.lit(0))
+    weight = scoring.word_score(table, F.col("kmer"), F.col("kmer"))
+    return x.join(y, ["rid", "kmer"], "full_outer").groupBy("rid").agg(F.sum(d * d * weight).cast("long").alias("distance"))
+
+
+def bloom_common(bits: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(a, b, table, common)``: bits that sequences of ``left(rid)`` and ``right(rid)`` both set."""
+    x = bits.join(left.select("rid"), "rid", "left_semi").withColumnRenamed("rid", "a")
+    y = bits.join(right.select("rid"), "rid", "left_semi").withColumnRenamed("rid", "b")
+    return x.join(y, ["table", "bit"]).groupBy("a", "b", "table").agg(F.count(F.lit(1)).alias("common"))
+
+
+def subsampled(df: DataFrame, text: str, rules: list[tuple[str, float]], seed: int) -> DataFrame:
+    """Rows kept at the rate of the last rule (pattern, rate) that their text matches, all where none does; the draw is a
+    hash of the row, so it is the same each time."""
+    rate = F.lit(1.0)
+    for pattern, r in rules:
+        rate = F.when(F.col(text).rlike(pattern), F.lit(r)).otherwise(rate)
+    return df.where(F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) < rate)
+
+
+def boundary_pairs(seqs: DataFrame, k: int) -> DataFrame:
+    """``(a, b)``, both ways and distinct: first and last k-mer of each sequence."""
+    ends = seqs.where(F.length("seq") >= k).select(F.left("seq", F.lit(k)).alias("a"), F.right("seq", F.lit(k)).alias("b"))
+    return ends.union(ends.select("b", "a")).distinct()
+
+
+def kmer_closure(pairs: DataFrame, seeds: DataFrame, rate: float, rounds: int = 50) -> DataFrame:
+    """k-mers reached from ``seeds(kmer)`` over ``boundary_pairs``, until a round grows the set by less than ``rate``."""
+    from ..plans.iterate import cut
+
+    found = cut(seeds.select("kmer").distinct())
+    edge, size = found, found.count()
+    for _ in range(rounds):
+        edge = cut(edge.join(pairs, F.col("kmer") == F.col("a")).select(F.col("b").alias("kmer")).distinct().join(found, "kmer", "left_anti"))
+        new = edge.count()
+        if not new:
+            break
+        found, grown, size = cut(found.union(edge)), new / size, size + new
+        if grown < rate:
+            break
+    return found
+
+
+def top_seeds(counts: DataFrame, share: float) -> DataFrame:
+    """k-mers ``(kmer, n)`` whose count reaches the quantile 1 - share (by index, see ``evaluation``)."""
+    from .evaluation import index_quantiles
+
+    least = index_quantiles(counts, "n", [1 - share]).select(F.col("n").alias("least"))
+    return counts.join(F.broadcast(least), F.col("n") >= F.col("least")).select("kmer", "n")
+
+
+def distinct_seeds(seeds: DataFrame, slack: int = 0) -> DataFrame:
+    """Per query, seeds ``(qid, rid, qpos, pos, score)`` by score, dropping those on the diagonal (within ``slack``) of an
+    accepted one in the same read: per read and diagonal band, the best seed stays."""
+    band = F.floor((F.col("pos") - F.col("qpos")) / (slack + 1))
+    rank = F.row_number().over(Window.partitionBy("qid", "rid", band).orderBy(F.desc("score"), "qpos", "pos"))
+    return seeds.withColumn("rank", rank).where("rank = 1").drop("rank")
+
+
+def anchored_placements(reads_: DataFrame, paths: DataFrame, k: int, least: int, rate: float = 0.9) -> DataFrame:
+    """``(rid, pid, start, positive)``: the first diagonal (smallest start) with at least ``least`` shared k-mers at which
+    the share of positive residue pairs reaches ``rate``; for each read and path."""
+    table = scoring.score_map(scoring.blosum62())
+    hits = kmers(reads_, k).join(kmers(paths, k).select(F.col("rid").alias("pid"), F.col("pos").alias("at"), "kmer"), "kmer")
+    lines = hits.groupBy("rid", "pid", (F.col("at") - F.col("pos")).alias("start")).agg(F.count(F.lit(1)).alias("shared")).where((F.col("shared") >= least) & (F.col("start") >= 0))
+    both = lines.join(reads_.select("rid", F.col("seq").alias("r")), "rid").join(paths.select(F.col("rid").alias("pid"), F.col("seq").alias("p")), "pid")
+    part = F.substring("p", (F.col("start") + 1).cast("int"), F.length("r"))
+    good = both.where(F.length(part) == F.length("r")).withColumn("positive", scoring.positive_rate(table, F.col("r"), part)).where(F.col("positive") >= rate)
+    return good.groupBy("rid", "pid").agg(F.min(F.struct("start", "positive")).alias("m")).select("rid", "pid", "m.start", "m.positive")
+
+
+def inexact_matches(reads_: DataFrame, targets: DataFrame, errors: int, shortest: int) -> DataFrame:
+    """``(rid, tid, start, errors)``: places where a read occurs with at most ``errors`` substitutions.  By the pigeonhole
+    principle one of errors + 1 equal parts is exact; parts are joined, whole reads verified.  Reads shorter than
+    ``shortest`` are left out; the part length is shortest div (errors + 1)."""
+    k = shortest // (errors + 1)
+    fit = reads_.where(F.length("seq") >= shortest)
+    parts = kmers(fit, k).where((F.col("pos") - 1) % k == 0).where(F.col("pos") <= k * errors + 1)
+    met = parts.join(kmers(targets, k).select(F.col("rid").alias("tid"), F.col("pos").alias("at"), "kmer"), "kmer").select("rid", "tid", (F.col("at") - F.col("pos") + 1).alias("start")).distinct().where("start >= 1")
+    both = met.join(fit.select("rid", F.col("seq").alias("r")), "rid").join(targets.select(F.col("rid").alias("tid"), F.col("seq").alias("t")), "tid")
+    part = F.substring("t", F.col("start").cast("int"), F.length("r"))
+    return both.where(F.length(part) == F.length("r")).withColumn("errors", scoring.hamming(F.col("r"), part)).where(F.col("errors") <= errors).select("rid", "tid", "start", "errors")

@@ -170,3 +170,44 @@ def test_intervals(spark):
     assert got == sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and p[2] <= q[3] and q[2] <= p[3])
     hits = spark.createDataFrame([(1, 1, 0, 50, 1e-9), (1, 2, 45, 99, 1e-8), (1, 3, 20, 60, 1e-7), (1, 4, 70, 80, 1e-9), (1, 1, 0, 50, 1e-9)], "target long, rid long, begin long, end long, e_value double")
     assert sorted(h.rid for h in intervals.greedy_regions(hits).collect()) == [1, 2]
+
+
+def test_seed_and_placement_operators(spark):
+    g, h = rand(90, 20), rand(70, 21)
+    df = seqs(spark, [g, h, g[10:50]])
+    assert [r.distance for r in kmers.weighted_profile_distance(df, df, 3).collect()] == [0, 0, 0]
+    bits = kmers.bloom_bits(df, 4)
+    same = kmers.bloom_common(bits, df.where("rid = 0"), df.where("rid = 2")).count()
+    assert same == 8
+    assert kmers.subsampled(df, "seq", [("^A", 0.0), (".", 0.0)], 1).count() == 0 and kmers.subsampled(df, "seq", [], 1).count() == 3
+    chain = kmers.boundary_pairs(seqs(spark, ["AAACCC", "CCCDDD", "EEEFFF"]), 3)
+    assert {r.kmer for r in kmers.kmer_closure(chain, spark.createDataFrame([("AAA",)], "kmer string"), 0.0).collect()} == {"AAA", "CCC", "DDD"}
+    counts = spark.createDataFrame([(f"k{i}", i) for i in range(1, 11)], "kmer string, n long")
+    assert {r.n for r in kmers.top_seeds(counts, 0.3).collect()} == {7, 8, 9, 10}
+    place = kmers.anchored_placements(seqs(spark, [g[10:50]]), seqs(spark, [g]), 6, 5).collect()
+    assert [(r.start, r.positive) for r in place] == [(10, 1.0)]
+    wrong = g[20:30] + ("A" if g[30] != "A" else "C") + g[31:50]
+    found = kmers.inexact_matches(seqs(spark, [wrong]), seqs(spark, [h, g]), 2, 30).collect()
+    assert [(r.tid, r.start, r.errors) for r in found] == [(1, 21, 1)]
+    seeds = spark.createDataFrame([(1, 1, 5, 10, 9), (1, 1, 7, 12, 8), (1, 1, 5, 30, 7)], "qid long, rid long, qpos long, pos long, score int")
+    assert {(r.qpos, r.pos) for r in kmers.distinct_seeds(seeds).collect()} == {(5, 10), (5, 30)}
+
+
+def test_paths_and_pairs(spark):
+    edges = spark.createDataFrame([("AB", "BC"), ("BC", "CD"), ("BC", "CE"), ("XY", "YZ")], "src string, dst string")
+    paths = assembly.spelled_paths(edges)
+    assert {r.seq for r in paths.collect()} == {"ABCD", "ABCE", "XYZ"}
+    chosen = assembly.covering_paths(paths, seqs(spark, ["BCD", "AB", "YZ"]))
+    assert {r.seq for r in chosen.collect()} == {"ABCD", "XYZ"}
+    side = lambda rows: spark.createDataFrame(rows, "qid long, seed string, cid long, score double")
+    got = assembly.best_seed_pairs(side([(1, "s", 1, 5.0), (1, "s", 2, 9.0)]), side([(1, "s", 7, 3.0)])).collect()
+    assert {(r.fcid, r.bcid) for r in got} == {(2, 7), (1, None)}
+
+
+def test_tags_and_prefix_sums(spark):
+    from cladeflow.operators import evaluation
+
+    df = spark.createDataFrame([("c1 reads:5", "A" * 70), ("c2 reads:3", "A"), ("c3", "A" * 80)], "header string, seq string")
+    assert evaluation.recruited_reads(df).first().reads == 5
+    rows = spark.createDataFrame([(i, i % 3 == 0) for i in range(40)], "i long, first boolean").repartition(3)
+    assert all(r.before == len([j for j in range(r.i) if j % 3 == 0]) for r in evaluation.starts_before(rows, "i", "first").collect())
