@@ -13,13 +13,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+@functools.lru_cache(maxsize=4)
+def own_dir(application: str) -> str:
+    """Where the session names no shared folder (one machine, tests)."""
+    return tempfile.mkdtemp(prefix="cladeflow-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read.  Only where the session names none (tests, one machine) is one made."""
-    named = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="cladeflow-")
-        spark.conf.set(CHECKPOINT_KEY, named)
-    return named.rstrip("/")
+    """The folder every executor can read, as the session names it."""
+    context = spark.sparkContext
+    named = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
+    return (named or own_dir(context.applicationId)).rstrip("/")
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes of distinct word n-shingles: A-Z lower-cased, words between ASCII white space."""
 
-    def __init__(self, words: int, memo: int = 400_000):
+    def __init__(self, words: int, memo: int = 200_000):
         self.n = words
         self.factors = _odd(words, "word")
         self.known = Generations(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), memo)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import per_worker, released, write_table
+from .common import arrow_batches, per_worker, released, write_table
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -109,7 +109,7 @@ class WordEncoder:
                 yield raw[4 * i : 4 * j]
 
 
-def slices(texts: pa.Array, most: int = 10 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 6 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with about ``most`` bytes of text each."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
@@ -197,7 +197,9 @@ def places(patterns: list, first: int = 0) -> dict[int, tuple[list[int], list[tu
 
 def pack(docs: DataFrame, vocab_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int = 64) -> DataFrame:
     """Every piece with its sequence and offset; see the module."""
-    pieces = write_table(cut_pieces(docs, vocab_path, size, end_id, id_col, text_col).withColumn("shard", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shards)).cast("int")), "pieces")
+    shard = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shards)).cast("int")
+    with arrow_batches(docs.sparkSession, 2000):
+        pieces = write_table(cut_pieces(docs, vocab_path, size, end_id, id_col, text_col).withColumn("shard", shard), "pieces")
     by_shard = pieces.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
     # at most size * shards rows, whatever the input
     offsets = by_shard.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("length", "shard", F.coalesce("before", F.lit(0)).alias("before"))

@@ -23,6 +23,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = write_table(marked.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "doubles")
     left = without(docs, "doc_id", ids.where("not kept").select("id"))
     again = ids.where("kept").select("id")
+    if again.isEmpty():  # no id stands twice: nothing to do
+        return left
     return without(left, "doc_id", again).unionByName(only(left, "doc_id", again).dropDuplicates(["doc_id"]))
 
 
