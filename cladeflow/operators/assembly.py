@@ -227,9 +227,13 @@ def covering_paths(paths: DataFrame, reads: DataFrame) -> DataFrame:
     """Of ``paths(seq)``, a greedy choice that covers all ``reads(rid, seq)`` that lie in some path: the path with the most
     reads not yet covered, ties to the text.  The choice is made on (path, read) pairs of one component of a graph."""
     pairs = paths.withColumnRenamed("seq", "path").join(reads, F.contains(F.col("path"), F.col("seq"))).select("path", "rid")
-    left = {}
-    for r in pairs.groupBy("path").agg(F.collect_set("rid").alias("rids")).limit(100_000).collect():
-        left[r["path"]] = set(r["rids"])
+    most = 1_000_000
+    rows = pairs.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the choice takes up to {most} pairs of path and read")
+    left: dict[str, set] = {}
+    for r in rows:
+        left.setdefault(r["path"], set()).add(r["rid"])
     chosen = []
     while any(left.values()):
         best = min(left, key=lambda p: (-len(left[p]), p))
