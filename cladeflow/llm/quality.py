@@ -133,7 +133,8 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     low = lambda k: F.col("key").bitwiseAND((1 << 8 * k) - 1)
     tables, needed = {ORDER: counts}, {ORDER: write_table(asked.select("key").distinct(), "needed")}
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = write_table(tables[k + 1].groupBy(low(k).alias("key")).agg(F.count(F.lit(1)).alias("c")), f"counts{k}")
+        fewer = tables[k + 1].groupBy(low(k).alias("key")).agg(F.count(F.lit(1)).alias("c"))
+        tables[k] = write_table(fewer.coalesce(1) if k < 3 else fewer, f"counts{k}")  # below order 3 at most 65,536 rows
         needed[k] = needed[k + 1].select(low(k).alias("key")).distinct()
     p = None
     for k in range(1, ORDER + 1):
@@ -147,7 +148,7 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
         step = step.withColumn("lower", F.lit(1 / 256)) if p is None else step.withColumn("low", low(k - 1)).join(p.withColumnsRenamed({"key": "low", "p": "lower"}), "low")
         taken = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         seen = (F.coalesce(F.col("c") - taken, F.lit(0.0)) + F.col("mass") * F.col("lower")) / F.col("total")
-        p = write_table(step.select("key", F.coalesce(seen, "lower").alias("p")), f"p{k}")
+        p = step.select("key", F.coalesce(seen, "lower").alias("p"))
     return p
 
 
