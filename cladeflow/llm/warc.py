@@ -23,7 +23,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import released, write_table
+from .common import MAY, may_hold, released, write_table
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string())]))
@@ -106,15 +106,20 @@ def page_of(urn: str) -> int | None:
 
 
 def with_references(pages: DataFrame, least: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``(page_id, url, payload, digest, refers_to)``.  Payloads move once, by (digest, id), so no group of copies meets."""
+    """``(page_id, url, payload, digest, refers_to)``.  Only payloads of likely revisits move, by
+    (digest, id), so no group of copies meets."""
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     keys = base.where(F.octet_length("payload") >= least).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     later = keys.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("digest", "page_id", F.col("first").alias("refers_to")).distinct()
+    marked = may_hold(base, "page_id", later.select(F.col("page_id").alias("id")))
+    likely = F.col(MAY) | F.col("page_id").isNull()
+    sure = marked.where(~likely).drop(MAY).withColumn("refers_to", F.lit(None).cast("long"))
+    rest = marked.where(likely).drop(MAY)
     later = later.select(F.col("digest").alias("d"), F.coalesce("page_id", F.lit(-(2**63))).alias("p"), "refers_to")
-    on = (base["digest"] == later["d"]) & (F.coalesce(base["page_id"], F.lit(-(2**63))) == later["p"])
-    return base.join(later, on, "left").select("page_id", "url", "payload", "digest", "refers_to")
+    on = (rest["digest"] == later["d"]) & (F.coalesce(rest["page_id"], F.lit(-(2**63))) == later["p"])
+    return sure.unionByName(rest.join(later, on, "left").select("page_id", "url", "payload", "digest", "refers_to"))
 
 
 def write_archives(records: DataFrame, level: int = 3, archive_bytes: int = 4 << 20) -> DataFrame:
