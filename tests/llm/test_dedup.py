@@ -129,3 +129,23 @@ def test_rows_are_split_by_ids(spark):
     assert sorted(r.doc_id for r in common.only(rows, "doc_id", ids).collect()) == list(range(0, 50, 7))
     left = [r.doc_id for r in common.without(rows, "doc_id", ids).collect()]
     assert len(left) == 51 - 8 and None in left
+
+
+def windows(n, size, apart, seed):
+    """n pairs of texts, each a window of distinct words on one line of words; ids 2i and 2i + 1."""
+    r = random.Random(seed)
+    lines = [[f"{r.getrandbits(40):x}" for _ in range(size + apart)] for _ in range(n)]
+    return [(2 * i + k, " ".join(line[k * apart : k * apart + size])) for i, line in enumerate(lines) for k in (0, 1)]
+
+
+def test_pairs_of_a_bucket_are_checked_whatever_their_sketches_say(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "sketch_labeler", lambda at: lambda payload, size: np.arange(len(payload)))
+    df = spark.createDataFrame(windows(20, 94, 4, 1), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {i: i - i % 2 for i in range(40)}
+
+
+def test_links_at_the_threshold_are_found(spark):
+    # 90 shingles of five words each, 80 common of 100: a similarity of 0.80
+    df = spark.createDataFrame(windows(1500, 94, 10, 2), "doc_id long, text string").repartition(4)
+    assert near_dedup.near_duplicates(df).where("component_id <> doc_id - doc_id % 2").count() == 0
