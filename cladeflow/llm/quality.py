@@ -8,10 +8,12 @@ Symbols are UTF-8 bytes; the model has order ``ORDER``, with null bytes in front
    order, all sharded by n-gram, which gives a probability each; the answers go back to the split they were asked
    by, where its texts, compressed, meet them.  So what moves is bounded by the input and by distinct n-grams, no
    n-gram occurrence is shuffled, and the model is nowhere held whole.
-3. Thresholds: a quantile of bits per byte over trusted texts held out from training, per language and size class;
-   where fewer than ``LEAST`` are there, per language; else over all.
+3. Thresholds: a quantile of bits per byte over trusted texts held out from training: over all, per language, and per
+   language and size class.  Each but the first is drawn to the one before as if that stood for ``PRIOR`` more texts, so
+   every group with held-out texts counts by their number, and no number of them is a switch.
 
-A text is rejected if its bits per byte exceed its threshold by more than ``MARGIN``.  Null and empty texts have no
+A text is rejected if its bits per byte exceed its threshold by more than ``MARGIN``: a good text with one strange
+span, such as a key that operator 4 hides later, stays.  Null and empty texts have no
 perplexity and are kept.  A null language is a language of its own.  Without trusted texts all are kept.  Rows that
 repeat an id are scored each; when rejected rows are removed, they go by id.  Rows with a null id are scored, and never
 removed.  An empty table gives no rows; other columns are not read.
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import arrow_batches, only, released, without, write_table
 
 ORDER = 5
-QUANTILE, MARGIN, LEAST = 0.995, 0.1, 200
+QUANTILE, MARGIN, PRIOR = 0.995, 0.1, 20
 #: One in this many trusted texts is held out, for thresholds.
 HELD_OUT = 5
 FLUSH = 1_000_000
@@ -292,7 +294,8 @@ def size_class() -> Column:
 
 
 def thresholds(scores: DataFrame, held_out: DataFrame, quantile: float) -> DataFrame:
-    """``(level, lang, size, threshold)``: level 2 per language and size class, 1 per language, 0 over all.
+    """``(level, lang, size, n, threshold)``: level 2 per language and size class, 1 per language, 0 over all; n is the
+    number of held-out texts.
 
     The quantile is taken from a histogram in steps of 0.001 bits, a bounded number of rows for each language.
     """
@@ -302,7 +305,7 @@ def thresholds(scores: DataFrame, held_out: DataFrame, quantile: float) -> DataF
     each = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("level", "lang", "size", "bin").agg(F.sum("n").alias("n"))
     over = Window.partitionBy("level", "lang", "size")
     at = each.withColumn("upto", F.sum("n").over(over.orderBy("bin"))).withColumn("total", F.sum("n").over(over))
-    return at.where((F.col("upto") >= quantile * F.col("total")) & ((F.col("total") >= LEAST) | (F.col("level") == 0))).groupBy("level", "lang", "size").agg((F.min("bin") / 1000).alias("threshold"))
+    return at.where(F.col("upto") >= quantile * F.col("total")).groupBy("level", "lang", "size").agg(F.max("total").alias("n"), (F.min("bin") / 1000).alias("threshold"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -314,11 +317,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     scores = perplexities(docs, good.where(~out), id_col, text_col, lang_col)
     limits = write_table(thresholds(scores, good.where(out), quantile), "thresholds")
     lang = F.coalesce("lang", F.lit("\0"))
-    fine = limits.where("level = 2").select(F.col("lang").alias("l2"), F.col("size").alias("s2"), F.col("threshold").alias("t2"))
-    coarse = limits.where("level = 1").select(F.col("lang").alias("l1"), F.col("threshold").alias("t1"))
+    fine = limits.where("level = 2").select(F.col("lang").alias("l2"), F.col("size").alias("s2"), F.col("n").alias("n2"), F.col("threshold").alias("t2"))
+    coarse = limits.where("level = 1").select(F.col("lang").alias("l1"), F.col("n").alias("n1"), F.col("threshold").alias("t1"))
     every = limits.where("level = 0").select(F.col("threshold").alias("t0"))
     judged = scores.join(fine, (lang == F.col("l2")) & (size_class() == F.col("s2")), "left").join(coarse, lang == F.col("l1"), "left").join(F.broadcast(every), F.lit(True), "left")
-    judged = judged.withColumn("threshold", F.coalesce("t2", "t1", "t0"))
+    drawn = lambda n, t, to: F.coalesce((F.col(n) * F.col(t) + PRIOR * F.col(to)) / (F.col(n) + PRIOR), to)
+    judged = judged.withColumn("t1", drawn("n1", "t1", "t0")).withColumn("threshold", drawn("n2", "t2", "t1"))
     keep = F.coalesce(F.col("bits_per_byte") <= F.col("threshold") + margin, F.lit(True))
     return judged.select(F.col("id").alias(id_col), "lang", "n_bytes", "bits_per_byte", "threshold", keep.alias("keep"))
 

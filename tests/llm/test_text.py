@@ -154,3 +154,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert len(list((tmp_path / "warc").glob("*.warc.gz"))) == files.count()
     assert warc.sidecar(files).count() == len(rows)
     assert warc.read_records(warc.normalise(warc.write_archives(warc.with_references(pages.limit(0), 100, "page_id", "url", "html")))).count() == 0
+
+
+def test_a_rare_language_is_judged_by_its_own_held_out_texts(spark, monkeypatch):
+    # 500 English texts of about 3 bits, 100 German ones of about 1.5; then German and French ones of 2.9
+    bits = [(i, "en", 1000, 3 + i % 50 / 100) for i in range(500)] + [(500 + i, "de", 1000, 1.5 + i % 50 / 1000) for i in range(100)] + [(900, "de", 1000, 2.9), (901, "fr", 1000, 2.9), (902, "de", 3, 2.9)]
+    scores = spark.createDataFrame(bits, "id long, lang string, n_bytes long, bits_per_byte double")
+    monkeypatch.setattr(quality, "perplexities", lambda *_: scores)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(scores, labels).collect()}
+    held = {r.id for r in scores.where("id < 600 and pmod(xxhash64(id), 5) = 0").collect()}
+    quantile = lambda xs: sorted(xs)[math.ceil(0.995 * len(xs)) - 1]
+    german = [b for i, lang, _, b in bits if i in held and lang == "de"]
+    every = quantile([b for i, _, _, b in bits if i in held])
+    assert 10 < len(german) < 40
+    once = (len(german) * quantile(german) + 20 * every) / (len(german) + 20)
+    twice = (len(german) * quantile(german) + 20 * once) / (len(german) + 20)
+    assert got[900].threshold == pytest.approx(twice, abs=0.002) and not got[900].keep
+    assert got[901].threshold == pytest.approx(every, abs=0.002) and got[901].keep
+    assert got[902].threshold == pytest.approx(once, abs=0.002)
