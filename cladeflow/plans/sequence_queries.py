@@ -105,6 +105,13 @@ def word_distances(spark, sf):
     return both.select("rid", scoring.hamming(a, b).alias("hamming"), r6(scoring.end_identity(a, b), "identity"), F.levenshtein(F.left(a, F.lit(40)), F.left(b, F.lit(40))).alias("edits"))
 
 
+# edit distances of whole texts (word_distances and its SQL take the first 40 letters); no SQL: brute force in the tests
+@query()
+def word_edits(spark, sf):
+    both = targets(spark, sf).withColumnRenamed("seq", "a").join(peptides(spark, sf).withColumnRenamed("seq", "b"), "rid")
+    return both.select("rid", F.levenshtein("a", "b").alias("edits"))
+
+
 @query(f"WITH {PEPTIDES}, {TARGETS}, {sql_kmers(3)}, {sql_kmers(3, 'targets', 'tk')}, x AS (SELECT rid, kmer, count(*) AS n FROM kmers WHERE rid IN (SELECT rid FROM targets) GROUP BY ALL), y AS (SELECT rid, kmer, count(*) AS n FROM tk GROUP BY ALL) SELECT rid, CAST(sum((coalesce(x.n, 0) - coalesce(y.n, 0)) * (coalesce(x.n, 0) - coalesce(y.n, 0))) AS BIGINT) AS distance FROM x FULL JOIN y USING (rid, kmer) GROUP BY rid")
 def kmer_profile_distance(spark, sf):
     t = targets(spark, sf)

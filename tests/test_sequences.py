@@ -211,3 +211,26 @@ def test_tags_and_prefix_sums(spark):
     assert evaluation.recruited_reads(df).first().reads == 5
     rows = spark.createDataFrame([(i, i % 3 == 0) for i in range(40)], "i long, first boolean").repartition(3)
     assert all(r.before == len([j for j in range(r.i) if j % 3 == 0]) for r in evaluation.starts_before(rows, "i", "first").collect())
+
+
+def test_word_edits_see_whole_texts(spark, tmp_path):
+    from cladeflow.plans.queries import QUERIES
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    same = word(40)
+    pairs = [(same + "ACD", same + "WWWWW"), (word(150), word(120)), (word(30), None), ("", "ac de")]
+    spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, b) for i, (_, b) in enumerate(pairs)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    clean = lambda t: (t or "").replace(" ", "").upper()
+    got = {x.rid: x.edits for x in QUERIES["word_edits"](spark, str(tmp_path)).collect()}
+    assert got == {i: edits(clean(a), clean(b)) for i, (a, b) in enumerate(pairs)} and got[0] == 5
