@@ -6,9 +6,13 @@ decoding are done here.  Both parts work on chunks, the pieces between which no
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
+import unicodedata
+
+import numpy as np
 
 from .common import Generations
 
@@ -22,6 +26,21 @@ MIXED = re.compile(rb"(?:[\t-\r ]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 
 
+@functools.lru_cache(maxsize=1)
+def joining() -> frozenset[str]:
+    """Starters that may compose with what stands in front of them (by Unicode's data; Hangul vowels and finals by rule)."""
+    second = {d[1] for c in range(0x110000) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and d[0][0] != "<"}
+    return frozenset(chr(int(x, 16)) for x in second) | frozenset(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+
+
+def blocks(text: str) -> list[int]:
+    """Cuts of a text, 0 and its length included, such that normalising goes block by block."""
+    if text.isascii():
+        return list(range(len(text) + 1))
+    bound, combining = joining(), unicodedata.combining
+    return [0, *(i for i in range(1, len(text)) if text[i] not in bound and not combining(text[i])), len(text)] if text else [0]
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable in Latin-1, else 256 upwards."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -55,9 +74,16 @@ class Bpe:
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in self.vocab.items() if not self.suffix and all(c in back for c in s)}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.sizes = {i: len(s) - len(self.suffix) if self.suffix and s.endswith(self.suffix) else len(s) for s, i in self.vocab.items()}
-        self.longest = max(self.sizes[i] for s, i in self.vocab.items() if s not in self.special)
+        #: The longest token by its last two letters: no other token need be looked for at an end.
+        self.reach: dict[str, int] = {}
+        for s, i in self.vocab.items():
+            if s not in self.special:
+                end = s[: self.sizes[i]][-2:]
+                self.reach[end] = max(self.reach.get(end, 1), self.sizes[i])
         self.fits: dict[int, bool] = {}
         self.limit = limit
+        self.kinds: dict[str, str] = {}
+        self.tail: tuple[str, tuple[list[int], list[int]]] = ("", ([-1], [0]))
         self.words = Generations(self._merge_word, limit)
         self.counts = Generations(self.word_count, limit)
 
@@ -135,34 +161,41 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     # --- operator 3: prefix dynamic programming ---------------------------------------------------------------------
-    def inner_table(self, word: str, upto: int) -> tuple[list[int], list[int]]:
+    def inner_table(self, word: str, upto: int, known: tuple[list[int], list[int]] | None = None) -> tuple[list[int], list[int]]:
         """Of each prefix with no end-of-word suffix, by length in byte letters: last token and token count.
 
         An encoding is valid if each token merges to itself and neighbours stay apart, and just one is valid.  So the
         last token of a prefix is the one token that ends there and stays apart from the last token of the prefix in
-        front of it: one table look-up a letter and length, no encoding anew.
+        front of it: one table look-up a letter and length, no encoding anew.  ``known`` is the table of a prefix, which
+        is gone on from.
         """
-        get, known, longest = self.vocab.get, self.fits, self.longest
-        last, count = [-1] * (upto + 1), [0] * (upto + 1)
-        for i in range(1, upto + 1):
-            for start in range(i - longest if i > longest else 0, i):
+        get, fits, reach = self.vocab.get, self.fits.get, self.reach.get
+        last, count = known or ([-1], [0])
+        for i in range(len(last), upto + 1):
+            for start in range(max(0, i - reach(word[i - 2 : i] if i > 1 else word[:1], 1)), i):
                 t = get(word[start:i])
                 if t is None:
                     continue
-                ok = known.get(last[start] << 24 | t) if start else known.get(-t - 1)
+                ok = fits(last[start] << 24 | t) if start else fits(-t - 1)
                 if ok or ok is None and self._learn(last[start] if start else -1, t, word, start, i, ""):
-                    last[i], count[i] = t, count[start] + 1
+                    last.append(t)
+                    count.append(count[start] + 1)
                     break
+            else:
+                raise ValueError(f"the vocabulary lacks letters of {word!r}")
         return last, count
 
     def _final(self, word: str, i: int, last: list[int], count: list[int]) -> int:
         """The token count of the prefix of length i as a text of its own: its last token carries the suffix."""
-        for start in range(max(0, i - self.longest), i):
-            t = self.vocab.get(word[start:i] + self.suffix)
+        if not self.suffix:
+            return count[i]
+        get, fits, suffix = self.vocab.get, self.fits.get, self.suffix
+        for start in range(max(0, i - self.reach.get(word[i - 2 : i] if i > 1 else word[:1], 1)), i):
+            t = get(word[start:i] + suffix)
             if t is None:
                 continue
-            ok = self.fits.get(last[start] << 24 | t) if start else self.fits.get(-t - 1)
-            if ok or ok is None and self._learn(last[start] if start else -1, t, word, start, i, self.suffix):
+            ok = fits(last[start] << 24 | t) if start else fits(-t - 1)
+            if ok or ok is None and self._learn(last[start] if start else -1, t, word, start, i, suffix):
                 return count[start] + 1
         raise ValueError(f"the vocabulary lacks letters of {word!r}")
 
@@ -179,16 +212,117 @@ class Bpe:
             ok = self.fits[a << 24 | t] = self.merge(front + own) == [a, t]
         return ok
 
-    def prefix_counts(self, word: str) -> list[int]:
-        """Token counts of every prefix of one pre-token as a text of its own, by length in byte letters (0: none)."""
-        last, count = self.inner_table(word, len(word))
-        return [0] + [self._final(word, i, last, count) for i in range(1, len(word) + 1)] if self.suffix else count
+    def prefix_counts(self, word: str, ends: list[int]) -> list[int]:
+        """Token counts of those prefixes of one pre-token, each as a text of its own, that end at ``ends`` (byte letters)."""
+        last, count = self.inner_table(word, ends[-1] if ends else 0)
+        return [self._final(word, i, last, count) for i in ends]
 
     def word_count(self, word: str) -> int:
         """The last entry of ``prefix_counts``."""
         n = len(word)
         last, count = self.inner_table(word, n - 1 if self.suffix else n)
-        return self._final(word, n, last, count) if self.suffix else count[n]
+        return self._final(word, n, last, count)
+
+    def _shown_count(self, text: str) -> int:
+        """Tokens of normalised text.  The table of the last long run is gone on from where a run begins with it."""
+        total = 0
+        for word, _ in self.pre.pre_tokenize_str(text):
+            if len(word) < 100:
+                total += self.counts[word]
+                continue
+            if not word.startswith(self.tail[0]):
+                self.tail = ("", ([-1], [0]))
+            table = self.inner_table(word, len(word), self.tail[1])
+            self.tail = (word, table)
+            total += self._final(word, len(word), *table)
+        return total
+
+    def letters_of(self, text: str) -> str:
+        return text if text.isalnum() and text.isascii() else text.encode().decode("latin-1").translate(self.as_letters)
+
+    def kind(self, c: str) -> str:
+        """How the library takes a character: "l" and "s" go on in runs, "n" stands alone, "" is dropped."""
+        found = self.kinds.get(c)
+        if found is None:
+            alone = lambda t: len(self.pre.pre_tokenize_str(t))
+            found = self.kinds[c] = "" if not alone(c) else "l" if alone("a" + c) == 1 else "s" if alone("!" + c) == 1 else "n"
+        return found
+
+    def prefix_table(self, text: str) -> list[int]:
+        """Token counts of all prefixes of a text as texts of their own, by length in code points; no prefix is encoded.
+
+        Pre-tokens of the whole that end inside a prefix are pre-tokens of the prefix, too, so a prefix's count is that
+        of the pre-tokens in front plus one entry of the table of the pre-token it cuts.  Looked at apart: special
+        tokens, which cut are plain text; contractions, which cut are two pre-tokens; characters that normalising
+        joins, which cut aren't joined.
+        """
+        plain = PLAIN.fullmatch(text)
+        if plain and self.normal and text[0] != " ":
+            out, done = [0], 0
+            for part in plain.groups():
+                if part:
+                    word = part.lower()
+                    ends = np.cumsum([len(c.encode()) for c in word]).tolist() if not word.isascii() else list(range(1, len(word) + 1))
+                    out += [done + n for n in self.prefix_counts(self.letters_of(word), ends)]
+                    done = out[-1]
+            return out
+        out, done = [0], 0
+        parts = self.apart.split(text) if self.apart else [text]
+        for k in range(0, len(parts), 2):
+            special = parts[k + 1] if k + 1 < len(parts) else ""
+            table = self._plain_table(parts[k] + special[:-1])
+            out += [done + n for n in table[1:]]
+            done += table[len(parts[k])]
+            if special:
+                done += 1
+                out.append(done)
+        return out
+
+    def _plain_table(self, text: str) -> list[int]:
+        cuts = blocks(text)
+        shown = [self.normal.normalize_str(text[i:j]) if self.normal else text[i:j] for i, j in zip(cuts, cuts[1:])]  # noqa: B905
+        whole = "".join(shown)
+        size = [len(c.encode()) for c in whole]
+        at, run = [0] * (len(whole) + 1), [None] * (len(whole) + 1)  # count up to there; the run that reaches there
+        done = upto = 0
+        for letters, (a, b) in self.pre.pre_tokenize_str(whole):
+            at[upto : a + 1] = [done] * (a + 1 - upto)
+            if b - a > 1 and whole[a] == "'" and self.kind(whole[a + 1]) == "l":  # a contraction
+                counts, table, ends = [self._shown_count(whole[a:i]) for i in range(a + 1, b + 1)], None, None
+            else:
+                ends = np.cumsum(size[a:b]).tolist()
+                table = self.inner_table(letters, ends[-1])
+                counts = [self._final(letters, i, *table) for i in ends]
+            for i, n in enumerate(counts):
+                at[a + 1 + i], run[a + 1 + i] = done + n, (a, done, letters, table, ends)
+            done, upto = done + counts[-1], b
+        at[upto:] = [done] * (len(whole) + 1 - upto)
+        out, q = [0], 0
+        for i, j, own in zip(cuts, cuts[1:], shown):  # noqa: B905
+            for k in range(i + 1, j):
+                part = self.normal.normalize_str(text[i:k]) if self.normal else text[i:k]
+                out.append(self._cut_block(whole, q, part, at, run))
+            q += len(own)
+            out.append(at[q])
+        return out
+
+    def _cut_block(self, whole: str, q: int, part: str, at: list[int], runs: list) -> int:
+        """The count of ``whole[:q] + part``, where ``part`` is what is left of characters that the whole joins."""
+        if runs[q] is None:
+            return at[q] + self._shown_count(part)
+        a, done, letters, table, ends = runs[q]
+        run_before = runs[a]
+        mark = a if whole[a] == "'" else a - 1 if run_before and run_before[0] == a - 1 and whole[a - 1] == "'" else -1
+        if mark >= 0 and q - mark < 3:  # with part it may be a contraction, or no longer one
+            return (done if mark == a else run_before[1]) + self._shown_count(whole[mark:q] + part)
+        kind = self.kind(whole[q - 1])
+        own = next((i for i, c in enumerate(part) if self.kind(c) != kind), len(part)) if kind in ("l", "s") and table else 0
+        if not own:
+            return at[q] + self._shown_count(part)
+        upto = ends[q - a - 1]
+        word = letters[:upto] + self.letters_of(part[:own])
+        last, count = self.inner_table(word, len(word), (table[0][: upto + 1], table[1][: upto + 1]))
+        return done + self._final(word, len(word), last, count) + (self._shown_count(part[own:]) if own < len(part) else 0)
 
     def count(self, chunk: str) -> int:
         """Tokens of a chunk by the prefix tables."""

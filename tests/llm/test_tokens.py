@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -43,26 +44,57 @@ def test_merge_queue_and_prefix_tables_match_the_library():
 
 def test_every_prefix_has_its_count():
     own = bpe.Bpe(WORD)
-    for t in ["internationalisation of the don't", "thntblere of, ABC!! été 12", "ΑΣΣ x"]:
-        table = token_counts.prefix_table(own, t)
-        assert table == [len(own.library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+    r = random.Random(8)
+    pieces = [*"ab'sSTrevlmdΣé \n\x1c,.!1２日本<|>_̸̣́̂각İßﬁ\xa0　", "<|endoftext|>", "'re", "é", "<|endof", "don't", "각"]
+    made = ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    for t in ["internationalisation of the don't", "thntblere of, ABC!! été 12", "ΑΣΣ x", *ODD, *made]:
+        assert own.prefix_table(t) == [len(own.library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+
+
+def test_long_runs_cost_in_proportion():
+    own = bpe.Bpe(WORD)
+    n = lambda t: len(own.library.encode(t, add_special_tokens=False).ids)
+    for t in ["日本語処理"[: k % 5 + 1] * 2000 for k in range(2)] + ["x" * 10_000, "!" * 10_000, "é" * 3000]:
+        begin = time.perf_counter()
+        table = own.prefix_table(t)
+        assert time.perf_counter() - begin < 10  # with every prefix counted anew it would be minutes
+        assert all(table[i] == n(t[:i]) for i in (0, 1, 2, 777, len(t) // 2, len(t)))
 
 
 def test_token_counts(spark, docs):
     rows, df = docs
-    got = token_counts.token_counts(df, WORD, limit=9).collect()
-    assert len(got) == len(rows)
     tok = Tokenizer.from_file(WORD)
     n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
     text = {r[0]: r[1] or "" for r in rows}
-    for r in got:
-        t = text[r.doc_id]
-        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n(t), n(t) > 9)
-        if len(t) < 200:
-            assert r.fit_chars == max(i for i in range(len(t) + 1) if n(t[:i]) <= 9)
+    for limit in (0, 9, 60):
+        got = token_counts.token_counts(df, WORD, limit=limit).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            t = text[r.doc_id]
+            assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n(t), n(t) > limit)
+            if len(t) < 1000:
+                assert r.fit_chars == max(i for i in range(len(t) + 1) if n(t[:i]) <= limit)
+            else:
+                assert n(t[: r.fit_chars]) <= limit < n(t[: r.fit_chars + 1])
     assert token_counts.token_counts(df.limit(0), WORD).count() == 0
 
 
+def test_stored_tables_answer_any_budget(spark, docs):
+    rows, df = docs
+    tok = Tokenizer.from_file(WORD)
+    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    text = {r[0]: r[1] or "" for r in rows}
+    stored = token_counts.prefix_tables(df, WORD)
+    for r in token_counts.fitting(stored, [1, 5, 10**6]).collect():
+        t = text[r.id]
+        assert r.n_tokens == n(t) and r["fit_1000000"] == len(t)
+        if len(t) < 100:
+            assert [r.fit_1, r.fit_5] == [max(i for i in range(len(t) + 1) if n(t[:i]) <= k) for k in (1, 5)]
+    for r in token_counts.counts_at(stored, 7).collect():
+        if r.chars < 100:
+            assert r.n_tokens == n(text[r.id][: r.chars])
+
+
 def test_encode_decode_and_digests(spark, docs):
     rows, df = docs
     text = {r[0]: r[1] or "" for r in rows}
