@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -105,16 +106,36 @@ def test_exact_top_k_matches_brute_force(spark, chunk):
     x = vectors(5)[:120]
     rows = [(i, [float(v) for v in x[i // 2]], 1) for i in range(len(x))]
     rows += [(500, None, 1), (550, [None] * 16, 1), (600, [float("inf")] * 16, 1), (None, rows[0][1], 1), (700, [1.0, 2.0], 1), (51, rows[3][1], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_topk.exact_top_k(df, lambda i: i % 10 == 0, queries=chunk).collect()}
-    whole = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+    rows += [(800 + i, rows[3][1], 1) for i in range(30)] + [(20, rows[20][1], 1)] * 7  # copies, and a repeated row
+    check_top_k(spark, rows, queries=chunk)
+    check_top_k(spark, rows, queries=chunk, cells=4, sample=10)
+    df = spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>, score int")
+    assert exact_topk.exact_top_k(df.limit(0), lambda i: i % 10 == 0).count() == 0
+
+
+def check_top_k(spark, rows, **how):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(3)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_topk.exact_top_k(df, lambda i: i % 10 == 0, **how).collect()}
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     want = {}
     for i, v in whole:
         if i % 10 == 0:
-            best = sorted((-int(v @ w), j) for j, w in whole if j != i and len(w) == len(v))[:5]
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in whole if j != i and len(w) == len(v))[:5]
             want |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(best)}
     assert got == want
-    assert exact_topk.exact_top_k(df.limit(0), lambda i: i % 10 == 0).count() == 0
+
+
+def test_large_components_have_exact_scores(spark):
+    r = random.Random(4)
+    rows = [(0, [1.0, 1.0], 1), (1, [2.0, 2.0], 1), (2, [9e6, 9e6], 1), (3, [-9e6, -9e6], 1), (10, [-1.0, 3.0], 1)]
+    check_top_k(spark, rows)
+    # products beyond 2^53 that differ in their last digits, and components from 1e-3 to 1e7 side by side
+    rows = [(i, [r.choice([-1, 1]) * 10 ** r.uniform(-3, 7) for _ in range(3)], 1) for i in range(100)]
+    rows += [(200 + i, [7e6 + i / 256, 6.9e6, 1.0], 1) for i in range(40)]
+    check_top_k(spark, rows)
+    check_top_k(spark, rows, cells=3, sample=5)
+    with pytest.raises(Exception, match="does not fit a long"):
+        check_top_k(spark, [(0, [1e9, 1e9], 1), (1, [1e9, 1e9], 1)])
 
 
 def test_components(spark):
