@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -29,10 +30,18 @@ PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 @functools.lru_cache(maxsize=1)
 def joining() -> frozenset[str]:
     """Starters that may compose with what stands in front of them (by Unicode's data; Hangul vowels and finals by rule)."""
-    second = {d[1] for c in range(0x110000) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and d[0][0] != "<"}
+    second = {d[1] for c in range(0x30000) if len(d := unicodedata.decomposition(chr(c)).split()) == 2 and d[0][0] != "<"}
     return frozenset(chr(int(x, 16)) for x in second) | frozenset(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
 
 
+def as_bytes(counts: list[int]) -> bytes:
+    """Steps between counts as signed bytes."""
+    steps = [y - x for x, y in zip(counts, counts[1:])]  # noqa: B905
+    if steps and not -129 < min(steps) <= max(steps) < 128:
+        raise ValueError("one code point changes the count by more than a byte holds")
+    return bytes([x & 255 for x in steps])
+
+
 def blocks(text: str) -> list[int]:
     """Cuts of a text, 0 and its length included, such that normalising goes block by block."""
     if text.isascii():
@@ -41,6 +50,9 @@ def blocks(text: str) -> list[int]:
     return [0, *(i for i in range(1, len(text)) if text[i] not in bound and not combining(text[i])), len(text)] if text else [0]
 
 
+SHORT = (3, 2, 1)
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable in Latin-1, else 256 upwards."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -74,18 +86,22 @@ class Bpe:
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in self.vocab.items() if not self.suffix and all(c in back for c in s)}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.sizes = {i: len(s) - len(self.suffix) if self.suffix and s.endswith(self.suffix) else len(s) for s, i in self.vocab.items()}
-        #: The longest token by its last two letters: no other token need be looked for at an end.
-        self.reach: dict[str, int] = {}
+        #: By its last four letters, how long a token can be, longest first: within words (0) and at their ends (1).
+        self.lengths: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
+        found: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
         for s, i in self.vocab.items():
-            if s not in self.special:
-                end = s[: self.sizes[i]][-2:]
-                self.reach[end] = max(self.reach.get(end, 1), self.sizes[i])
+            if s not in self.special and self.sizes[i] > 3:
+                at_end = bool(self.suffix) and s.endswith(self.suffix)
+                found[at_end].setdefault(s[self.sizes[i] - 4 : self.sizes[i]], set()).add(self.sizes[i])
+        for own, known in zip(self.lengths, found, strict=True):
+            own.update((end, (*sorted(sizes, reverse=True), 3, 2, 1)) for end, sizes in known.items())
         self.fits: dict[int, bool] = {}
         self.limit = limit
         self.kinds: dict[str, str] = {}
         self.tail: tuple[str, tuple[list[int], list[int]]] = ("", ([-1], [0]))
         self.words = Generations(self._merge_word, limit)
         self.counts = Generations(self.word_count, limit)
+        self.word_steps = Generations(self._word_steps, limit)
 
     # --- pre-tokenising -------------------------------------------------------------------------------------------
     def pretokens(self, text: str) -> list[str | int]:
@@ -169,12 +185,12 @@ class Bpe:
         front of it: one table look-up a letter and length, no encoding anew.  ``known`` is the table of a prefix, which
         is gone on from.
         """
-        get, fits, reach = self.vocab.get, self.fits.get, self.reach.get
+        get, fits, lengths = self.vocab.get, self.fits.get, self.lengths[0].get
         last, count = known or ([-1], [0])
         for i in range(len(last), upto + 1):
-            for start in range(max(0, i - reach(word[i - 2 : i] if i > 1 else word[:1], 1)), i):
-                t = get(word[start:i])
-                if t is None:
+            for n in lengths(word[i - 4 : i], SHORT) if i > 3 else SHORT:
+                start = i - n
+                if start < 0 or (t := get(word[start:i])) is None:
                     continue
                 ok = fits(last[start] << 24 | t) if start else fits(-t - 1)
                 if ok or ok is None and self._learn(last[start] if start else -1, t, word, start, i, ""):
@@ -185,19 +201,26 @@ class Bpe:
                 raise ValueError(f"the vocabulary lacks letters of {word!r}")
         return last, count
 
-    def _final(self, word: str, i: int, last: list[int], count: list[int]) -> int:
-        """The token count of the prefix of length i as a text of its own: its last token carries the suffix."""
+    def _finals(self, word: str, ends: list[int], last: list[int], count: list[int]) -> list[int]:
+        """Token counts of prefixes of these lengths as texts of their own: their last tokens carry the suffix."""
         if not self.suffix:
-            return count[i]
-        get, fits, suffix = self.vocab.get, self.fits.get, self.suffix
-        for start in range(max(0, i - self.reach.get(word[i - 2 : i] if i > 1 else word[:1], 1)), i):
-            t = get(word[start:i] + suffix)
-            if t is None:
-                continue
-            ok = fits(last[start] << 24 | t) if start else fits(-t - 1)
-            if ok or ok is None and self._learn(last[start] if start else -1, t, word, start, i, suffix):
-                return count[start] + 1
-        raise ValueError(f"the vocabulary lacks letters of {word!r}")
+            return [count[i] for i in ends]
+        get, fits, lengths, suffix, out = self.vocab.get, self.fits.get, self.lengths[1].get, self.suffix, []
+        for i in ends:
+            for n in lengths(word[i - 4 : i], SHORT) if i > 3 else SHORT:
+                start = i - n
+                if start < 0 or (t := get(word[start:i] + suffix)) is None:
+                    continue
+                ok = fits(last[start] << 24 | t) if start else fits(-t - 1)
+                if ok or ok is None and self._learn(last[start] if start else -1, t, word, start, i, suffix):
+                    out.append(count[start] + 1)
+                    break
+            else:
+                raise ValueError(f"the vocabulary lacks letters of {word!r}")
+        return out
+
+    def _final(self, word: str, i: int, last: list[int], count: list[int]) -> int:
+        return self._finals(word, [i], last, count)[0]
 
     def _learn(self, a: int, t: int, word: str, start: int, end: int, suffix: str) -> bool:
         """Does token t merge to itself, and stay apart from token a in front of it?"""
@@ -215,7 +238,7 @@ class Bpe:
     def prefix_counts(self, word: str, ends: list[int]) -> list[int]:
         """Token counts of those prefixes of one pre-token, each as a text of its own, that end at ``ends`` (byte letters)."""
         last, count = self.inner_table(word, ends[-1] if ends else 0)
-        return [self._final(word, i, last, count) for i in ends]
+        return self._finals(word, ends, last, count)
 
     def word_count(self, word: str) -> int:
         """The last entry of ``prefix_counts``."""
@@ -256,16 +279,6 @@ class Bpe:
         tokens, which cut are plain text; contractions, which cut are two pre-tokens; characters that normalising
         joins, which cut aren't joined.
         """
-        plain = PLAIN.fullmatch(text)
-        if plain and self.normal and text[0] != " ":
-            out, done = [0], 0
-            for part in plain.groups():
-                if part:
-                    word = part.lower()
-                    ends = np.cumsum([len(c.encode()) for c in word]).tolist() if not word.isascii() else list(range(1, len(word) + 1))
-                    out += [done + n for n in self.prefix_counts(self.letters_of(word), ends)]
-                    done = out[-1]
-            return out
         out, done = [0], 0
         parts = self.apart.split(text) if self.apart else [text]
         for k in range(0, len(parts), 2):
@@ -278,6 +291,17 @@ class Bpe:
                 out.append(done)
         return out
 
+    def steps(self, text: str) -> bytes:
+        """``prefix_table`` as steps, a signed byte a code point."""
+        plain = PLAIN.fullmatch(text)
+        if plain and self.normal and text[0] != " ":
+            return b"".join([self.word_steps[w.lower()] for w in plain.groups() if w])
+        return as_bytes(self.prefix_table(text))
+
+    def _word_steps(self, word: str) -> bytes:
+        ends = range(1, len(word) + 1) if word.isascii() else list(itertools.accumulate(len(c.encode()) for c in word))
+        return as_bytes([0, *self.prefix_counts(self.letters_of(word), ends)])
+
     def _plain_table(self, text: str) -> list[int]:
         cuts = blocks(text)
         shown = [self.normal.normalize_str(text[i:j]) if self.normal else text[i:j] for i, j in zip(cuts, cuts[1:])]  # noqa: B905
@@ -292,7 +316,7 @@ class Bpe:
             else:
                 ends = np.cumsum(size[a:b]).tolist()
                 table = self.inner_table(letters, ends[-1])
-                counts = [self._final(letters, i, *table) for i in ends]
+                counts = self._finals(letters, ends, *table)
             for i, n in enumerate(counts):
                 at[a + 1 + i], run[a + 1 + i] = done + n, (a, done, letters, table, ends)
             done, upto = done + counts[-1], b
@@ -331,6 +355,7 @@ class Bpe:
     def trim(self) -> None:
         self.words.trim()
         self.counts.trim()
+        self.word_steps.trim()
 
 
 def space_chunks(data: bytes) -> list[bytes]:

@@ -24,16 +24,9 @@ STORED = "id long, n_bytes long, steps binary"
 BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 
 
-def _steps(bpe: Bpe, chunk: bytes) -> bytes:
-    step = np.diff(np.array(bpe.prefix_table(chunk.decode("utf-8", "replace")), np.int64))
-    if len(step) and (step.max() > 127 or step.min() < -128):
-        raise ValueError("one code point changes the count by more than a byte holds")
-    return step.astype(np.int8).tobytes()
-
-
 def _memo(vocab_path: str, memo: int) -> tuple[Bpe, Generations]:
     bpe = Bpe(vocab_path, memo)
-    return bpe, Generations(lambda chunk: _steps(bpe, chunk), memo)
+    return bpe, Generations(lambda chunk: bpe.steps(chunk.decode("utf-8", "replace")), memo)
 
 
 def prefix_tables(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", memo: int = 500_000) -> DataFrame:
