@@ -5,9 +5,10 @@
    (which lengths share a sequence, and how many such sequences there are).
 3. A piece's rank among those of its length says which sequence, and where in it.
 
-The ranks come from two small sums: pieces are dealt to shards by a hash of their row, ranked inside a shard, and the
-shards' counts are added up; no group of equal length meets in one task.  Null texts count as empty and still have
-the closing id; repeated rows are packed each; an empty table gives no rows; other columns are not read.
+Ranks need no sort by length: a task counts the pieces of each length as it writes them, and the sums of these counts
+over the tasks in front, joined by (length, task), make the counts ranks.  No group of equal length meets in one task.
+Null texts count as empty and still have the closing id; repeated rows are packed each; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -120,26 +121,31 @@ def slices(texts: pa.Array, most: int = 6 << 20) -> Iterator[tuple[int, int]]:
 
 
 def cut_pieces(docs: DataFrame, vocab_path: str, size: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Pieces of every document, in one pass, with the library's ids."""
+    """Pieces of every document, in one pass, with the library's ids; a piece is the ``nth`` of its length of its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, begun = TaskContext.get().partitionId(), defaultdict(int)
         encoder = per_worker(WordEncoder, vocab_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[], [], [], [], [], []]
                 texts = pc.fill_null(part.column(1), "").cast(pa.string())
                 for doc, ids in zip(part.column(0).to_pylist(), encoder(texts), strict=True):
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n, size):
                         piece = ids[4 * start : 4 * (start + size)]
-                        for col, x in zip(cols, (doc, start, len(piece) // 4, zlib.crc32(piece), n), strict=True):
+                        length = len(piece) // 4
+                        for col, x in zip(cols, (doc, start, length, zlib.crc32(piece), n, begun[length]), strict=True):
                             col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+                        begun[length] += 1
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array([task] * len(cols[0]), pa.int32())], names=["id", "start", "length", "ids_crc32", "doc_tokens", "nth", "task"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda batches: released(run(batches)), PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda batches: released(run(batches)), f"{PIECES}, nth long, task int")
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -195,19 +201,19 @@ def places(patterns: list, first: int = 0) -> dict[int, tuple[list[int], list[tu
     return dict(out)
 
 
-def pack(docs: DataFrame, vocab_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int = 64) -> DataFrame:
+def pack(docs: DataFrame, vocab_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every piece with its sequence and offset; see the module."""
-    shard = F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(shards)).cast("int")
     with arrow_batches(docs.sparkSession, 2000):
-        pieces = write_table(cut_pieces(docs, vocab_path, size, end_id, id_col, text_col).withColumn("shard", shard), "pieces")
-    by_shard = pieces.groupBy("length", "shard").agg(F.count(F.lit(1)).alias("n"))
-    # at most size * shards rows, whatever the input
-    offsets = by_shard.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).select("length", "shard", F.coalesce("before", F.lit(0)).alias("before"))
-    counts = {r["length"]: r["n"] for r in by_shard.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
+        pieces = write_table(cut_pieces(docs, vocab_path, size, end_id, id_col, text_col), "pieces")
+    by_task = write_table(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    # a window row is a task's count, not a piece
+    in_front = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = write_table(by_task.select("length", "task", F.coalesce(F.sum("n").over(in_front), F.lit(0)).alias("before")), "offsets")
+    counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
     full = counts.pop(size, 0)
     where = places(pack_histogram(counts, size), full)
-    within = Window.partitionBy("length", "shard").orderBy("id", "start", "ids_crc32")
-    ranked = pieces.withColumn("rank", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["length", "shard"])
+    # no broadcast hint: offsets grow with the number of tasks, and Spark checks their size
+    ranked = pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("nth") + F.col("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,7 +229,7 @@ def pack(docs: DataFrame, vocab_path: str, size: int = 2048, end_id: int = 1, id
                     at.append(runs[k][1])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequences, pa.int64()), pa.array(at, pa.int64())], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    flat = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).cast("long").alias("rank"))
+    flat = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long").alias("rank"))
     return flat.mapInArrow(lambda batches: released(run(batches)), f"{PIECES}, sequence_id long, offset long").withColumnRenamed("id", id_col)
 
 

@@ -15,8 +15,7 @@ Symbols are UTF-8 bytes; the model has order ``ORDER``, with null bytes in front
 A text is rejected if its bits per byte exceed its threshold by more than ``MARGIN``: a good text with one strange
 span, such as a key that operator 4 hides later, stays.  Null and empty texts have no
 perplexity and are kept.  A null language is a language of its own.  Without trusted texts all are kept.  Rows that
-repeat an id are scored each; when rejected rows are removed, they go by id.  Rows with a null id are scored, and never
-removed.  An empty table gives no rows; other columns are not read.
+repeat an id are scored each; rejected rows go by id and text.  Rows with a null id are scored, and never removed.  An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import arrow_batches, only, released, without, write_table
+from .common import ID, MAY, arrow_batches, may_hold, only, released, write_table
 
 ORDER = 5
 QUANTILE, MARGIN, PRIOR = 0.995, 0.1, 20
 #: One in this many trusted texts is held out, for thresholds.
 HELD_OUT = 5
 FLUSH = 1_000_000
+KEY = "_cladeflow_text_key"
 #: Texts in a parcel, parcels in an Arrow batch; n-grams in a row of answers.
 PARCEL, ANSWERS = 128, 16_384
 
@@ -135,8 +135,7 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     low = lambda k: F.col("key").bitwiseAND((1 << 8 * k) - 1)
     tables, needed = {ORDER: counts}, {ORDER: write_table(asked.select("key").distinct(), "needed")}
     for k in range(ORDER - 1, 0, -1):
-        fewer = tables[k + 1].groupBy(low(k).alias("key")).agg(F.count(F.lit(1)).alias("c"))
-        tables[k] = write_table(fewer.coalesce(1) if k < 3 else fewer, f"counts{k}")  # below order 3 at most 65,536 rows
+        tables[k] = write_table(tables[k + 1].groupBy(low(k).alias("key")).agg(F.count(F.lit(1)).alias("c")), f"counts{k}")
         needed[k] = needed[k + 1].select(low(k).alias("key")).distinct()
     p = None
     for k in range(1, ORDER + 1):
@@ -154,7 +153,8 @@ def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     return p
 
 
-ROW = "split long, kind int, a binary, b binary, ids array<long>, langs array<string>, sizes array<int>"
+ROW = "split long, kind int, a binary, b binary, ids array<long>, text_keys array<long>, langs array<string>, sizes array<int>"
+NAMES = ["split", "kind", "a", "b", "ids", "text_keys", "langs", "sizes"]
 
 
 def answers(asked: DataFrame, p: DataFrame) -> DataFrame:
@@ -172,8 +172,8 @@ def answers(asked: DataFrame, p: DataFrame) -> DataFrame:
             parts = [(k, min(k + ANSWERS, j)) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for k in range(i, j, ANSWERS)]
             none = [None] * len(parts)
             return pa.RecordBatch.from_arrays(
-                [pa.array(split[[i for i, _ in parts]]), pa.array([0] * len(parts), pa.int32()), pa.array([key[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([bits[i:j].tobytes() for i, j in parts], pa.binary()), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.string())), pa.array(none, pa.list_(pa.int32()))],
-                names=["split", "kind", "a", "b", "ids", "langs", "sizes"],
+                [pa.array(split[[i for i, _ in parts]]), pa.array([0] * len(parts), pa.int32()), pa.array([key[i:j].tobytes() for i, j in parts], pa.binary()), pa.array([bits[i:j].tobytes() for i, j in parts], pa.binary()), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.string())), pa.array(none, pa.list_(pa.int32()))],
+                names=NAMES,
             )
 
         for batch in batches:
@@ -201,13 +201,13 @@ def parcels(texts: DataFrame) -> DataFrame:
                 split = part.column(0).to_numpy()
                 for s in np.unique(split).tolist():
                     own = part.filter(pa.array(split == s))
-                    some = [x or b"" for x in own.column(3).to_pylist()]
+                    some = [x or b"" for x in own.column(4).to_pylist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([s], pa.int64()), pa.array([1], pa.int32()), pa.array([squeeze.compress(b"".join(some))], pa.binary()), pa.array([None], pa.binary()), pa.array([own.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([own.column(2).to_pylist()], pa.list_(pa.string())), pa.array([[len(x) for x in some]], pa.list_(pa.int32()))],
-                        names=["split", "kind", "a", "b", "ids", "langs", "sizes"],
+                        [pa.array([s], pa.int64()), pa.array([1], pa.int32()), pa.array([squeeze.compress(b"".join(some))], pa.binary()), pa.array([None], pa.binary()), pa.array([own.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([own.column(2).to_pylist()], pa.list_(pa.int64())), pa.array([own.column(3).to_pylist()], pa.list_(pa.string())), pa.array([[len(x) for x in some]], pa.list_(pa.int32()))],
+                        names=NAMES,
                     )
 
-    return texts.select("split", "id", "lang", "text").mapInArrow(lambda batches: released(run(batches)), ROW)
+    return texts.select("split", "id", "text_key", "lang", "text").mapInArrow(lambda batches: released(run(batches)), ROW)
 
 
 class Table:
@@ -237,8 +237,8 @@ class Table:
         return out
 
 
-def scored(rows: DataFrame) -> DataFrame:
-    """``(id, lang, n_bytes, bits)`` from a split's answers and then its texts."""
+def scored(rows: DataFrame, splits: int) -> DataFrame:
+    """``(id, text_key, lang, n_bytes, bits)`` from a split's answers and then its texts; ``splits`` is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -246,7 +246,7 @@ def scored(rows: DataFrame) -> DataFrame:
         loosen, split, table, keys, bits = zstandard.ZstdDecompressor(), None, None, [], []
         for batch in batches:
             for i in range(batch.num_rows):
-                s, kind, a, b, ids, langs, sizes = (batch.column(c)[i].as_py() for c in range(7))
+                s, kind, a, b, ids, text_keys, langs, sizes = (batch.column(c)[i].as_py() for c in range(8))
                 if s != split:
                     split, table, keys, bits = s, None, [], []
                 if not kind:
@@ -263,9 +263,11 @@ def scored(rows: DataFrame) -> DataFrame:
                 if full:
                     found, starts = ngrams([texts[k] for k in full])
                     total[full] = np.add.reduceat(table(found).astype(np.float64), starts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(total)], names=["id", "lang", "n_bytes", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(text_keys, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int64()), pa.array(total)], names=["id", "text_key", "lang", "n_bytes", "bits"])
 
-    return rows.repartition("split").sortWithinPartitions("split", "kind").mapInArrow(lambda batches: released(run(batches)), "id long, lang string, n_bytes long, bits double")
+    # more partitions than splits, so that few meet in one task however many there are
+    parts = max(2 * splits, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "split").sortWithinPartitions("split", "kind").mapInArrow(lambda batches: released(run(batches)), "id long, text_key long, lang string, n_bytes long, bits double")
 
 
 def split_id() -> Column:
@@ -274,9 +276,9 @@ def split_id() -> Column:
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(id, lang, n_bytes, bits_per_byte)`` of every row of ``docs`` under a model of the rows whose id is in
-    ``trusted(id)``.  Rows that don't come straight from files are written first, so that splits stay the same."""
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
+    """``(id, text_key, lang, n_bytes, bits_per_byte)`` of every row of ``docs`` under a model of the rows whose id is in
+    ``trusted(id)``; the key is a hash of the text.  Rows that don't come straight from files are written first, so that splits stay the same."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text")).withColumn("text_key", F.xxhash64("text"))
     if not plain.where(F.input_file_name() == "").isEmpty():
         plain = write_table(plain, "texts")
     train = write_table(count_ngrams(only(plain, "id", trusted)), f"counts{ORDER}")
@@ -285,8 +287,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     p = probabilities(train, asked)
     replies = write_table(answers(asked, p), "answers")
     with arrow_batches(docs.sparkSession, PARCEL):
-        found = write_table(scored(parcels(texts).unionByName(replies)), "scores")
-    return found.select("id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
+        found = write_table(scored(parcels(texts).unionByName(replies), asked.select("split").distinct().count()), "scores")
+    return found.select("id", "text_key", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"))
 
 
 def size_class() -> Column:
@@ -309,7 +311,7 @@ def thresholds(scores: DataFrame, held_out: DataFrame, quantile: float) -> DataF
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """``(id, lang, n_bytes, bits_per_byte, threshold, keep)`` per row; trusted are ids labelled quality 1 and not toxic."""
+    """``(id, lang, n_bytes, bits_per_byte, threshold, keep, text_key)`` per row; trusted are ids labelled quality 1 and not toxic."""
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("id"))
     bad = labels.where("quality = 0 or toxic = 1").select(F.col("doc_id").cast("long").alias("id"))
     good = write_table(good.where("id is not null").distinct().join(bad, "id", "left_anti"), "trusted")
@@ -324,14 +326,20 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = lambda n, t, to: F.coalesce((F.col(n) * F.col(t) + PRIOR * F.col(to)) / (F.col(n) + PRIOR), to)
     judged = judged.withColumn("t1", drawn("n1", "t1", "t0")).withColumn("threshold", drawn("n2", "t2", "t1"))
     keep = F.coalesce(F.col("bits_per_byte") <= F.col("threshold") + margin, F.lit(True))
-    return judged.select(F.col("id").alias(id_col), "lang", "n_bytes", "bits_per_byte", "threshold", keep.alias("keep"))
+    return judged.select(F.col("id").alias(id_col), "lang", "n_bytes", "bits_per_byte", "threshold", keep.alias("keep"), "text_key")
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rows judged low; columns as they are."""
-    rejected = write_table(judge(docs, labels, id_col, **how).where("not keep").select(F.col(id_col).alias("id")).where("id is not null").distinct(), "rejected")
-    return without(docs, id_col, rejected)
+def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows judged low; columns as they are.  Rows go by id and text, so a good text stays though
+    another one under its id goes.  Rows that surely stay are not shuffled."""
+    low = judge(docs, labels, id_col, text_col, **how).where("not keep").select(F.col(id_col).alias("id"), "text_key")
+    rejected = write_table(low.where("id is not null").distinct(), "rejected")
+    marked = may_hold(docs, id_col, rejected.select("id"))
+    likely = marked.where(MAY).drop(MAY)
+    on = (likely[id_col].cast("long") == F.col(ID)) & (F.xxhash64(likely[text_col].cast("binary")) == F.col(KEY))
+    stay = likely.join(rejected.select(F.col("id").alias(ID), F.col("text_key").alias(KEY)), on, "left_anti")
+    return marked.where(f"not {MAY}").drop(MAY).unionByName(stay)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_key")

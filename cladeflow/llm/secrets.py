@@ -1,12 +1,15 @@
 """Operator 4: secrets in texts, with a random forest against false positives, in DataFrame functions only.
 
-Candidates are runs of credential characters that hold a digit (16 or more), and shorter ones (8 or more) that are
-assigned to something.  For each, features: length, character transitions, dictionary coverage, path, neighbouring
-words.  A forest (spark.ml) is trained on labelled findings; its trees become one SQL expression, so scanning is a
-single projection over the texts, with no join and no shuffle.
+Candidates are private-key blocks, runs of credential characters that hold a digit (16 or more), and shorter ones (8 or
+more) that are assigned to something or follow a word such as "password" (16 letters alone, unassigned, are none).  For
+each, features: length, character transitions, dictionary coverage, path, neighbouring words.  The dictionary is the
+texts' own: their ``DICTIONARY`` most frequent words.  A forest (spark.ml) is trained on labelled findings, given as a
+table of at most ``FINDINGS`` rows or made; its trees become one SQL expression, so scanning is a single projection over
+the texts, with no join and no shuffle.
 
 Offsets are code points, end exclusive.  Null and empty texts have no findings; repeated rows are returned each; ids
-pass through, null too; an empty table gives no rows.  Other columns are kept or not read.
+pass through, null too; an empty table gives no rows.  ``scan`` reads the id and the text only; ``redact`` keeps all
+other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,21 +22,32 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .spans import located
+from .spans import kept, located
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+|(?<=[=:]\x20{0,2}[\"']?)[A-Za-z0-9+/_.!@#$%^&*-]{8,}+)={0,2}"
-KEYWORDS = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?id)[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$"
+PRIVATE = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+){0,64}+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+LED = r"(?<=(?:[=:]|=>|(?:password|passwd|secret|token)(?:\x20is)?\x20?)\x20{0,2}[\"']?)"
+#: A run to which something is assigned is a name.
+UNASSIGNED = r"(?!=[\"']?[A-Za-z0-9+/_-]{4}|\x20?(?:=>?|:)\x20[\"'][A-Za-z0-9]{4})"
+CANDIDATE = PRIVATE + r"|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+|" + LED + r"[A-Za-z0-9+/_.!@#$%^&*-]{8,}+)" + UNASSIGNED + "={0,2}"
+KEYWORDS = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?id)(?:[_-][A-Za-z0-9_-]{0,24})?[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$"
 OTHER_WORDS = r"(?i)(?:sha-?(?:1|256|512)?|md5|commit|checksum|digest|uuid|guid|etag|hash|revision|integrity|build|isbn|order|invoice|phone|card)[\"']?\s*(?:[:=]|is)?\s*[\"']?$"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|test|todo|redacted|12345678|abcdef"
 ISSUED = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-|npm_)"
 #: Frequent words of code and prose, as a dictionary for coverage.
 WORDS = ("about", "access", "account", "action", "address", "admin", "after", "array", "base", "build", "button", "cache", "class", "client", "cloud", "code", "config", "content", "control", "count", "create", "data", "date", "default", "delete", "device", "document", "error", "event", "example", "field", "file", "filter", "form", "from", "group", "handler", "header", "home", "html", "http", "https", "image", "index", "input", "item", "java", "json", "label", "last", "line", "link", "list", "local", "login", "main", "manager", "message", "method", "model", "module", "name", "node", "number", "object", "option", "order", "output", "page", "param", "path", "post", "public", "query", "read", "report", "request", "response", "result", "route", "sample", "script", "search", "select", "server", "service", "session", "setting", "size", "source", "start", "state", "static", "status", "string", "style", "system", "table", "target", "test", "text", "time", "title", "type", "update", "user", "value", "version", "view", "with", "world", "write")
-FEATURES = ("length", "changes", "kinds", "digits", "upper", "variety", "pairs", "covered", "slashes", "path", "hex", "issued", "keyword", "other", "placeholder", "assigned", "quoted")
-TREES, DEPTH = 15, 6
+FEATURES = ("length", "changes", "kinds", "digits", "upper", "variety", "pairs", "covered", "known", "slashes", "path", "hex", "issued", "keyword", "other", "placeholder", "assigned", "quoted")
+TREES, DEPTH, DICTIONARY, FINDINGS = 15, 6, 4096, 100_000
 
 
-def features(s: Column) -> dict[str, Column]:
-    """Of a candidate (start, end, text, before, after)."""
+def dictionary(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> list[str]:
+    """The most frequent words of three letters or more, ties in order of the alphabet; of all texts, counted whole."""
+    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(r"\b[a-z]{3,24}\b"), F.lit(0)))
+    counts = docs.select(word.alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def features(s: Column, words: list[str]) -> dict[str, Column]:
+    """Of a candidate (start, end, text, before, after), with the dictionary of the texts."""
     text, n = s["text"], F.length(s["text"]).cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
     lower = F.lower(text)
@@ -49,6 +63,8 @@ def features(s: Column) -> dict[str, Column]:
         # letter pairs common in words: transitions that chance rarely makes
         "pairs": (n - F.length(F.regexp_replace(lower, "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur", ""))) / n,
         "covered": (n - F.length(F.regexp_replace(lower, "|".join(sorted(WORDS, key=len, reverse=True)), ""))) / n,
+        # letters that stand in whole words of the dictionary
+        "known": F.aggregate(F.filter(F.regexp_extract_all(lower, F.lit("[a-z]{3,}"), F.lit(0)), lambda w: w.isin(*words)) if words else F.array().cast("array<string>"), F.lit(0), lambda n, w: n + F.length(w)) / n,
         "slashes": n - F.length(F.regexp_replace(text, "[/_-]", "")),
         "path": flag(s["before"].rlike(r"(?:https?:|www\.|\./|[A-Za-z0-9]\.|://|/)[^\s]*$") | text.rlike(r"^/|[a-z]{3,}/[a-z]{3,}/")),
         "hex": flag(text.rlike("^[0-9a-f]+$|^[0-9A-F]+$")),
@@ -104,14 +120,16 @@ def labelled_findings(n: int = 3000, seed: int = 7) -> list[tuple[str, str, str,
     return [(*(t := true() if i % 2 else false())[:1], t[1][-32:], t[2][:32], i % 2) for i in range(n)]
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, int]]):
-    """A forest over the features of labelled findings."""
+def train(findings: DataFrame, words: list[str], most: int = FINDINGS):
+    """A forest over the features of labelled findings ``(text, before, after, label)``: at most ``most`` rows, those
+    with the smallest hashes."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = spark.createDataFrame(findings, "text string, before string, after string, label int")
-    s = F.struct("text", "before", "after")
-    table = rows.select(F.col("label").cast("double").alias("label"), *[c.cast("double").alias(k) for k, c in features(s).items()]).coalesce(1)
+    rows = findings.select("text", "before", "after", F.col("label").cast("double").alias("label")).where("text is not null and label is not null")
+    rows = rows.orderBy(F.xxhash64("text", "before", "after"), "text", "label").limit(most)
+    s = F.struct("text", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
+    table = rows.select("label", *[c.cast("double").alias(k) for k, c in features(s, words).items()]).coalesce(1)
     points = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, featureSubsetStrategy="onethird").fit(points)
 
@@ -136,46 +154,47 @@ def score(trees: list, values: list[Column]) -> Column:
     return functools.reduce(lambda a, b: a + b, map(walk, trees)) / len(trees)
 
 
-@functools.lru_cache(maxsize=2)
-def _default_trees(app: str) -> list:
-    return trees_of(train(SparkSession.active(), labelled_findings()))
-
-
-def scan(docs: DataFrame, text_col: str = "text", trees: list | None = None, least: float = 0.5, out: str = "findings") -> DataFrame:
-    """``docs`` with ``findings`` (``out``): array of (start, end, text, score, secret), in order."""
-    trees = trees or _default_trees(docs.sparkSession.sparkContext.applicationId)
+def verdicts(docs: DataFrame, text_col: str, findings: DataFrame | None, least: float) -> Column:
+    """Expression: the findings of ``text_col``, an array of (start, end, text, score, secret), in order."""
+    spark = docs.sparkSession
+    words = dictionary(docs, text_col)
+    if findings is None:
+        findings = spark.createDataFrame(labelled_findings(), "text string, before string, after string, label int")
+    trees = trees_of(train(findings, words))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def measured(s: Column) -> Column:
-        own = features(s)
+        own = features(s, words)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.array(*[own[k].cast("double") for k in FEATURES]).alias("x"))
 
     def judged(m: Column) -> Column:
         p = score(trees, [F.element_at(m["x"], i + 1) for i in range(len(FEATURES))])
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.round(p, 4).alias("score"), (p >= least).alias("secret"))
+        sure = m["text"].startswith("-----BEGIN")
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.round(p, 4).alias("score"), (sure | (p >= least)).alias("secret"))
+
+    return F.transform(F.transform(located(text, CANDIDATE), measured), judged)
+
 
-    found = docs.withColumn("_cladeflow_measured", F.transform(located(text, CANDIDATE), measured))
-    return found.withColumn(out, F.transform("_cladeflow_measured", judged)).drop("_cladeflow_measured")
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """``(id, findings)`` per row: array of (start, end, text, score, secret), in order."""
+    return docs.select(id_col, verdicts(docs, text_col, findings, least).alias("findings"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **how) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; other columns as they are."""
-    columns = docs.columns
-    found = scan(docs, text_col, out="_cladeflow_findings", **how)
-    secrets = F.filter("_cladeflow_findings", lambda f: f["secret"])
+    found = verdicts(docs, text_col, findings, least)
     text = F.col(text_col)
 
-    def step(acc: Column, f: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, f["start"] - acc["at"])
-        return F.struct(f["end"].alias("at"), F.concat(acc["out"], kept, F.lit(mark)).alias("out"))
+    def cleaned(f: Column) -> Column:
+        shown = F.transform(f, lambda x: F.when(x["secret"], F.lit(mark)).otherwise(x["text"]))
+        parts = F.zip_with(F.split(text, CANDIDATE, -1), shown, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+        return F.when(F.exists(f, lambda x: x["secret"]), F.array_join(parts, "")).otherwise(text)
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(secrets, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size(secrets) > 0, cleaned).otherwise(text)).select(*columns)
+    return docs.withColumn(text_col, kept(found, cleaned))
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
     """One row per candidate, with the forest's verdict; the text of a finding is not returned."""
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     each = found.select("doc_id", F.explode("findings").alias("f"))
     return each.select("doc_id", F.col("f.start").cast("long").alias("start"), F.col("f.end").cast("long").alias("end"), F.sha2("f.text", 256).alias("finding_sha256"), F.col("f.score").alias("score"), F.col("f.secret").alias("secret"))

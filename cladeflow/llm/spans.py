@@ -7,23 +7,65 @@ exclusive.  Patterns must not match the empty string.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 SPAN = "array<struct<start:int,end:int,text:string,before:string,after:string>>"
 
 
+#: Matches of a block: running sums are taken inside blocks and over blocks, so their cost grows with the number of
+#: matches times BLOCK, not with its square.
+BLOCK = 64
+
+
+def running(sizes: Column) -> Column:
+    """Array of the sums up to and including each entry of an array of integers."""
+    sums = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+    starts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int"))
+    inner = F.transform(starts, lambda b: sums(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def over(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.element_at(b, -1))
+        return F.flatten(F.zip_with(blocks, F.slice(F.concat(F.array(F.lit(0)), sums(ends)), F.lit(1), F.size(blocks)), lambda b, before: F.transform(b, lambda x: x + before)))
+
+    return F.when(F.size(sizes) > 0, kept(inner, over)).otherwise(F.array().cast("array<int>"))
+
+
+def kept(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def located(text: Column, pattern: str, context: int = 32) -> Column:
-    """Array of (start, end, text, before, after): ``context`` code points on both sides, as far as the next match."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(context)).alias("tail"), F.substring(g, 1, context).alias("head")))
+    """Array of (start, end, text, before, after): ``context`` code points on both sides, over the neighbouring match and
+    the gap beyond it (positions are never walked to from the start of the text)."""
+    tail = lambda c: F.right(c, F.lit(context))
+    head = lambda c: F.substring(c, 1, context)
+    nothing = F.struct(F.lit(0).alias("n"), F.lit("").alias("tail"), F.lit("").alias("head"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), tail(g).alias("tail"), head(g).alias("head")))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sides = F.zip_with(gaps, F.slice(gaps, 2, 2**31 - 1), lambda g, h: F.struct(g["n"].alias("n"), g["tail"].alias("before"), h["head"].alias("after")))
-    rows = F.zip_with(F.slice(sides, F.lit(1), F.greatest(F.size(found), F.lit(0))), found, lambda g, m: F.struct(g.alias("gap"), m.alias("text")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]["n"]
-        end = start + F.length(x["text"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"), x["gap"]["before"].alias("before"), x["gap"]["after"].alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).cast(SPAN).alias("out"))
+    def spans(both: Column) -> Column:
+        m, g = both["m"], both["g"]
+        n = F.size(m)
+        few = F.greatest(n - 1, F.lit(0))
+        row = F.arrays_zip(
+            m,
+            F.slice(g, F.lit(1), n),
+            F.slice(g, F.lit(2), n),
+            F.concat(F.array(F.lit("")), F.slice(m, F.lit(1), few)),
+            F.concat(F.array(nothing), F.slice(g, F.lit(1), few)),
+            F.concat(F.slice(m, F.lit(2), few), F.array(F.lit(""))),
+            F.concat(F.slice(g, F.lit(3), few), F.array(nothing)),
+            running(F.zip_with(F.slice(g, F.lit(1), n), m, lambda x, y: x["n"] + F.length(y))),
+        )
+
+        def one(x: Column) -> Column:
+            before = tail(F.concat(x["4"]["tail"], tail(x["3"]), x["1"]["tail"]))
+            after = head(F.concat(x["2"]["head"], head(x["5"]), x["6"]["head"]))
+            return F.struct((x["7"] - F.length(x["m"])).alias("start"), x["7"].alias("end"), x["m"].alias("text"), before.alias("before"), after.alias("after"))
+
+        return F.transform(row, one)
 
-    return F.when(F.size(found) > 0, F.aggregate(rows, begin, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(found) > 0, kept(F.struct(found.alias("m"), gaps.alias("g")), spans)).otherwise(F.array().cast(SPAN))
