@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,25 +17,42 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 @functools.lru_cache(maxsize=4)
 def own_dir(application: str) -> str:
-    """Where the session names no shared folder (one machine, tests)."""
-    return tempfile.mkdtemp(prefix="cladeflow-")
+    """A folder for one machine (tests), removed at the end."""
+    folder = tempfile.mkdtemp(prefix="cladeflow-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read, as the session names it."""
+    """The folder every executor can read, as the session names it; on a cluster it must name one."""
     context = spark.sparkContext
     named = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     return (named or own_dir(context.applicationId)).rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    spark = df.sparkSession
+    shared = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if shared in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Smaller Arrow batches for what is run inside: whole texts and vectors of 10,000 rows weigh too much at once."""
@@ -134,8 +153,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if not state[0]:
             break
-        pairs = write_table(small(large(pairs).distinct()).where("a <> b").distinct(), "stars")
+        last, pairs = pairs, write_table(small(large(pairs).distinct()).where("a <> b").distinct(), "stars")
         now = total(pairs)
+        discard(last)
         if now == state:
             break
         state = now

@@ -1,9 +1,14 @@
 """Operator 1: WARC archives whose records can be read one by one.
 
-``write_archives`` makes archives that are one gzip stream each, as many crawlers leave them; ``normalise`` inflates
-such a stream once, front to back, and rewrites every record as a gzip member of its own, with a sidecar index of
-offsets; ``read_records`` reads records back by their offsets alone.  Archives are rows of a written table (name,
-bytes), of bounded size; ``export_files`` puts them into a folder.
+``write_archives`` makes archive files that are one gzip stream each, as many crawlers leave them; ``normalise`` inflates
+such a file once, front to back, rewrites every record as a gzip member of its own, and writes a sidecar file (.idx:
+offset, length, record id) beside it; ``read_records`` seeks to records by the sidecar's offsets.  Files lie in the shared
+folder; every attempt of a task writes names of its own, and the tables of names that the steps return hold those of the
+attempts that counted, so a lost executor leaves at most files that nothing reads.  A task holds one record and one
+piece of a stream.
+
+The reader takes any archive whose records have a length: header names in any case, with or without white space after
+the colon, folded lines, bytes that aren't UTF-8.
 
 Null payloads are empty.  Of records with equal payloads of at least ``least`` bytes that with the smallest id is a
 response and the others are revisits that refer to it; shorter ones are responses.  Rows that repeat the smallest id
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -23,10 +29,9 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MAY, may_hold, released, write_table
+from .common import MAY, may_hold, new_path, released, write_table
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ENTRY = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string())]))
 
 
 class Record(NamedTuple):
@@ -55,13 +60,12 @@ def member(record: bytes, level: int) -> bytes:
     return z.compress(record) + z.flush()
 
 
-def inflate(data: bytes, piece: int = 1 << 18) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or several members, inflated once and piece by piece."""
-    z, left = zlib.decompressobj(31), memoryview(data)
-    while len(left):
-        out = z.decompress(left[:piece])
-        rest = len(z.unused_data)
-        left = left[min(piece, len(left)) - rest :]
+def inflate(source, piece: int = 1 << 18) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or several members, inflated once and piece by piece from a readable stream."""
+    z, rest = zlib.decompressobj(31), b""
+    while data := rest or source.read(piece):
+        out = z.decompress(data)
+        rest = z.unused_data
         if out:
             yield out
         if z.eof:
@@ -70,24 +74,41 @@ def inflate(data: bytes, piece: int = 1 << 18) -> Iterator[bytes]:
         yield out
 
 
+def header_fields(block: bytes) -> dict[str, str]:
+    """Fields of a record's or an HTTP header by lower-case name: any white space after the colon, folded lines joined,
+    bytes that aren't UTF-8 as Latin-1; of a repeated field the first; lines without a colon are left out."""
+    try:
+        text = block.decode("utf-8")
+    except UnicodeDecodeError:
+        text = block.decode("latin-1")
+    fields: dict[str, str] = {}
+    for line in re.sub(r"\r?\n[ \t]+", " ", text).splitlines()[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
 def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, dict[str, str]]]:
-    """Whole records with their headers from a stream; only the record being read is held."""
-    buffer, need, headers, at = bytearray(), 0, {}, 0
+    """Whole records with their header fields from a stream; only the record being read is held."""
+    buffer, need, fields, begin = bytearray(), 0, {}, 0
     for piece in pieces:
         buffer += piece
         while True:
             if not need:
-                end = buffer.find(b"\r\n\r\n")
+                end = buffer.find(b"\r\n\r\n", begin)
                 if end < 0:
+                    begin = max(0, len(buffer) - 3)  # what was looked through is not looked through again
                     break
-                headers = dict(h.split(": ", 1) for h in buffer[:end].decode("utf-8").split("\r\n")[1:])
-                at = end + 4
-                need = at + int(headers["Content-Length"]) + 4
+                if not buffer.startswith(b"WARC/"):
+                    raise ValueError("no record begins here")
+                fields = header_fields(bytes(buffer[:end]))
+                need = end + 4 + int(fields["content-length"]) + 4
             if len(buffer) < need:
                 break
-            yield bytes(buffer[:need]), headers
+            yield bytes(buffer[:need]), fields
             del buffer[:need]
-            need = 0
+            need = begin = 0
     if buffer:
         raise ValueError("the archive ends inside a record")
 
@@ -112,6 +133,7 @@ def with_references(pages: DataFrame, least: int, id_col: str, url_col: str, htm
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     keys = base.where(F.octet_length("payload") >= least).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
+    first = first.select("digest", "first")
     later = keys.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("digest", "page_id", F.col("first").alias("refers_to")).distinct()
     marked = may_hold(base, "page_id", later.select(F.col("page_id").alias("id")))
     likely = F.col(MAY) | F.col("page_id").isNull()
@@ -122,51 +144,91 @@ def with_references(pages: DataFrame, least: int, id_col: str, url_col: str, htm
     return sure.unionByName(rest.join(later, on, "left").select("page_id", "url", "payload", "digest", "refers_to"))
 
 
+def storage(folder: str):
+    """The file system and path of a folder that all executors reach."""
+    from pyarrow import fs
+
+    if "://" not in folder and ":/" in folder:  # file:/a, as Hadoop writes it
+        folder = folder.replace(":/", ":///", 1)
+    return fs.FileSystem.from_uri(folder)
+
+
+def attempt_name() -> str:
+    """A name that no other attempt of any task has."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+
+
 def write_archives(records: DataFrame, level: int = 3, archive_bytes: int = 4 << 20) -> DataFrame:
-    """Archives ``(archive, data)``, each one gzip stream of about ``archive_bytes`` before compression."""
+    """``(archive)``: paths of archives, each one gzip stream of about ``archive_bytes`` before compression."""
+    folder = new_path(records.sparkSession, "monolithic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        files, path = storage(folder)
+        name, n, held, z, sink, made = attempt_name(), 0, 0, None, None, []
+
+        def close() -> None:
+            sink.write(z.flush())
+            sink.close()
 
-        part, n, held, z, out = TaskContext.get().partitionId(), 0, 0, None, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                z = z or zlib.compressobj(level, zlib.DEFLATED, 31)
+                if sink is None:
+                    files.create_dir(path, recursive=True)
+                    made.append(f"{path}/{name}-{n:05d}.warc.gz")
+                    sink, z, held = files.open_output_stream(made[-1], compression=None), zlib.compressobj(level, zlib.DEFLATED, 31), 0
                 record = build(row[0], row[1], row[2], row[3], row[4])
-                out.append(z.compress(record))
+                sink.write(z.compress(record))
                 held += len(record)
                 if held >= archive_bytes:
-                    yield archive(part, n, b"".join([*out, z.flush()]))
-                    n, held, z, out = n + 1, 0, None, []
-        if z:
-            yield archive(part, n, b"".join([*out, z.flush()]))
-
-    def archive(part: int, n: int, data: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([f"part-{part:05d}-{n:05d}.warc.gz"]), pa.array([data], pa.binary())], names=["archive", "data"])
+                    close()
+                    sink, n = None, n + 1
+        if sink is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{m.rsplit('/', 1)[1]}" for m in made], pa.string())], names=["archive"])
 
-    return write_table(records.mapInArrow(lambda batches: released(run(batches)), "archive string, data binary"), "monolithic")
+    return write_table(records.mapInArrow(lambda batches: released(run(batches)), "archive string"), "archives")
 
 
 def normalise(archives: DataFrame, level: int = 3) -> DataFrame:
-    """``(archive, data, index)``: every record a member of its own; index holds offset, length and record id in order."""
+    """``(archive, sidecar, records)``: paths of archives with a member a record and of their sidecar files."""
+    folder = new_path(archives.sparkSession, "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = storage(folder)
+        name, n = attempt_name(), 0
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                members, index, offset = [], [], 0
-                for record, headers in split_records(inflate(data.as_py() or b"")):
-                    one = member(record, level)
-                    members.append(one)
-                    index.append({"offset": offset, "length": len(one), "record_id": headers["WARC-Record-ID"]})
-                    offset += len(one)
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(members)], pa.binary()), pa.array([index], ENTRY)], names=["archive", "data", "index"])
+            for source in batch.column(0).to_pylist():
+                files.create_dir(path, recursive=True)
+                own, offset, lines = f"{name}-{n:05d}.warc.gz", 0, 0
+                n += 1
+                there, at = storage(source)
+                with there.open_input_stream(at, compression=None) as stream, files.open_output_stream(f"{path}/{own}", compression=None) as sink, files.open_output_stream(f"{path}/{own}.idx", compression=None) as index:
+                    for record, fields in split_records(inflate(stream)):
+                        one = member(record, level)
+                        sink.write(one)
+                        index.write(f"{offset}\t{len(one)}\t{fields.get('warc-record-id', '')}\n".encode())
+                        offset, lines = offset + len(one), lines + 1
+                yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{own}"]), pa.array([f"{folder}/{own}.idx"]), pa.array([lines], pa.int64())], names=["archive", "sidecar", "records"])
+
+    # an archive is a row: rows are dealt one by one, so that no task gets many
+    spread = archives.select("archive").repartition(max(1, archives.count()), "archive")
+    return write_table(spread.mapInArrow(lambda batches: released(run(batches)), "archive string, sidecar string, records long"), "normalised")
 
-    return write_table(archives.select("archive", "data").mapInArrow(lambda batches: released(run(batches)), "archive string, data binary, index array<struct<offset:long,length:long,record_id:string>>"), "members")
 
+def sidecar(path: str) -> list[tuple[int, int, str]]:
+    """(offset, length, record id) of every record of an archive."""
+    files, at = storage(path)
+    with files.open_input_stream(at, compression=None) as f:
+        return [(int(a), int(b), c) for a, b, c in (line.split("\t", 2) for line in f.read().decode().splitlines())]
 
-def sidecar(files: DataFrame) -> DataFrame:
-    """The offset index as a table of its own; ``data`` isn't read."""
-    return files.select("archive", F.explode("index").alias("e")).select("archive", "e.*")
+
+def record_at(source, offset: int, length: int) -> Record:
+    """One record of an open archive, by its place alone."""
+    source.seek(offset)
+    return parse(zlib.decompress(source.read(length), 31))
 
 
 def read_records(files: DataFrame) -> DataFrame:
@@ -174,41 +236,28 @@ def read_records(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data, index in zip(*(c for c in batch.columns), strict=True):
-                data, rows = data.as_py(), []
-                for e in index.as_py():
-                    record = parse(zlib.decompress(data[e["offset"] : e["offset"] + e["length"]], 31))
-                    kind = record.headers["WARC-Type"]
-                    begin = record.block.find(b"\r\n\r\n") + 4
-                    size = int(re.search(rb"Content-Length: (\d+)\r\n", record.block[:begin])[1])
-                    digest = record.headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                    if kind == "response":
-                        payload = record.block[begin:]
-                        if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
-                            raise ValueError(f"{name}: damaged payload at {e['offset']}")
-                    refers = record.headers.get("WARC-Refers-To")
-                    rows.append((page_of(record.headers["WARC-Record-ID"]), size, digest, kind, page_of(refers) if refers else None, name.as_py(), e["offset"], e["length"]))
+            for name, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = []
+                there, at = storage(name)
+                with there.open_input_file(at) as source:
+                    for offset, length, _ in sidecar(index):
+                        record = record_at(source, offset, length)
+                        kind = record.headers["warc-type"]
+                        begin = record.block.find(b"\r\n\r\n") + 4
+                        size = int(header_fields(record.block[:begin])["content-length"])
+                        digest = record.headers["warc-payload-digest"].removeprefix("sha256:")
+                        if kind == "response":
+                            payload = record.block[begin:]
+                            if len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
+                                raise ValueError(f"{name}: damaged payload at {offset}")
+                        refers = record.headers.get("warc-refers-to")
+                        rows.append((page_of(record.headers["warc-record-id"]), size, digest, kind, page_of(refers) if refers else None, name, offset, length))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "archive", "offset", "length"])
 
-    return files.select("archive", "data", "index").mapInArrow(lambda batches: released(run(batches)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
-
-
-def export_files(files: DataFrame, folder: str) -> None:
-    """Write archives and their sidecars (.idx, tab-separated) into a folder that all executors mount."""
-
-    def put(rows) -> None:
-        import os
-
-        os.makedirs(folder, exist_ok=True)
-        for row in rows:
-            with open(f"{folder}/{row['archive']}", "wb") as f:
-                f.write(row["data"])
-            with open(f"{folder}/{row['archive']}.idx", "w", encoding="utf-8") as f:
-                f.writelines(f"{e['offset']}\t{e['length']}\t{e['record_id']}\n" for e in row["index"])
-
-    files.foreachPartition(put)
+    spread = files.select("archive", "sidecar").repartition(max(1, files.count()), "archive")
+    return spread.mapInArrow(lambda batches: released(run(batches)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long")
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:

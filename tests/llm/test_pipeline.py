@@ -11,6 +11,8 @@ def test_stages(spark, tmp_path):
     texts += ["".join(r.choice("#$%&XQZ") for _ in range(300)) for _ in range(10)]
     texts += [texts[0], texts[0] + " re", f'{" ".join(texts[20:30])} token = "{"9f86d081884c7d65" * 2}" {texts[2]}', None, ""]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(5, texts[5], "en", "s", 1)]
+    other = " ".join(word() for _ in range(60))
+    rows += [(6, other, "en", "s", 1), (7, texts[8], "en", "s", 1), (None, texts[9], "en", "s", 1)]  # ids of other texts, a copy under one of them
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(i < 100), 0) for i in range(0, 110)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -21,9 +23,12 @@ def test_stages(spark, tmp_path):
         seen[name] = docs
         if name != "packing":
             assert docs.columns == columns
-    ids = lambda n: sorted(x.doc_id for x in seen[n].select("doc_id").collect())
+    ids = lambda n: sorted((x.doc_id for x in seen[n].select("doc_id").collect()), key=lambda i: (i is None, i))
     assert not set(ids("quality")) & set(range(100, 110))
-    assert ids("near_dedup") == sorted(set(ids("quality")) - {110, 111})
+    known = lambda n: [i for i in ids(n) if i is not None]
+    assert known("near_dedup") == sorted([*(set(known("quality")) - {110, 111, 8}), 6, 7])
+    kept = {(x.doc_id, x.text) for x in seen["near_dedup"].collect()}
+    assert {(5, texts[5]), (6, texts[6]), (6, other), (7, texts[7]), (7, texts[8]), (None, texts[9])} <= kept
     assert ids("secrets") == ids("near_dedup")
     clean = {x.doc_id: x for x in seen["secrets"].collect()}
     assert "[SECRET]" in clean[112].text and clean[112].n_chars == len(clean[112].text)

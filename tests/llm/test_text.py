@@ -222,14 +222,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want, key=str)
     # each record is a member that can be read alone, and the members make up a whole gzip file
     for f in files.collect():
-        whole = gzip.decompress(f.data)
-        assert b"".join(gzip.decompress(f.data[e.offset : e.offset + e.length]) for e in f["index"]) == whole
-    warc.export_files(files, str(tmp_path / "warc"))
-    assert len(list((tmp_path / "warc").glob("*.warc.gz"))) == files.count()
-    assert warc.sidecar(files).count() == len(rows)
+        there, at = warc.storage(f.archive)
+        data = there.open_input_file(at).read()
+        index = warc.sidecar(f.sidecar)
+        assert len(index) == f.records and sum(n for _, n, _ in index) == len(data)
+        assert b"".join(gzip.decompress(data[i : i + n]) for i, n, _ in index) == gzip.decompress(data)
+    assert files.agg(F.sum("records")).first()[0] == len(rows) and files.count() > 2
     assert warc.read_records(warc.normalise(warc.write_archives(warc.with_references(pages.limit(0), 100, "page_id", "url", "html")))).count() == 0
 
 
+def test_foreign_archives_are_normalised(spark, tmp_path):
+    def record(head, block):
+        return head + f"\r\nContent-Length:{len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    plain = [
+        record(b"WARC/1.0\r\nwarc-type:warcinfo\r\nWARC-Record-ID: <urn:uuid:1>", b"software: x\r\n"),
+        record(b"WARC/1.0\r\nWARC-TYPE:  response\r\nWarc-Record-Id:\t<urn:uuid:2>\r\nWARC-Target-URI: http://a/\r\n  folded", "é\r\n\r\nWARC/1.0".encode() * 50),
+        record(b"WARC/1.1\r\nWARC-Type: metadata\r\nX: \xff\xfe\r\nno colon here\r\nWARC-Record-ID: <urn:uuid:3>", b""),
+    ]
+    for name, data in (("one", gzip.compress(b"".join(plain))), ("many", b"".join(map(gzip.compress, plain)))):
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+        (f,) = warc.normalise(spark.createDataFrame([(str(tmp_path / f"{name}.warc.gz"), "x")], "archive string, data string")).collect()
+        index = warc.sidecar(f.sidecar)
+        assert [i for _, _, i in index] == [f"<urn:uuid:{k}>" for k in (1, 2, 3)]
+        there, at = warc.storage(f.archive)
+        data = there.open_input_file(at).read()
+        assert [gzip.decompress(data[i : i + n]) for i, n, _ in index] == plain
+    with pytest.raises(ValueError, match="inside a record"):
+        list(warc.split_records(iter([plain[0][:-9]])))
+
+
 def test_a_rare_language_is_judged_by_its_own_held_out_texts(spark, monkeypatch):
     # 500 English texts of about 3 bits, 100 German ones of about 1.5; then German and French ones of 2.9
     bits = [(i, "en", 1000, 3 + i % 50 / 100) for i in range(500)] + [(500 + i, "de", 1000, 1.5 + i % 50 / 1000) for i in range(100)] + [(900, "de", 1000, 2.9), (901, "fr", 1000, 2.9), (902, "de", 3, 2.9)]

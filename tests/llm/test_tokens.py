@@ -25,9 +25,6 @@ def docs(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(3)
 
 
-def library(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
-
 
 def test_merge_queue_and_prefix_tables_match_the_library():
     for path in (WORD, BYTE):
@@ -120,7 +117,7 @@ def test_packing(spark, docs):
     assert sorted(total.index) == list(range(len(total)))
     assert total.sum() / (64 * len(total)) > 0.9  # sequences as short as this leave more over
     text = {r[0]: r[1] or "" for r in rows}
-    assert got["length"].sum() == sum(len(library(WORD, r[1])) + 1 for r in rows)
+    assert got["length"].sum() == sum(len(tok.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)
     for r in got[got["doc_id"].notna()].itertuples():
         ids = tok.encode(text[int(r.doc_id)], add_special_tokens=False).ids + [1]
         assert r.doc_tokens == len(ids)
