@@ -6,7 +6,7 @@ but the last return the columns of ``docs``.  Null, empty and repeated rows are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cladeflow.llm import near_dedup, packing, quality, secrets
 from cladeflow.llm.common import only, without, write_table
@@ -18,14 +18,32 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8, five words and 0.8: of each group the document with the smallest id stays; of repeated ids, one row."""
-    marked = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    ids = write_table(marked.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "doubles")
-    left = without(docs, "doc_id", ids.where("not kept").select("id"))
-    again = ids.where("kept").select("id")
-    if again.isEmpty():  # no id stands twice: nothing to do
-        return left
-    return without(left, "doc_id", again).unionByName(only(left, "doc_id", again).dropDuplicates(["doc_id"]))
+    """Operator 8, five words and 0.8: of each group the document with the smallest id stays; of equal ids the smallest
+    text, of equal texts the row whose other columns come first.  Different texts under one id are documents of their
+    own: rows of ids that stand on several rows get a key each, so only copies go.  Rows with a null id stay."""
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    again = write_table(again, "repeated")
+    if again.isEmpty():
+        marked = near_dedup.near_duplicates(docs.select("doc_id", "text"))
+        doubles = write_table(marked.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "doubles")
+        return without(docs, "doc_id", doubles)
+    key, rank = "_cladeflow_row", "_cladeflow_rank"
+    others = [F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    first = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("text", *others)
+    several = only(docs, "doc_id", again).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    # keys above every id in use
+    base = docs.agg(F.max("doc_id")).first()[0]
+    several = write_table(several.withColumn(key, F.monotonically_increasing_id() + F.lit(base + 1)), "several")
+    if several.agg(F.min(key)).first()[0] <= base:
+        raise OverflowError("no room for keys above the largest id")
+    once = without(docs, "doc_id", again)
+    keyed = once.select(F.col("doc_id").alias("id"), F.col("doc_id").alias(key), "text").unionByName(several.select(F.col("doc_id").alias("id"), key, "text"))
+    marked = near_dedup.near_duplicates(keyed.select(key, "text"), id_col=key).where(F.col(key).isNotNull())
+    order = several.select(F.col(key).alias("key"), F.col("doc_id").alias("id"), "text")
+    placed = write_table(marked.select(F.col(key).alias("key"), "component_id").join(order, "key", "left").select("key", "component_id", F.coalesce("id", "key").alias("id"), "text"), "placed")
+    best = placed.groupBy("component_id").agg(F.min(F.struct("id", F.coalesce("text", F.lit("")).alias("text"), "key")).alias("best"))
+    doubles = write_table(placed.join(best, "component_id").where("key <> best.key").select(F.col("key").alias("id")).distinct(), "doubles")
+    return without(once, "doc_id", doubles).unionByName(without(several, key, doubles).drop(key))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
