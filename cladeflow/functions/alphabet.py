@@ -35,7 +35,7 @@ def reduced(seq: Column, name: str) -> Column:
 
 def standard(seq: Column) -> Column:
     """Are all residues among the twenty?"""
-    return seq.rlike(f"^[{RESIDUES}]*$")
+    return seq.rlike(rf"^[{RESIDUES}]*\z")
 
 
 def repaired(seq: Column) -> Column:

@@ -38,29 +38,27 @@ KARLIN = {
 }
 
 
+#: BLOSUM62 rows of the codes for N or D, I or L, Q or E, in the order of the residues and then of the codes.
+AMBIGUOUS = "BJZ"
+BLOSUM62_AMBIGUOUS = """
+-2 -1 4 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3 4
+-1 -2 -3 -3 -1 -2 -3 -4 -3 3 3 -3 2 0 -3 -2 -1 -2 -1 2 -3 3
+-1 0 0 1 -3 4 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -2 -2 -2 0 -3 4
+"""
+
+
 def blosum62() -> dict[str, int]:
-    """Pair of residues -> score, for the twenty residues, B (as the mean of N and D), Z (Q and E), X (-1) and * (-4, 1)."""
-    rows = [list(map(int, r.split())) for r in BLOSUM62_ROWS.strip().splitlines()]
-    table = {}
-    for i, row in enumerate(rows):
-        for j, x in enumerate(row):
-            table[ORDER[i] + ORDER[j]] = table[ORDER[j] + ORDER[i]] = x
-    return extended(table)
-
-
-def extended(table: dict[str, int]) -> dict[str, int]:
-    """A matrix of the twenty residues with the four ambiguity codes by rule."""
-    table = dict(table)
-    for code, pair in (("B", "ND"), ("Z", "QE")):
-        for r in (*ORDER, *(c for c in "BZ" if c + "A" in table)):
-            table[code + r] = table[r + code] = math.floor((table[pair[0] + r] + table[pair[1] + r]) / 2)
-        table[code + code] = math.floor((table[pair[0] + code] + table[pair[1] + code]) / 2)
-    for r in (*ORDER, "B", "Z", "X"):
-        table["X" + r] = table[r + "X"] = -1
-    for r in (*ORDER, "B", "Z", "X"):
-        table["*" + r] = table[r + "*"] = -4
-    table["**"] = 1
-    return table
+    """Pair of residues -> score, for the twenty residues, B, J, Z, X (-1) and * (-4, 1 with itself)."""
+    table: dict[str, int] = {}
+    codes = ORDER + AMBIGUOUS
+    lines = [*BLOSUM62_ROWS.strip().splitlines(), *BLOSUM62_AMBIGUOUS.strip().splitlines()]
+    for i, line in enumerate(lines):
+        for j, x in enumerate(map(int, line.split())):
+            table[codes[i] + codes[j]] = table[codes[j] + codes[i]] = x
+    for other, score in (("X", -1), ("*", -4)):
+        for c in (*codes, "X"):
+            table[other + c] = table[c + other] = score
+    return table | {"**": 1}
 
 
 def read_matrix(lines: list[str]) -> dict[str, int]:
@@ -75,7 +73,7 @@ def score_map(table: dict[str, int]) -> Column:
 
 def pair_score(table: Column, a: Column, b: Column) -> Column:
     """Unknown residues count as X."""
-    known = lambda c: F.when(c.rlike("^[ARNDCQEGHILKMFPSTWYVBZX*]$"), c).otherwise("X")
+    known = lambda c: F.when(c.rlike(r"^[ARNDCQEGHILKMFPSTWYVBJZX*]\z"), c).otherwise("X")
     return F.element_at(table, F.concat(known(a), known(b)))
 
 
@@ -85,7 +83,7 @@ def word_score(table: Column, a: Column, b: Column) -> Column:
     return F.when((F.length(a) == F.length(b)) & (F.length(a) > 0), total).otherwise(0)
 
 
-def mean_self_score(table: dict[str, int], codes: str = "ARNDCQEGHILKMFPSTWYVBZX*") -> int:
+def mean_self_score(table: dict[str, int], codes: str = "ARNDCQEGHILKMFPSTWYVBJZX*") -> int:
     """Truncated mean of the diagonal, ambiguity codes included."""
     return int(sum(table[c + c] for c in codes) / len(codes))
 

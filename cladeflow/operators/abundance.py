@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.iterate import cut
@@ -106,18 +108,40 @@ def resampled(hits: DataFrame, share: float, seed: int) -> DataFrame:
     return hits.withColumn("times", n).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).withColumn("read", F.concat_ws("#", F.col("read").cast("string"), "copy")).drop("times", "copy")
 
 
-def bootstrap(hits: DataFrame, replicates: int, share: float, rounds: int) -> DataFrame:
-    """``(replicate, genome, pi)`` of EM runs over resampled reads."""
-    parts = [expectation_maximisation(resampled(hits, share, i), rounds, 0.0).withColumn("replicate", F.lit(i)) for i in range(replicates)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("replicate", "genome", "pi")
+def bootstrap(hits: DataFrame, lengths: DataFrame, replicates: int, share: float, rounds: int = 10000, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
+    """``(replicate, genome, abundance)``: length-corrected abundances of EM runs over resampled reads.
+
+    The replicates are a key: one run of EM serves all of them, and ends when the mean change of each is below the
+    tolerance.
+    """
+    drawn = [resampled(hits, share, i).withColumn("replicate", F.lit(i)) for i in range(replicates)]
+    cells = functools.reduce(DataFrame.unionByName, drawn)
+    each = cells.groupBy("replicate", "read", "genome").agg(F.count(F.lit(1)).cast("double").alias("a"))
+    kinds = each.groupBy("replicate", "read").agg(F.array_sort(F.collect_list(F.struct("genome", "a"))).alias("cells")).groupBy("replicate", "cells").agg(F.count(F.lit(1)).alias("weight"))
+    kinds = cut(kinds.withColumn("pattern", F.xxhash64("cells")))
+    reads = kinds.groupBy("replicate").agg(F.sum("weight").cast("double").alias("reads"))
+    cells = cut(kinds.select("replicate", "pattern", "weight", F.explode("cells").alias("c")).select("replicate", "pattern", "weight", "c.genome", "c.a").join(reads, "replicate"))
+    genomes = cells.select("replicate", "genome").distinct()
+    mixing = genomes.join(genomes.groupBy("replicate").agg(F.count(F.lit(1)).alias("n")), "replicate").select("replicate", "genome", (1.0 / F.col("n")).alias("pi"))
+    for i in range(1, rounds + 1):
+        joint = cells.join(mixing, ["replicate", "genome"]).withColumn("q", F.col("pi") * F.col("a"))
+        posterior = joint.withColumn("r", F.col("q") / F.sum("q").over(Window.partitionBy("replicate", "pattern")))
+        new = posterior.groupBy("replicate", "genome").agg((F.sum(F.col("r") * F.col("weight")) / F.first("reads")).alias("pi"))
+        if i % every == 0:
+            new = cut(new)
+            if tolerance:
+                gap = new.join(mixing.withColumnRenamed("pi", "old"), ["replicate", "genome"]).groupBy("replicate").agg(F.avg(F.abs(F.col("pi") - F.col("old"))).alias("d")).agg(F.max("d")).first()[0]
+                if gap is None or gap < tolerance:
+                    mixing = new
+                    break
+        mixing = new
+    by = mixing.join(lengths, "genome").withColumn("r", F.col("pi") / F.col("length"))
+    return by.select("replicate", "genome", (F.col("r") / F.sum("r").over(Window.partitionBy("replicate"))).alias("abundance"))
 
 
 def percentile_interval(replicates: DataFrame, level: float = 0.95) -> DataFrame:
     """Elements at index round(n * q) - 1 of a genome's sorted replicates, at least the first."""
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    pis = F.array_sort(F.collect_list("pi"))  # as many as there are replicates
+    pis = F.array_sort(F.collect_list("abundance"))  # as many as there are replicates
     at = lambda q: F.element_at(F.col("p"), F.greatest(F.round(F.size("p") * q), F.lit(1)).cast("int"))
     return replicates.groupBy("genome").agg(pis.alias("p")).select("genome", at(lo).alias("low"), at(hi).alias("high"))

@@ -31,12 +31,11 @@ def core_abundance(df: DataFrame, core: DataFrame) -> DataFrame:
 
 
 def exclusive(df: DataFrame) -> DataFrame:
-    """Per cohort: its taxa, those found in no other, and those in all cohorts."""
+    """Per cohort: its taxa, those found in no other, and the rest, shared with one other or more."""
     found = df.where("value > 0").select("cohort", "taxon").distinct()
     spread = found.groupBy("taxon").agg(F.count(F.lit(1)).alias("in"))
-    total = found.agg(F.count_distinct("cohort").alias("all"))
-    each = found.join(spread, "taxon").join(F.broadcast(total), F.lit(True))
-    return each.groupBy("cohort").agg(F.count(F.lit(1)).alias("taxa"), F.count_if(F.col("in") == 1).alias("unique"), F.count_if(F.col("in") == F.col("all")).alias("shared"))
+    each = found.join(spread, "taxon")
+    return each.groupBy("cohort").agg(F.count(F.lit(1)).alias("taxa"), F.count_if(F.col("in") == 1).alias("unique"), F.count_if(F.col("in") > 1).alias("shared"))
 
 
 def common_taxa(df: DataFrame) -> DataFrame:

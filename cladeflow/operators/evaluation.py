@@ -34,10 +34,11 @@ def macro(counts: DataFrame, by: str) -> DataFrame:
 
 
 def macro_strict(counts: DataFrame, by: str) -> DataFrame:
-    """The variant with rules for zeros: nothing true and nothing predicted is 1, one of both alone is 0."""
+    """The variant that takes zeros apart: without truth sensitivity is 1, and precision 1 only if nothing is predicted
+    either; without predictions precision is 1, and sensitivity 1 only if nothing is true either."""
     t, p, tp = F.col("truth"), F.col("predicted"), F.col("tp")
-    sen = F.when(t == 0, F.when(p == 0, 1.0).otherwise(0.0)).otherwise(tp / t)
-    pre = F.when(p == 0, F.when(t == 0, 1.0).otherwise(0.0)).otherwise(tp / p)
+    sen = F.when(t == 0, 1.0).when(p == 0, 0.0).otherwise(tp / t)
+    pre = F.when(p == 0, 1.0).when(t == 0, 0.0).otherwise(tp / p)
     return counts.groupBy(by).agg(F.avg(sen).alias("sensitivity"), F.avg(pre).alias("precision"))
 
 

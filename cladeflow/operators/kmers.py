@@ -23,11 +23,13 @@ BLOCK = 128
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """``(rid, pos, kmer)``, positions from 1.  Sequences are cut into blocks that overlap by k - 1, so that long ones cost
     in proportion to their length and a row never holds all k-mers of a sequence."""
-    n = F.length("seq") - k + 1
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.substring(F.col("seq"), b * BLOCK + 1, F.lit(BLOCK + k - 1)))
-    cut = seqs.where(n > 0).select("rid", F.posexplode(blocks).alias("b", "block"))
-    each = cut.select("rid", "b", F.posexplode(alphabet.kmer_array(F.col("block"), k)).alias("p", "kmer"))
-    return each.select("rid", (F.col("b") * BLOCK + F.col("p") + 1).cast("long").alias("pos"), "kmer")
+    size = max(BLOCK, k)
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # one walk over the sequence
+    bare = seqs.where(F.length("seq") >= k).select("rid", parts.alias("parts"))
+    blocks = F.zip_with("parts", F.slice("parts", 2, 2**31 - 1), lambda x, y: F.concat(x, F.left(F.coalesce(y, F.lit("")), F.lit(k - 1))))
+    dealt = bare.select("rid", F.posexplode(blocks).alias("b", "block")).where(F.length("block") >= k)
+    each = dealt.select("rid", "b", F.posexplode(alphabet.kmer_array(F.col("block"), k)).alias("p", "kmer"))
+    return each.select("rid", (F.col("b") * size + F.col("p") + 1).cast("long").alias("pos"), "kmer")
 
 
 def spectrum(seqs: DataFrame, k: int) -> DataFrame:
@@ -63,7 +65,7 @@ def words_pass(seqs: DataFrame, k: int, least: int) -> DataFrame:
 
 def lookup(queries: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
     """Occurrences ``(qid, qpos, rid, pos)`` of the queries' k-mers."""
-    q = kmers(queries, k).withColumnsRenamed({"rid": "qid", "pos": "qpos"})
+    q = cut(kmers(queries, k).withColumnsRenamed({"rid": "qid", "pos": "qpos"}))  # written, so that Spark knows its size
     return q.join(kmers(seqs, k), "kmer").select("qid", "qpos", "rid", "pos")
 
 
@@ -148,8 +150,12 @@ def map_reads(seqs: DataFrame, contigs: DataFrame, k: int, errors: int, portion:
     (errors + 1) / aligned, ties to the smaller contig and place: (rid, cid, start, errors, aligned).
     """
     hits = kmers(seqs, k).join(kmers(contigs, k).select(F.col("rid").alias("cid"), F.col("pos").alias("cpos"), "kmer"), "kmer")
-    diagonals = hits.select("rid", "cid", (F.col("cpos") - F.col("pos")).alias("shift")).distinct()
-    both = diagonals.join(seqs.select("rid", F.col("seq").alias("rseq")), "rid").join(contigs.select(F.col("rid").alias("cid"), F.col("seq").alias("cseq")), "cid")
+    diagonals = hits.groupBy("rid", "cid", (F.col("cpos") - F.col("pos")).alias("shift")).agg(F.count(F.lit(1)).alias("n"))
+    # each mismatch spoils at most k of a diagonal's k-mers: by lengths and counts alone, most diagonals can't map
+    rlen, clen = seqs.select("rid", F.length("seq").cast("long").alias("rlen")), contigs.select(F.col("rid").alias("cid"), F.length("seq").cast("long").alias("clen"))
+    common = F.least("rlen", F.col("clen") - F.col("shift")) - F.greatest(F.lit(0).cast("long"), -F.col("shift"))
+    able = diagonals.join(rlen, "rid").join(clen, "cid").where((common >= portion * F.col("rlen")) & (F.col("n") >= common - (k - 1) - errors * k))
+    both = able.select("rid", "cid", "shift").join(seqs.select("rid", F.col("seq").alias("rseq")), "rid").join(contigs.select(F.col("rid").alias("cid"), F.col("seq").alias("cseq")), "cid")
     first = F.greatest(F.lit(0).cast("long"), -F.col("shift"))
     last = F.least(F.length("rseq").cast("long"), F.length("cseq") - F.col("shift"))
     cut = both.withColumn("aligned", last - first).where(F.col("aligned") >= portion * F.length("rseq"))

@@ -161,12 +161,11 @@ def aligned(edges: DataFrame, networks: list[str]) -> DataFrame:
 
 
 def edge_shares(edges: DataFrame) -> DataFrame:
-    """Per network: edges, those found in no other, those in all."""
+    """Per network: edges, the share found in no other, the share found in one other or more."""
     e = edges.select("network", "source", "target").distinct()
     spread = e.groupBy("source", "target").agg(F.count(F.lit(1)).alias("k"))
-    every = e.agg(F.count_distinct("network").alias("all"))
-    x = e.join(spread, ["source", "target"]).join(F.broadcast(every), F.lit(True))
-    return x.groupBy("network").agg(F.count(F.lit(1)).alias("edges"), F.avg((F.col("k") == 1).cast("double")).alias("unique"), F.avg((F.col("k") == F.col("all")).cast("double")).alias("shared"))
+    x = e.join(spread, ["source", "target"])
+    return x.groupBy("network").agg(F.count(F.lit(1)).alias("edges"), F.avg((F.col("k") == 1).cast("double")).alias("unique"), F.avg((F.col("k") > 1).cast("double")).alias("shared"))
 
 
 def shared_edges(edges: DataFrame) -> DataFrame:
@@ -244,8 +243,8 @@ def harmonic(edges: DataFrame) -> DataFrame:
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """``(v, betweenness)`` by Brandes' sums, one source a task row; a network is small enough to be sent to each task
-    (at most ``MOST_EDGES`` edges, checked)."""
+    """``(v, betweenness)`` by Brandes' sums, as a share of the (n - 1)(n - 2) / 2 pairs of other vertices; one source a
+    task row; a network is small enough to be sent to each task (at most ``MOST_EDGES`` edges, checked)."""
     import pandas as pd
 
     MOST_EDGES = 1_000_000  # noqa: N806
@@ -284,7 +283,9 @@ def betweenness(edges: DataFrame) -> DataFrame:
 
     every = edges.select(F.col("source").alias("v")).union(edges.select("target")).distinct()
     sums = every.mapInPandas(run, f"v {kind}, part double").groupBy("v").agg((F.sum("part") / 2).alias("b"))
-    return every.join(sums, "v", "left").select("v", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+    n = len(near)
+    pairs = float((n - 1) * (n - 2) / 2) or 1.0
+    return every.join(sums, "v", "left").select("v", (F.coalesce("b", F.lit(0.0)) / pairs).alias("betweenness"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
@@ -311,10 +312,17 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return ends.join(inside, "community", "left").join(F.broadcast(m), F.lit(True)).agg(F.sum(F.coalesce("l", F.lit(0)) / F.col("m") - (F.col("d") / (2 * F.col("m"))) * (F.col("d") / (2 * F.col("m")))).alias("modularity"))
 
 
-def module_leaders(stats: DataFrame, communities: DataFrame) -> DataFrame:
-    """``(community, v, degree)``: the vertex of highest degree in each, ties to the smaller."""
-    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), "v"))
-    return stats.join(communities, "v").withColumn("rank", rank).where("rank = 1").select("community", "v", "degree")
+def module_leaders(edges: DataFrame, communities: DataFrame, values: DataFrame) -> DataFrame:
+    """``(community, v, degree)``: in each community of three vertices or more, the vertex with most edges inside it;
+    ties go to the larger ``value`` of ``values(v, value)``, then to the smaller vertex."""
+    large = communities.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("community")
+    own = communities.join(large, "community")
+    ends = own.select(F.col("v").alias("source"), F.col("community").alias("a")), own.select(F.col("v").alias("target"), F.col("community").alias("b"))
+    inside = edges.select("source", "target").join(ends[0], "source").join(ends[1], "target").where("a = b")
+    degree = inside.select(F.explode(F.array("source", "target")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
+    rows = own.join(degree, "v", "left").join(values.select("v", "value"), "v", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("community").orderBy(F.desc("degree"), F.desc_nulls_last("value"), "v"))
+    return rows.withColumn("rank", rank).where("rank = 1").select("community", "v", "degree")
 
 
 def random_graphs(spark: SparkSession, graphs: int, vertices: int, p: float, seed: int) -> DataFrame:
@@ -356,10 +364,11 @@ def lineage_classes(edges: DataFrame, taxonomy: DataFrame, ranks: list[str]) ->
 
 
 def listed_degree(edges: DataFrame, listed: DataFrame) -> DataFrame:
-    """``(listed, degree, weight)``: mean degree and mean edge weight of vertices in and out of a list ``(v)``."""
-    both = edges.select(F.col("source").alias("v"), "weight").union(edges.select("target", "weight")).groupBy("v").agg(F.count(F.lit(1)).alias("d"), F.avg("weight").alias("w"))
+    """``(listed, degree, weight)``: mean degree of vertices in and out of a list ``(v)``, and the mean weight of all their
+    edges together (an edge counts once for each end)."""
+    both = edges.select(F.col("source").alias("v"), "weight").union(edges.select("target", "weight")).groupBy("v").agg(F.count(F.lit(1)).alias("d"), F.sum("weight").alias("w"))
     flag = both.join(listed.select("v").distinct().withColumn("in", F.lit(True)), "v", "left").withColumn("listed", F.coalesce("in", F.lit(False)))
-    return flag.groupBy("listed").agg(F.avg("d").alias("degree"), F.avg("w").alias("weight"))
+    return flag.groupBy("listed").agg(F.avg("d").alias("degree"), (F.sum("w") / F.sum("d")).alias("weight"))
 
 
 def edge_distances(edges: DataFrame, profiles: DataFrame) -> DataFrame:

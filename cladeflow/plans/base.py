@@ -68,17 +68,21 @@ hits AS (SELECT l_orderkey AS read, genome FROM lineitem JOIN contigs ON l_suppk
 lengths AS (SELECT genome, CAST(sum(length) AS BIGINT) AS length FROM contigs GROUP BY genome)"""
 
 
-# samples are nations of suppliers, cohorts regions, taxa brands, values quantities (whole numbers)
-def community(spark: SparkSession, sf: str) -> DataFrame:
+# samples are nations of suppliers, cohorts regions, taxa brands by size of part, values quantities (whole numbers)
+def places(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
-    where = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("n_name").alias("sample"), F.col("r_name").alias("cohort"))
-    lines = t("lineitem").where("l_quantity >= 50").select("l_suppkey", "l_partkey", "l_quantity")
-    return lines.join(t("part").select("p_partkey", F.col("p_brand").alias("taxon")), F.col("l_partkey") == F.col("p_partkey")).join(where, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("cohort", "sample", "taxon").agg(F.sum("l_quantity").alias("value"))
+    return t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", F.col("n_name").alias("sample"), F.col("r_name").alias("cohort"))
+
+
+def community(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
+    taxa = table(spark, sf, "part").select("p_partkey", F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string")).alias("taxon"))
+    return lines.join(taxa, F.col("l_partkey") == F.col("p_partkey")).join(places(spark, sf), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("cohort", "sample", "taxon").agg(F.sum("l_quantity").alias("value"))
 
 
-COMMUNITY = """community AS (SELECT r_name AS cohort, n_name AS sample, p_brand AS taxon, sum(l_quantity) AS value
+COMMUNITY = """community AS (SELECT r_name AS cohort, n_name AS sample, p_brand || '-' || p_size AS taxon, sum(l_quantity) AS value
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-WHERE l_quantity >= 50 GROUP BY ALL)"""
+GROUP BY ALL)"""
 
 
 # vertices are suppliers; a pair that meets in orders much more (or less) often than the mean pair is an edge

@@ -126,9 +126,9 @@ def taxon_lookup(spark, sf):
     return out.select("c_custkey", "n_name", "r_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def unmapped_reads(spark, sf):
-    mapped = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    mapped = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").select("c_custkey").join(mapped, "c_custkey", "left_anti")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,14 +16,18 @@ KEY = "spark.checkpoint.dir"
 
 @functools.lru_cache(maxsize=4)
 def own_folder(application: str) -> str:
-    """Where the session names no shared folder (one machine, tests)."""
-    return tempfile.mkdtemp(prefix="cladeflow-")
+    """A folder for one machine (tests), removed at the end."""
+    folder = tempfile.mkdtemp(prefix="cladeflow-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names."""
+    """The checkpoint folder that the session names; on a cluster it must name one."""
     context = spark.sparkContext
     named = context.getConf().get(KEY) or spark.conf.get(KEY, None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError(f"{KEY} must name a folder that all executors share")
     return (named or own_folder(context.applicationId)).rstrip("/")
 
 
@@ -33,13 +39,22 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` gave and nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/step-" in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], sign: Callable[[DataFrame], tuple], rounds: int = 60) -> DataFrame:
     """Repeat ``step`` until ``sign`` (a small summary) stays the same."""
     state = cut(state)
     before = sign(state)
     for _ in range(rounds):
-        state = cut(step(state))
+        last, state = state, cut(step(state))
         now = sign(state)
+        discard(last)
         if now == before:
             return state
         before = now

@@ -147,15 +147,17 @@ def weighted_kmer_paths(spark, sf):
     return kmers.weighted_paths(targets(spark, sf), peptides(spark, sf), 9, 40)
 
 
-@query(f"WITH {PEPTIDES}, {TARGETS}, {sql_kmers(12)}, {sql_kmers(12, 'targets', 'tk')}, o AS (SELECT tk.rid AS qid, tk.pos AS qpos, kmers.rid, kmers.pos, kmers.pos - tk.pos AS diagonal FROM tk JOIN kmers USING (kmer)), l AS (SELECT *, lag(pos) OVER (PARTITION BY qid, rid, diagonal ORDER BY pos) AS first FROM o) SELECT qid, rid, diagonal, first, pos AS second FROM l WHERE pos - first > 12 AND pos - first <= 40")
+@query(f"WITH {PEPTIDES}, {TARGETS}, {sql_kmers(6)}, {sql_kmers(6, 'targets', 'tk')}, o AS (SELECT tk.rid AS qid, tk.pos AS qpos, kmers.rid, kmers.pos, kmers.pos - tk.pos AS diagonal FROM tk JOIN kmers USING (kmer)), l AS (SELECT *, lag(pos) OVER (PARTITION BY qid, rid, diagonal ORDER BY pos) AS first FROM o) SELECT qid, rid, diagonal, first, pos AS second FROM l WHERE pos - first > 6 AND pos - first <= 40")
 def two_hit_diagonals(spark, sf):
-    found = kmers.lookup(targets(spark, sf), peptides(spark, sf), 12)
-    return kmers.diagonal_hits(found, 12, 40)
+    found = kmers.lookup(targets(spark, sf), peptides(spark, sf), 6)
+    return kmers.diagonal_hits(found, 6, 40)
 
 
-@query(f"WITH {PEPTIDES}, {sql_kmers(24)}, h AS (SELECT rid AS inner_, seq AS iseq, substr(seq, 1, 24) AS kmer FROM reads WHERE length(seq) >= 24) SELECT DISTINCT h.inner_ AS rid FROM h JOIN kmers k ON k.kmer = h.kmer AND k.rid <> h.inner_ JOIN reads r ON r.rid = k.rid WHERE length(r.seq) > length(iseq) AND contains(r.seq, iseq)")
+@query(f"WITH {PEPTIDES}, {TARGETS}, both AS (SELECT rid, seq FROM reads UNION ALL SELECT -1 - rid, seq FROM targets), {sql_kmers(24, 'both')}, h AS (SELECT rid AS inner_, seq AS iseq, substr(seq, 1, 24) AS kmer FROM both WHERE length(seq) >= 24) SELECT DISTINCT h.inner_ AS rid FROM h JOIN kmers k ON k.kmer = h.kmer AND k.rid <> h.inner_ JOIN both r ON r.rid = k.rid WHERE length(r.seq) > length(iseq) AND contains(r.seq, iseq)")
 def contained_reads(spark, sf):
-    return kmers.contained(peptides(spark, sf), 24)
+    # passages of the benchmark stand inside documents
+    passages = targets(spark, sf).select((-1 - F.col("rid")).alias("rid"), "seq")
+    return kmers.contained(peptides(spark, sf).unionByName(passages), 24)
 
 
 _OVERLAPS = f"{PEPTIDES}, {sql_kmers(20)}, tails AS (SELECT rid AS a, seq AS aseq, right(seq, 20) AS kmer FROM reads WHERE length(seq) >= 20), found AS (SELECT a, k.rid AS b, pos + 19 AS n, aseq, seq FROM tails JOIN kmers k USING (kmer) JOIN reads r ON r.rid = k.rid WHERE a <> k.rid), ov AS (SELECT a, b, max(n) AS length FROM found WHERE right(aseq, n) = left(seq, n) AND n < length(seq) AND n < length(aseq) GROUP BY a, b)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..operators import abundance, community as com, evaluation as ev, models, network as net
 from ..streaming import windows
-from .base import BOTH, COMMUNITY, HITS, MEETINGS, NETWORKS, PEPTIDES, community, contigs, hits, lengths, network, networks, peptides, query, r6, sql_kmers, table
+from .base import BOTH, COMMUNITY, HITS, MEETINGS, NETWORKS, PEPTIDES, community, contigs, hits, lengths, network, networks, peptides, places, query, r6, sql_kmers, table
 
 _NORM = "SELECT genome, round(share / length / sum(share / length) OVER (), 6) AS abundance FROM s JOIN lengths USING (genome)"
 _CELLS = "cells AS (SELECT read, genome, CAST(count(*) AS DOUBLE) AS a FROM hits GROUP BY ALL)"
@@ -63,7 +63,7 @@ def read_assignments(spark, sf):
 
 @query()
 def em_bootstrap_intervals(spark, sf):
-    return abundance.percentile_interval(abundance.bootstrap(hits(spark, sf), 5, 0.3, 4))
+    return abundance.percentile_interval(abundance.bootstrap(hits(spark, sf), lengths(spark, sf), 100, 0.3, 20, 1e-4))
 
 
 # --- community ----------------------------------------------------------------------------------------------------------
@@ -98,20 +98,21 @@ def core_abundance(spark, sf):
     return com.core_abundance(c, c.where("taxon < 'Brand#2'"))
 
 
-_RARE = "rare AS (SELECT cohort, taxon FROM community GROUP BY ALL HAVING sum(value) % 3 = 0)"
+_RARE = "rare AS (SELECT r_name AS cohort, l_orderkey AS taxon FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL HAVING sum(l_quantity) > 0)"
 
 
 def _rare(spark, sf):
-    """A thinned community, so that cohorts differ in their taxa."""
-    return community(spark, sf).groupBy("cohort", "taxon").agg(F.sum("value").alias("value")).where("value % 3 = 0")
+    """Orders as taxa: their few lines lie in some regions and not in others."""
+    lines = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("taxon"), "l_quantity").join(places(spark, sf), F.col("l_suppkey") == F.col("s_suppkey"))
+    return lines.groupBy("cohort", "taxon").agg(F.sum("l_quantity").alias("value"))
 
 
-@query(f"WITH {COMMUNITY}, {_RARE}, n AS (SELECT taxon, count(*) AS k FROM rare GROUP BY taxon) SELECT cohort, count(*) AS taxa, count(*) FILTER (k = 1) AS \"unique\", count(*) FILTER (k = (SELECT count(DISTINCT cohort) FROM rare)) AS shared FROM rare JOIN n USING (taxon) GROUP BY cohort")
+@query(f"WITH {_RARE}, n AS (SELECT taxon, count(*) AS k FROM rare GROUP BY taxon) SELECT cohort, count(*) AS taxa, count(*) FILTER (k = 1) AS \"unique\", count(*) - count(*) FILTER (k = 1) AS shared FROM rare JOIN n USING (taxon) GROUP BY cohort")
 def exclusive_taxa(spark, sf):
     return com.exclusive(_rare(spark, sf))
 
 
-@query(f"WITH {COMMUNITY}, {_RARE} SELECT taxon FROM rare GROUP BY taxon HAVING count(*) = (SELECT count(DISTINCT cohort) FROM rare)")
+@query(f"WITH {_RARE} SELECT taxon FROM rare GROUP BY taxon HAVING count(*) = (SELECT count(DISTINCT cohort) FROM rare)")
 def common_taxa(spark, sf):
     return com.common_taxa(_rare(spark, sf))
 
@@ -210,7 +211,7 @@ def macro_averages(spark, sf):
     return ev.macro(_counts(spark, sf), "e").select("e", r6(F.col("sensitivity"), "sensitivity"), r6(F.col("precision"), "precision"))
 
 
-@query(f"WITH {_COUNTS} SELECT e, round(avg(CASE WHEN truth = 0 THEN CASE WHEN predicted = 0 THEN 1.0 ELSE 0.0 END ELSE tp / truth END), 6) AS sensitivity, round(avg(CASE WHEN predicted = 0 THEN CASE WHEN truth = 0 THEN 1.0 ELSE 0.0 END ELSE tp / predicted END), 6) AS \"precision\" FROM counts GROUP BY e")
+@query(f"WITH {_COUNTS} SELECT e, round(avg(CASE WHEN truth > 0 THEN CASE WHEN predicted > 0 THEN tp / truth ELSE 0.0 END ELSE 1.0 END), 6) AS sensitivity, round(avg(CASE WHEN predicted > 0 THEN CASE WHEN truth > 0 THEN tp / predicted ELSE 0.0 END ELSE 1.0 END), 6) AS \"precision\" FROM counts GROUP BY e")
 def macro_averages_strict(spark, sf):
     return ev.macro_strict(_counts(spark, sf), "e").select("e", r6(F.col("sensitivity"), "sensitivity"), r6(F.col("precision"), "precision"))
 
@@ -304,7 +305,7 @@ def aligned_networks(spark, sf):
     return net.aligned(networks(spark, sf), ["A", "N", "R"])
 
 
-@query(f"WITH {NETWORKS}, k AS (SELECT source, target, count(*) AS k FROM edges GROUP BY ALL) SELECT network, count(*) AS edges, round(avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END), 6) AS \"unique\", round(avg(CASE WHEN k = (SELECT count(DISTINCT network) FROM edges) THEN 1.0 ELSE 0.0 END), 6) AS shared FROM edges JOIN k USING (source, target) GROUP BY network")
+@query(f"WITH {NETWORKS}, k AS (SELECT source, target, count(*) AS k FROM edges GROUP BY ALL) SELECT network, count(*) AS edges, round(avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END), 6) AS \"unique\", round(avg(CASE WHEN k >= 2 THEN 1.0 ELSE 0.0 END), 6) AS shared FROM edges JOIN k USING (source, target) GROUP BY network")
 def network_edge_shares(spark, sf):
     return net.edge_shares(networks(spark, sf)).select("network", "edges", r6(F.col("unique"), "unique"), r6(F.col("shared"), "shared"))
 
@@ -369,7 +370,8 @@ def communities(spark, sf):
 @query()
 def module_leaders(spark, sf):
     e = network(spark, sf).where("weight > 0")
-    return net.module_leaders(net.node_statistics(e), net.label_propagation(e))
+    values = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("v"), F.col("s_acctbal").alias("value"))
+    return net.module_leaders(e, net.label_propagation(e), values)
 
 
 @query(f"WITH {MEETINGS} SELECT CASE WHEN weight > 0 THEN 'positive' ELSE 'negative' END AS sign, CASE WHEN x.s_nationkey = y.s_nationkey THEN 'nation' WHEN n.n_regionkey = m.n_regionkey THEN 'region' ELSE 'none' END AS rank, count(*) AS n FROM edges JOIN supplier x ON x.s_suppkey = source JOIN supplier y ON y.s_suppkey = target JOIN nation n ON n.n_nationkey = x.s_nationkey JOIN nation m ON m.n_nationkey = y.s_nationkey GROUP BY ALL")
@@ -378,7 +380,7 @@ def lineage_classes(spark, sf):
     return net.lineage_classes(network(spark, sf), t, ["nation", "region"])
 
 
-@query(f"WITH {MEETINGS}, {BOTH}, d AS (SELECT v, count(*) AS d, avg(weight) AS w FROM ends GROUP BY v) SELECT v % 5 = 0 AS listed, round(avg(d), 6) AS degree, round(avg(w), 6) AS weight FROM d GROUP BY 1")
+@query(f"WITH {MEETINGS}, {BOTH} SELECT v % 5 = 0 AS listed, round(count(*) / count(DISTINCT v), 6) AS degree, round(avg(weight), 6) AS weight FROM ends GROUP BY 1")
 def listed_degree(spark, sf):
     listed = table(spark, sf, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("v"))
     return net.listed_degree(network(spark, sf), listed).select("listed", r6(F.col("degree"), "degree"), r6(F.col("weight"), "weight"))
