@@ -108,6 +108,16 @@ def resampled(hits: DataFrame, share: float, seed: int) -> DataFrame:
     return hits.withColumn("times", n).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).withColumn("read", F.concat_ws("#", F.col("read").cast("string"), "copy")).drop("times", "copy")
 
 
+def subsampled(hits: DataFrame, share: float, seed: int) -> DataFrame:
+    """Hits of exactly floor(share * n) of the n reads, drawn without replacement: those first in order of a hash."""
+    from ..sources.readers import numbered
+
+    reads = hits.select("read").distinct().withColumn("hash_", F.xxhash64("read", F.lit(seed)))
+    most = int(share * reads.count())
+    drawn = numbered(reads, ["hash_", "read"], "rank_").where(F.col("rank_") < most).select("read")
+    return hits.join(drawn, "read", "left_semi")
+
+
 def bootstrap(hits: DataFrame, lengths: DataFrame, replicates: int, share: float, rounds: int = 10000, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
     """``(replicate, genome, abundance)``: length-corrected abundances of EM runs over resampled reads.
 

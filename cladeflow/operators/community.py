@@ -45,6 +45,13 @@ def common_taxa(df: DataFrame) -> DataFrame:
     return found.groupBy("taxon").agg(F.count(F.lit(1)).alias("in")).join(F.broadcast(total), F.col("in") == F.col("all")).select("taxon")
 
 
+def last_values(rows: DataFrame, samples: list[str]) -> DataFrame:
+    """``(key, <samples>...)`` from ``(sample, taxon, gene, line, n)``: of a sample's lines with one taxon and gene the
+    last counts; 0 where a sample has none."""
+    last = rows.groupBy(F.concat_ws("||", "taxon", "gene").alias("key"), "sample").agg(F.max_by("n", "line").alias("n"))
+    return last.groupBy("key").pivot("sample", samples).agg(F.first("n")).na.fill(0)
+
+
 def strain_weights(df: DataFrame) -> DataFrame:
     """``(species, strain, weight)``: a strain's mean as a share of its species; a lone strain has 1."""
     mean = df.groupBy("species", "strain").agg(F.avg("value").alias("mean"))
@@ -116,6 +123,49 @@ def two_group_tests(df: DataFrame) -> DataFrame:
     return joined.select("feature", t.alias("t"), "u", (2 * (1 - normal_cdf(F.col("z")))).alias("p"))
 
 
+def student_p(t: float, df: float) -> float:
+    """Two-sided p-value of Student's t: the incomplete beta function at df / (df + t^2), by its continued fraction."""
+    import math
+
+    if not (df > 0) or math.isnan(t):
+        return math.nan
+    x, a, b = df / (df + t * t), df / 2, 0.5
+    if x >= 1:
+        return 1.0
+
+    def fraction(a: float, b: float, x: float) -> float:
+        tiny = 1e-300
+        c, d = 1.0, 1 - (a + b) * x / (a + 1)
+        d = 1 / (d if abs(d) > tiny else tiny)
+        out = d
+        for m in range(1, 500):
+            for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 + top * d, 1 + top / c
+                d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+                out *= d * c
+            if abs(d * c - 1) < 1e-14:
+                break
+        return out
+
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) if x > 0 else 0.0
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
+
+
+def welch_tests(df: DataFrame) -> DataFrame:
+    """``(feature, t, df, p)`` from ``(feature, grp, value)``: Welch's t with its degrees of freedom and p-value; moments
+    are aggregated, and only a row a feature goes through Python."""
+    m = df.groupBy("feature").agg(*[f(F.when(F.col("grp") == g, F.col("value"))).alias(f"{name}{g}") for g in (0, 1) for name, f in (("mean", F.avg), ("var", F.var_samp), ("n", F.count))])
+    s0, s1 = F.col("var0") / F.col("n0"), F.col("var1") / F.col("n1")
+    free = (s0 + s1) * (s0 + s1) / (s0 * s0 / (F.col("n0") - 1) + s1 * s1 / (F.col("n1") - 1))
+    rows = m.where("n0 > 1 and n1 > 1 and (var0 > 0 or var1 > 0)").select("feature", ((F.col("mean0") - F.col("mean1")) / F.sqrt(s0 + s1)).alias("t"), free.alias("df"))
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(p=[student_p(t, d) for t, d in zip(pdf["t"], pdf["df"], strict=True)])
+
+    return rows.mapInPandas(run, f"feature {df.schema['feature'].dataType.simpleString()}, t double, df double, p double")
+
+
 def normal_cdf(z):
     """Abramowitz and Stegun 26.2.17, absolute error below 7.5e-8; for z of 0 or more."""
     t = 1 / (1 + 0.2316419 * z)

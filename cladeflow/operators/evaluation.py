@@ -14,6 +14,14 @@ def confusion(truth: DataFrame, called: DataFrame, key: str) -> DataFrame:
     return both.agg(n(F.col("t") & F.col("c"))("tp"), n(F.col("t").isNull())("fp"), n(F.col("c").isNull())("fn"))
 
 
+def confusion_within(universe: DataFrame, truth: DataFrame, called: DataFrame, key: str) -> DataFrame:
+    """One row (tp, fp, fn, tn) over the distinct keys of a universe; keys outside it do not count."""
+    flag = lambda df, name: df.select(key).distinct().withColumn(name, F.lit(True))
+    both = universe.select(key).where(F.col(key).isNotNull()).distinct().join(flag(truth, "t"), key, "left").join(flag(called, "c"), key, "left").na.fill(False, ["t", "c"])
+    n = lambda t, c, name: F.count_if((F.col("t") == t) & (F.col("c") == c)).alias(name)
+    return both.agg(n(True, True, "tp"), n(False, True, "fp"), n(True, False, "fn"), n(False, False, "tn"))
+
+
 def rates(counts: DataFrame) -> DataFrame:
     """Recall, precision and F of (tp, fp, fn); 1 where nothing could be found."""
     recall = F.when(F.col("tp") + F.col("fn") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fn")))
@@ -88,6 +96,15 @@ def index_quantiles(values: DataFrame, value: str, fractions: list[float]) -> Da
     return ranked.join(F.broadcast(wanted), F.col("rank") == F.col("at")).select("fraction", value)
 
 
+def summary(values: DataFrame, value: str) -> DataFrame:
+    """``(statistic, value)``: n, min, max, mean, the upper median and the deciles by index."""
+    base = values.where(F.col(value).isNotNull()).agg(F.count(F.lit(1)).cast("double").alias("n"), F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"), F.avg(value).alias("mean"))
+    rows = base.select(F.explode(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).alias("value")) for c in base.columns])).alias("r")).select("r.*")
+    median = upper_median(values, value).select(F.lit("median").alias("statistic"), F.col("median").cast("double").alias("value"))
+    tenths = index_quantiles(values, value, [i / 10 for i in range(1, 10)])
+    return rows.unionByName(median).unionByName(tenths.select(F.concat(F.lit("decile "), F.round(F.col("fraction") * 10).cast("int").cast("string")).alias("statistic"), F.col(value).cast("double").alias("value")))
+
+
 def upper_median(values: DataFrame, value: str) -> DataFrame:
     """The element at index n / 2."""
     ranked = numbered(values.where(F.col(value).isNotNull()).select(value), [value], "rank")

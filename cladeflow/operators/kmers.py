@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import alphabet, scoring
+from ..plans.iterate import cut
 
 
 def reads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -26,7 +27,7 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
     size = max(BLOCK, k)
     parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # one walk over the sequence
     bare = seqs.where(F.length("seq") >= k).select("rid", parts.alias("parts"))
-    blocks = F.zip_with("parts", F.slice("parts", 2, 2**31 - 1), lambda x, y: F.concat(x, F.left(F.coalesce(y, F.lit("")), F.lit(k - 1))))
+    blocks = F.zip_with("parts", F.slice("parts", F.lit(2), F.size("parts")), lambda x, y: F.concat(x, F.left(F.coalesce(y, F.lit("")), F.lit(k - 1))))
     dealt = bare.select("rid", F.posexplode(blocks).alias("b", "block")).where(F.length("block") >= k)
     each = dealt.select("rid", "b", F.posexplode(alphabet.kmer_array(F.col("block"), k)).alias("p", "kmer"))
     return each.select("rid", (F.col("b") * size + F.col("p") + 1).cast("long").alias("pos"), "kmer")
@@ -36,6 +37,22 @@ def spectrum(seqs: DataFrame, k: int) -> DataFrame:
     return kmers(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+def add_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two spectra ``(kmer, n)`` as one."""
+    return a.select("kmer", "n").unionByName(b.select("kmer", "n")).groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
+def subtract_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Spectrum a less b; k-mers with nothing left are gone."""
+    return a.select("kmer", "n").unionByName(b.select("kmer", (-F.col("n")).alias("n"))).groupBy("kmer").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def set_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Spectrum a with b's counts in place of its own where b has the k-mer."""
+    both = a.select("kmer", F.col("n").alias("old")).join(b.select("kmer", F.col("n").alias("new")), "kmer", "full_outer")
+    return both.select("kmer", F.coalesce("new", "old").alias("n"))
+
+
 def spectrum_histogram(counts: DataFrame, cutoff: int) -> DataFrame:
     """k-mers for each count up to ``cutoff``; higher counts in one row (count 0)."""
     return counts.groupBy(F.when(F.col("n") <= cutoff, F.col("n")).otherwise(F.lit(0)).alias("n")).agg(F.count(F.lit(1)).alias("kmers"), F.sum("n").alias("occurrences"))
@@ -228,8 +245,6 @@ def boundary_pairs(seqs: DataFrame, k: int) -> DataFrame:
 
 def kmer_closure(pairs: DataFrame, seeds: DataFrame, rate: float, rounds: int = 50) -> DataFrame:
     """k-mers reached from ``seeds(kmer)`` over ``boundary_pairs``, until a round grows the set by less than ``rate``."""
-    from ..plans.iterate import cut
-
     found = cut(seeds.select("kmer").distinct())
     edge, size = found, found.count()
     for _ in range(rounds):

@@ -186,6 +186,45 @@ def node_statistics(edges: DataFrame) -> DataFrame:
     return deg.join(corner, "v", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0))).withColumn("clustering", F.when(k > 1, 2 * F.col("triangles") / (k * (k - 1))).otherwise(0.0))
 
 
+def degree_centrality(edges: DataFrame) -> DataFrame:
+    """``(v, centrality)``: neighbours as a share of all other vertices."""
+    both = edges.select(F.col("source").alias("v"), F.col("target").alias("u")).union(edges.select("target", "source")).where("v <> u").distinct()
+    deg = both.groupBy("v").agg(F.count(F.lit(1)).alias("d"))
+    return deg.join(F.broadcast(deg.agg(F.count(F.lit(1)).alias("n"))), F.lit(True)).select("v", (F.col("d") / F.greatest(F.col("n") - 1, F.lit(1))).alias("centrality"))
+
+
+def degree_statistics(edges: DataFrame, fractions: list[float] | None = None) -> DataFrame:
+    """``(statistic, in_degree, out_degree)`` of a directed graph ``(src, dst)`` over all its vertices: average, least,
+    greatest, and quantiles by index: deciles, percent from 91, tenths of a percent from 99."""
+    from .evaluation import index_quantiles
+
+    fractions = fractions or [i / 1000 for i in (*range(100, 901, 100), *range(910, 991, 10), *range(991, 1001))]
+    e = edges.select("src", "dst").distinct()
+    out, into = e.groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("o")), e.groupBy(F.col("dst").alias("v")).agg(F.count(F.lit(1)).alias("i"))
+    deg = cut(out.join(into, "v", "full_outer").select("v", F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("o", F.lit(0)).alias("o")))
+    whole = deg.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in "io" for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))])
+    rows = whole.select(F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(f"{n}_i").alias("in_degree"), F.col(f"{n}_o").alias("out_degree")) for n in ("avg", "min", "max")])).alias("r")).select("r.*")
+    parts = index_quantiles(deg, "i", fractions).join(index_quantiles(deg, "o", fractions), "fraction")
+    return rows.unionByName(parts.select(F.concat(F.lit("quantile "), F.col("fraction").cast("string")).alias("statistic"), F.col("i").cast("double").alias("in_degree"), F.col("o").cast("double").alias("out_degree")))
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """One row ``(component, vertices)``: the component with most vertices, ties to the smaller."""
+    sizes = components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("vertices"))
+    return sizes.orderBy(F.desc("vertices"), "component").limit(1)
+
+
+def label_assortativity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: Newman's assortativity of ``labels(v, label)`` over undirected edges between labelled vertices."""
+    x, y = labels.select(F.col("v").alias("source"), F.col("label").alias("a")), labels.select(F.col("v").alias("target"), F.col("label").alias("b"))
+    e = edges.select("source", "target").join(x, "source").join(y, "target")
+    both = e.select("a", "b").union(e.select("b", "a"))
+    m = both.agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+    ends = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(m), F.lit(True))
+    shares = ends.agg(F.sum(F.col("n") / F.col("m") * F.col("n") / F.col("m")).alias("chance"), F.first(F.col("same") / F.col("m")).alias("found"))
+    return shares.select(((F.col("found") - F.col("chance")) / (1 - F.col("chance"))).alias("assortativity"))
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """``(a, b, c)``, a < b < c.  Each edge is led by its end of lower degree, so a hub leads few pairs."""
     e = edges.select("source", "target").distinct()

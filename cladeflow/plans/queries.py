@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import further_queries, sequence_queries, statistics_queries  # noqa: F401
+from . import further_queries, order_queries, sequence_queries, statistics_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -153,7 +153,7 @@ def two_hit_diagonals(spark, sf):
     return kmers.diagonal_hits(found, 6, 40)
 
 
-@query(f"WITH {PEPTIDES}, {TARGETS}, both AS (SELECT rid, seq FROM reads UNION ALL SELECT -1 - rid, seq FROM targets), {sql_kmers(24, 'both')}, h AS (SELECT rid AS inner_, seq AS iseq, substr(seq, 1, 24) AS kmer FROM both WHERE length(seq) >= 24) SELECT DISTINCT h.inner_ AS rid FROM h JOIN kmers k ON k.kmer = h.kmer AND k.rid <> h.inner_ JOIN both r ON r.rid = k.rid WHERE length(r.seq) > length(iseq) AND contains(r.seq, iseq)")
+@query(f"WITH {PEPTIDES}, {TARGETS}, pool AS (SELECT rid, seq FROM reads UNION ALL SELECT -1 - rid, seq FROM targets), {sql_kmers(24, 'pool')}, h AS (SELECT rid AS inner_, seq AS iseq, substr(seq, 1, 24) AS kmer FROM pool WHERE length(seq) >= 24) SELECT DISTINCT h.inner_ AS rid FROM h JOIN kmers k ON k.kmer = h.kmer AND k.rid <> h.inner_ JOIN pool r ON r.rid = k.rid WHERE length(r.seq) > length(iseq) AND contains(r.seq, iseq)")
 def contained_reads(spark, sf):
     # passages of the benchmark stand inside documents
     passages = targets(spark, sf).select((-1 - F.col("rid")).alias("rid"), "seq")

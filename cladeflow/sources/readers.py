@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..plans.iterate import cut
+
 
 def numbered(df: DataFrame, order: list[str], name: str = "rid") -> DataFrame:
     """A dense number from 0 in the given order, without a single-task sort: a range shuffle, then running sums of
     partition sizes (one row for each partition)."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
-    ranged = ranged.withColumn("at_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    # written, so that both uses see the same ranges
+    ranged = cut(ranged.withColumn("at_", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     sizes = ranged.groupBy("part_").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before_", F.coalesce(F.sum("n").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part_", "before_")
     return ranged.join(F.broadcast(before), "part_").withColumn(name, F.col("at_") + F.col("before_")).drop("part_", "at_", "before_")

@@ -1,4 +1,4 @@
-"""Every query with SQL gives the SQL's rows on the smallest tables, where these are there."""
+"""A choice of queries gives their SQL's rows on the smallest tables, where these are there."""
 
 import glob
 import os
@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from cladeflow.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["even_split_abundance", "clr_transform", "bray_curtis", "confusion_rates", "area_under_curve", "n50_by_source", "node_statistics", "network_components", "interval_overlaps", "benjamini_hochberg", "event_windows", "read_assignments"]
+SOME = ["even_split_abundance", "clr_transform", "bray_curtis", "confusion_rates", "area_under_curve", "n50_by_source", "node_statistics", "network_components", "interval_overlaps", "benjamini_hochberg", "event_windows", "read_assignments", "macro_averages_strict", "network_edge_shares", "listed_degree", "exclusive_taxa", "contained_reads", "degree_statistics", "last_value_table", "length_summary", "suffix_order"]
 
 
 def rows(frame):
