@@ -28,7 +28,7 @@ PRIVATE = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+){0,6
 LED = r"(?<=(?:[=:]|=>|(?:password|passwd|secret|token)(?:\x20is)?\x20?)\x20{0,2}[\"']?)"
 #: A run to which something is assigned is a name.
 UNASSIGNED = r"(?!=[\"']?[A-Za-z0-9+/_-]{4}|\x20?(?:=>?|:)\x20[\"'][A-Za-z0-9]{4})"
-CANDIDATE = PRIVATE + r"|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+|" + LED + r"[A-Za-z0-9+/_.!@#$%^&*-]{8,}+)" + UNASSIGNED + "={0,2}"
+CANDIDATE = PRIVATE + r"|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+|(?=[A-Za-z0-9+/_.!@#$%^&*-]{8})" + LED + r"[A-Za-z0-9+/_.!@#$%^&*-]{8,}+)" + UNASSIGNED + "={0,2}"
 KEYWORDS = r"(?i)(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?id)(?:[_-][A-Za-z0-9_-]{0,24})?[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$"
 OTHER_WORDS = r"(?i)(?:sha-?(?:1|256|512)?|md5|commit|checksum|digest|uuid|guid|etag|hash|revision|integrity|build|isbn|order|invoice|phone|card)[\"']?\s*(?:[:=]|is)?\s*[\"']?$"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|test|todo|redacted|12345678|abcdef"

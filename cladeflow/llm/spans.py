@@ -68,4 +68,5 @@ def located(text: Column, pattern: str, context: int = 32) -> Column:
 
         return F.transform(row, one)
 
-    return F.when(F.size(found) > 0, kept(F.struct(found.alias("m"), gaps.alias("g")), spans)).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    return kept(found, lambda m: F.when(F.size(m) > 0, kept(F.struct(m.alias("m"), gaps.alias("g")), spans)).otherwise(none))
