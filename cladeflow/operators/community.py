@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..plans.iterate import cut
+
 
 def relative(df: DataFrame, by: list[str] = ("sample",), value: str = "value") -> DataFrame:
     """Values as shares of their row (sample)."""
@@ -94,14 +96,21 @@ def percentages(df: DataFrame, by: str, item: str) -> DataFrame:
 def benjamini_hochberg(df: DataFrame, p: str = "p", key: str = "feature") -> DataFrame:
     """``q``: the least p * m / rank over ranks from this one up, at most 1.
 
-    Equal p-values are counted together first, so the windows run over distinct p-values; these, the features' tests, are
-    a bounded number (features, not samples).
+    Equal p-values are counted together first; distinct ones lie in ranges, in which sums and minima run, and what the
+    ranges in front and behind add is one row a range.  Null p-values have no q and don't count.
     """
-    counts = df.groupBy(p).agg(F.count(F.lit(1)).alias("n_"))
-    up = Window.orderBy(p)
-    ranked = counts.withColumn("rank_", F.sum("n_").over(up)).withColumn("m_", F.sum("n_").over(Window.partitionBy()))
-    q = ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("m_") / F.col("rank_")).over(Window.orderBy(F.desc(p))))).select(p, "q")
-    return df.join(q, p)
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p_")).agg(F.count(F.lit(1)).alias("n_"))
+    ranged = cut(counts.repartitionByRange("p_").withColumn("part_", F.spark_partition_id()))
+    own = Window.partitionBy("part_")
+    sums = ranged.groupBy("part_").agg(F.sum("n_").alias("s_"))
+    order = Window.orderBy("part_")  # a row is a range
+    front = sums.select("part_", (F.sum("s_").over(order) - F.col("s_")).alias("front_"), F.sum("s_").over(Window.partitionBy()).alias("m_"))
+    ranked = ranged.join(F.broadcast(front), "part_").withColumn("rank_", F.col("front_") + F.sum("n_").over(own.orderBy("p_")))
+    raw = cut(ranked.select("part_", "p_", (F.col("p_") * F.col("m_") / F.col("rank_")).alias("raw_")))
+    least = raw.groupBy("part_").agg(F.min("raw_").alias("l_"))
+    behind = least.select("part_", F.min("l_").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("behind_"))
+    q = raw.join(F.broadcast(behind), "part_").withColumn("q", F.least(F.lit(1.0), F.min("raw_").over(own.orderBy(F.desc("p_"))), F.coalesce("behind_", F.lit(1.0))))
+    return df.join(q.select("p_", "q"), F.col(p) == F.col("p_"), "left").drop("p_")
 
 
 def two_group_tests(df: DataFrame) -> DataFrame:
