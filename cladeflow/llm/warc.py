@@ -20,6 +20,7 @@ table gives no archives and no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 import zlib
@@ -29,7 +30,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MAY, may_hold, new_path, released, write_table
+from .common import MAY, arrow_batches, may_hold, new_path, released, write_table
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -144,13 +145,35 @@ def with_references(pages: DataFrame, least: int, id_col: str, url_col: str, htm
     return sure.unionByName(rest.join(later, on, "left").select("page_id", "url", "payload", "digest", "refers_to"))
 
 
+class Mounted:
+    """A mounted folder, by the few calls of Arrow's file systems that are used here."""
+
+    @staticmethod
+    def create_dir(path: str, recursive: bool = True) -> None:
+        os.makedirs(path, exist_ok=True)
+
+    @staticmethod
+    def open_output_stream(path: str, compression: None = None):
+        return open(path, "wb")
+
+    @staticmethod
+    def open_input_stream(path: str, compression: None = None):
+        return open(path, "rb")
+
+    open_input_file = open_input_stream
+
+
 def storage(folder: str):
-    """The file system and path of a folder that all executors reach."""
+    """The file system and path of a folder that all executors reach; Arrow's file systems are loaded for others than
+    mounted ones only, as they take memory in every worker."""
+    scheme, colon, path = folder.partition(":")
+    if not colon or "/" in scheme:
+        return Mounted, folder
+    if scheme == "file":
+        return Mounted, "/" + path.lstrip("/")
     from pyarrow import fs
 
-    if "://" not in folder and ":/" in folder:  # file:/a, as Hadoop writes it
-        folder = folder.replace(":/", ":///", 1)
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(folder if path.startswith("//") else f"{scheme}://{path}")
 
 
 def attempt_name() -> str:
@@ -189,7 +212,8 @@ def write_archives(records: DataFrame, level: int = 3, archive_bytes: int = 4 <<
             close()
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{m.rsplit('/', 1)[1]}" for m in made], pa.string())], names=["archive"])
 
-    return write_table(records.mapInArrow(lambda batches: released(run(batches)), "archive string"), "archives")
+    with arrow_batches(records.sparkSession, 1000):
+        return write_table(records.mapInArrow(lambda batches: released(run(batches)), "archive string"), "archives")
 
 
 def normalise(archives: DataFrame, level: int = 3) -> DataFrame:
