@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.iterate import cut
 
@@ -95,12 +93,12 @@ def assignments(hits: DataFrame, mixing: DataFrame) -> DataFrame:
     return cells.groupBy("read").agg(best.alias("b")).select("read", F.col("b.genome").alias("genome"))
 
 
-def resampled(hits: DataFrame, share: float, seed: int) -> DataFrame:
+def resampled(hits: DataFrame, share: float, seed: int | Column) -> DataFrame:
     """Reads drawn with replacement: each read's multiplicity is Poisson(share), from a hash of read and seed; a read
     drawn twice counts twice."""
     import math
 
-    u = (F.pmod(F.xxhash64("read", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
+    u = (F.pmod(F.xxhash64("read", seed if isinstance(seed, Column) else F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
     total, n = 0.0, F.lit(0)
     for k in range(8):
         total += math.exp(-share) * share**k / math.factorial(k)
@@ -124,9 +122,8 @@ def bootstrap(hits: DataFrame, lengths: DataFrame, replicates: int, share: float
     The replicates are a key: one run of EM serves all of them, and ends when the mean change of each is below the
     tolerance.
     """
-    drawn = [resampled(hits, share, i).withColumn("replicate", F.lit(i)) for i in range(replicates)]
-    cells = functools.reduce(DataFrame.unionByName, drawn)
-    each = cells.groupBy("replicate", "read", "genome").agg(F.count(F.lit(1)).cast("double").alias("a"))
+    copies = hits.withColumn("replicate", F.explode(F.array(*map(F.lit, range(replicates)))))
+    each = resampled(copies, share, F.col("replicate")).groupBy("replicate", "read", "genome").agg(F.count(F.lit(1)).cast("double").alias("a"))
     kinds = each.groupBy("replicate", "read").agg(F.array_sort(F.collect_list(F.struct("genome", "a"))).alias("cells")).groupBy("replicate", "cells").agg(F.count(F.lit(1)).alias("weight"))
     kinds = cut(kinds.withColumn("pattern", F.xxhash64("cells")))
     reads = kinds.groupBy("replicate").agg(F.sum("weight").cast("double").alias("reads"))
