@@ -5,10 +5,12 @@ Undirected edges are ``(source, target, weight)`` with source < target; directed
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.iterate import cut, until_stable
 from .kmers import kmers
+from .walks import by_component
 
 
 # --- k-mer graphs -------------------------------------------------------------------------------------------------------
@@ -238,93 +240,80 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 
 def cliques(edges: DataFrame, size: int) -> DataFrame:
-    """Cliques of ``size`` vertices, ascending, as arrays ``members``: one vertex more each round."""
-    e = edges.select("source", "target").distinct()
-    out = e.select(F.array("source", "target").alias("members"))
-    for _ in range(size - 2):
-        grown = out.withColumn("source", F.element_at("members", -1)).join(e, "source").select(F.concat("members", F.array("target")).alias("members"), F.col("target").alias("new"))
-        check = grown.withColumn("i", F.explode(F.slice("members", 1, F.size("members") - 2))).join(e, (F.col("i") == F.col("source")) & (F.col("new") == F.col("target")))
-        out = check.groupBy("members").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == F.size("members") - 2).select("members")
-    return out
-
-
-def distances(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """``(a, b, d)``: hops between all connected pairs, by widening fronts.  For networks of thousands of vertices; the
-    result itself is as large as the square of a component."""
-    both = edges.select(F.col("source").alias("x"), F.col("target").alias("y")).union(edges.select("target", "source")).distinct()
-    found = cut(both.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(1).alias("d")))
-    front = found
-    for i in range(2, rounds + 1):
-        new = front.join(both, F.col("b") == F.col("x")).where("a <> y").select("a", F.col("y").alias("b")).distinct().join(found, ["a", "b"], "left_anti").withColumn("d", F.lit(i))
-        front = cut(new)
-        if front.isEmpty():
-            break
-        found = cut(found.union(front))
-    return found
+    """Cliques of ``size`` vertices, ascending, as arrays ``members``; each component is listed by its tasks, so only edges
+    are shuffled."""
+    kind = edges.schema["source"].dataType.simpleString()
+    names = [f"m{i}" for i in range(size)]
+
+    def work(graph, sources):
+        for rows in graph.cliques(size, sources):
+            yield [graph.ids[rows[:, i]] for i in range(size)]
+
+    edges = cut(edges.select("source", "target"))
+    found = by_component(edges, components(edges), work, ", ".join(f"{n} {kind}" for n in names), size - 1)
+    return found.select(F.array(*names).alias("members"))
+
+
+def distances(edges: DataFrame) -> DataFrame:
+    """``(a, b, d)``: hops between all connected pairs, both ways; as many rows as that.  See ``walk_sums`` for sums."""
+    kind = edges.schema["source"].dataType.simpleString()
+
+    def work(graph, sources):
+        for s in sources:
+            for d, (front, *_) in enumerate(graph.levels(s)):
+                if d:
+                    yield [graph.ids[np.full(len(front), s)], graph.ids[front], np.full(len(front), d, np.int32)]
+
+    edges = cut(edges.select("source", "target"))
+    return by_component(edges, components(edges), work, f"a {kind}, b {kind}, d int")
+
+
+def walk_sums(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(v, degree, triangles, reached, hops, harmonic)``: of each vertex its neighbours, triangles, the vertices within
+    reach, the sum of hops to them and of 1 / hops.  ``labels`` as ``components`` gives them."""
+    kind = edges.schema["source"].dataType.simpleString()
+
+    def work(graph, sources):
+        yield [graph.ids[sources], *map(np.array, zip(*map(graph.sums, sources), strict=True))]
+
+    return by_component(edges, labels, work, f"v {kind}, degree long, triangles long, reached long, hops long, harmonic double")
 
 
 def global_properties(edges: DataFrame) -> DataFrame:
     """One row: vertices, edges, density, components, mean path length, transitivity, degree assortativity."""
-    stats = node_statistics(edges).select("v", "degree", "triangles")
-    base = stats.agg(F.count(F.lit(1)).alias("vertices"), (F.sum("degree") / 2).cast("long").alias("edges"), (F.sum("triangles") / F.sum(F.col("degree") * (F.col("degree") - 1) / 2)).alias("transitivity"))
+    edges = cut(edges.select("source", "target"))
+    labels = components(edges)
+    stats = cut(walk_sums(edges, labels))
+    k = F.col("degree")
+    base = stats.agg(F.count(F.lit(1)).alias("vertices"), (F.sum("degree") / 2).cast("long").alias("edges"), (F.sum("triangles") / F.sum(k * (k - 1) / 2)).alias("transitivity"), (F.sum("hops") / F.sum("reached")).alias("mean_path"))
     base = base.withColumn("density", 2 * F.col("edges") / (F.col("vertices") * (F.col("vertices") - 1)))
-    parts = components(edges).agg(F.count_distinct("component").alias("components"))
-    paths = distances(edges).agg(F.avg("d").alias("mean_path"))
+    parts = labels.agg(F.count_distinct("component").alias("components"))
     d = stats.select("v", "degree")
     both = edges.select("source", "target").union(edges.select("target", "source"))
     mix = both.join(d.select(F.col("v").alias("source"), F.col("degree").alias("x")), "source").join(d.select(F.col("v").alias("target"), F.col("degree").alias("y")), "target").agg(F.corr("x", "y").alias("assortativity"))
-    return base.join(parts, F.lit(True)).join(paths, F.lit(True)).join(mix, F.lit(True))
+    return base.join(parts, F.lit(True)).join(mix, F.lit(True))
 
 
 def harmonic(edges: DataFrame) -> DataFrame:
     """``(v, harmonic)``: sum of 1 / distance to all others."""
-    return distances(edges).groupBy(F.col("a").alias("v")).agg(F.sum(1 / F.col("d")).alias("harmonic"))
+    edges = cut(edges.select("source", "target"))
+    return walk_sums(edges, components(edges)).select("v", "harmonic")
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """``(v, betweenness)`` by Brandes' sums, as a share of the (n - 1)(n - 2) / 2 pairs of other vertices; one source a
-    task row; a network is small enough to be sent to each task (at most ``MOST_EDGES`` edges, checked)."""
-    import pandas as pd
-
-    MOST_EDGES = 1_000_000  # noqa: N806
-    rows = edges.select("source", "target").limit(MOST_EDGES + 1).collect()
-    if len(rows) > MOST_EDGES:
-        raise ValueError(f"betweenness takes networks of up to {MOST_EDGES} edges")
-    near: dict = {}
-    for a, b in rows:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
+    """``(v, betweenness)`` by Brandes' sums, as a share of the (n - 1)(n - 2) / 2 pairs of other vertices, n those of the
+    whole network."""
     kind = edges.schema["source"].dataType.simpleString()
 
-    def run(batches):
-        for pdf in batches:
-            total: dict = {}
-            for s in pdf["v"]:
-                order, before, paths, dist = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in near[v]:
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            before[w], paths[w] = [], 0.0
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share[w]
-            yield pd.DataFrame({"v": list(total), "part": list(total.values())})
-
-    every = edges.select(F.col("source").alias("v")).union(edges.select("target")).distinct()
-    sums = every.mapInPandas(run, f"v {kind}, part double").groupBy("v").agg((F.sum("part") / 2).alias("b"))
-    n = len(near)
+    def work(graph, sources):
+        yield [graph.ids, sum(map(graph.dependencies, sources), np.zeros(graph.n))]
+
+    edges = cut(edges.select("source", "target"))
+    labels = components(edges)
+    sums = by_component(edges, labels, work, f"v {kind}, part double", 2).groupBy("v").agg((F.sum("part") / 2).alias("b"))
+    n = labels.count()
     pairs = float((n - 1) * (n - 2) / 2) or 1.0
-    return every.join(sums, "v", "left").select("v", (F.coalesce("b", F.lit(0.0)) / pairs).alias("betweenness"))
+    return labels.select("v").join(sums, "v", "left").select("v", (F.coalesce("b", F.lit(0.0)) / pairs).alias("betweenness"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
