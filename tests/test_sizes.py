@@ -27,3 +27,30 @@ def test_betweenness_keeps_edges_off_the_driver(spark, parts, monkeypatch):
     got = {r.v: r.betweenness for r in network.betweenness(parts[1]).collect()}
     assert len(got) == 35 and all(got[v] == 0 for v in range(100, 105))
     assert len({round(got[v], 12) for v in range(30)}) == 1 and got[0] > 0
+
+
+def hops(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for s in near:
+        dist, queue = {s: 0}, [s]
+        for v in queue:
+            for w in near[v] - dist.keys():
+                dist[w] = dist[v] + 1
+                queue.append(w)
+        out[s] = [d for d in dist.values() if d]
+    return out
+
+
+def test_global_properties_without_a_table_of_pairs(parts, monkeypatch):
+    monkeypatch.setattr(network, "distances", lambda *_: pytest.fail("all pairs"))
+    monkeypatch.setattr(network, "triangles", lambda *_: pytest.fail("all triangles"))
+    row = network.global_properties(parts[1]).first()
+    every = [d for ds in hops(parts[0]).values() for d in ds]
+    tri = sum({(a, b), (b, c), (a, c)} <= set(parts[0]) for a, b, c in itertools.combinations(sorted(hops(parts[0])), 3))
+    assert (row.vertices, row.edges, row.components) == (35, len(parts[0]), 2)
+    assert abs(row.mean_path - sum(every) / len(every)) < 1e-12
+    assert abs(row.transitivity - 3 * tri / (30 * 6 + 5 * 6)) < 1e-12
