@@ -54,3 +54,9 @@ def test_global_properties_without_a_table_of_pairs(parts, monkeypatch):
     assert (row.vertices, row.edges, row.components) == (35, len(parts[0]), 2)
     assert abs(row.mean_path - sum(every) / len(every)) < 1e-12
     assert abs(row.transitivity - 3 * tri / (30 * 6 + 5 * 6)) < 1e-12
+
+
+def test_harmonic_without_a_table_of_pairs(parts, monkeypatch):
+    monkeypatch.setattr(network, "distances", lambda *_: pytest.fail("all pairs"))
+    got = {r.v: r.harmonic for r in network.harmonic(parts[1]).collect()}
+    assert all(abs(got[v] - sum(1 / d for d in ds)) < 1e-9 for v, ds in hops(parts[0]).items()) and len(got) == 35
