@@ -60,3 +60,16 @@ def test_harmonic_without_a_table_of_pairs(parts, monkeypatch):
     monkeypatch.setattr(network, "distances", lambda *_: pytest.fail("all pairs"))
     got = {r.v: r.harmonic for r in network.harmonic(parts[1]).collect()}
     assert all(abs(got[v] - sum(1 / d for d in ds)) < 1e-9 for v, ds in hops(parts[0]).items()) and len(got) == 35
+
+
+def test_cliques_are_listed_where_their_component_is(spark, parts):
+    found = network.cliques(parts[1], 4)
+    assert "Aggregate" not in plan(found) and "MapInArrow" in plan(found)
+    assert {tuple(r.members) for r in found.collect()} == set(itertools.combinations(range(100, 105), 4))
+    assert network.cliques(parts[1], 5).count() == 1 and network.cliques(parts[1], 2).count() == len(parts[0])
+    # led by smaller degree where a vertex would lead too many
+    import numpy as np
+    from cladeflow.operators.walks import Graph
+
+    g = Graph(*np.array(parts[0]).T)
+    assert sorted(map(tuple, np.concatenate(list(g.cliques(3, np.arange(g.n), 1))))) == sorted(map(tuple, np.concatenate(list(g.cliques(3, np.arange(g.n))))))
