@@ -25,9 +25,12 @@ def best_overlap(reads: DataFrame, notes: DataFrame, width: int, least: float =
     return fit.withColumn("rank", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("shared"), "nid"))).where("rank = 1").select("rid", "nid", "shared")
 
 
-def included(reads: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Reads inside the range of their target; of several ranges the last (largest ``at``) counts."""
-    last = ranges.groupBy("target").agg(F.max_by(F.struct("start", "stop"), "at").alias("r")).select("target", "r.*")
+def included(reads: DataFrame, ranges: DataFrame, place: tuple[str, ...] = ()) -> DataFrame:
+    """Reads inside the range of their target; of several ranges the last (largest ``at``) counts, of equal ones the one
+    that comes first by the columns ``place``.  Ranges without a start or ``at`` don't count."""
+    first = F.struct((-F.col("at")).alias("at"), *place)
+    known = ranges.where("start is not null and at is not null")
+    last = known.groupBy("target").agg(F.min_by(F.struct("start", "stop"), first).alias("r")).select("target", "r.*")
     return reads.join(last, "target").where("start <= begin and end <= stop").drop("start", "stop")
 
 

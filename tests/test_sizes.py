@@ -10,9 +10,9 @@ from cladeflow.operators import network
 
 @pytest.fixture(scope="module")
 def parts(spark):
-    """Two components: a ring of 30 with chords, and five vertices all joined."""
+    """Two components: a ring of 30 with chords, and six vertices all joined."""
     ring = {tuple(sorted((i, (i + s) % 30))) for i in range(30) for s in (1, 5)}
-    full = set(itertools.combinations(range(100, 105), 2))
+    full = set(itertools.combinations(range(100, 106), 2))
     edges = sorted(ring | full)
     return edges, spark.createDataFrame([(a, b, 1.0) for a, b in edges], "source long, target long, weight double")
 
@@ -22,10 +22,11 @@ def plan(df: DataFrame) -> str:
 
 
 def test_betweenness_keeps_edges_off_the_driver(spark, parts, monkeypatch):
-    limit = DataFrame.limit
-    monkeypatch.setattr(type(parts[1]), "limit", lambda self, n: limit(self, n) if n < 100 else pytest.fail("a table comes to the driver"))
+    own = type(parts[1])
+    limit = own.limit
+    monkeypatch.setattr(own, "limit", lambda self, n: limit(self, n) if n < 100 else pytest.fail("a table comes to the driver"))
     got = {r.v: r.betweenness for r in network.betweenness(parts[1]).collect()}
-    assert len(got) == 35 and all(got[v] == 0 for v in range(100, 105))
+    assert len(got) == 36 and all(got[v] == 0 for v in range(100, 106))
     assert len({round(got[v], 12) for v in range(30)}) == 1 and got[0] > 0
 
 
@@ -51,25 +52,39 @@ def test_global_properties_without_a_table_of_pairs(parts, monkeypatch):
     row = network.global_properties(parts[1]).first()
     every = [d for ds in hops(parts[0]).values() for d in ds]
     tri = sum({(a, b), (b, c), (a, c)} <= set(parts[0]) for a, b, c in itertools.combinations(sorted(hops(parts[0])), 3))
-    assert (row.vertices, row.edges, row.components) == (35, len(parts[0]), 2)
+    assert (row.vertices, row.edges, row.components) == (36, len(parts[0]), 2)
     assert abs(row.mean_path - sum(every) / len(every)) < 1e-12
-    assert abs(row.transitivity - 3 * tri / (30 * 6 + 5 * 6)) < 1e-12
+    assert abs(row.transitivity - 3 * tri / (30 * 6 + 6 * 10)) < 1e-12
 
 
 def test_harmonic_without_a_table_of_pairs(parts, monkeypatch):
     monkeypatch.setattr(network, "distances", lambda *_: pytest.fail("all pairs"))
     got = {r.v: r.harmonic for r in network.harmonic(parts[1]).collect()}
-    assert all(abs(got[v] - sum(1 / d for d in ds)) < 1e-9 for v, ds in hops(parts[0]).items()) and len(got) == 35
+    assert all(abs(got[v] - sum(1 / d for d in ds)) < 1e-9 for v, ds in hops(parts[0]).items()) and len(got) == 36
 
 
 def test_cliques_are_listed_where_their_component_is(spark, parts):
     found = network.cliques(parts[1], 4)
     assert "Aggregate" not in plan(found) and "MapInArrow" in plan(found)
-    assert {tuple(r.members) for r in found.collect()} == set(itertools.combinations(range(100, 105), 4))
-    assert network.cliques(parts[1], 5).count() == 1 and network.cliques(parts[1], 2).count() == len(parts[0])
+    assert {tuple(r.members) for r in found.collect()} == set(itertools.combinations(range(100, 106), 4))
+    assert network.cliques(parts[1], 5).count() == 6 and network.cliques(parts[1], 2).count() == len(parts[0])
     # led by smaller degree where a vertex would lead too many
     import numpy as np
     from cladeflow.operators.walks import Graph
 
     g = Graph(*np.array(parts[0]).T)
     assert sorted(map(tuple, np.concatenate(list(g.cliques(3, np.arange(g.n), 1))))) == sorted(map(tuple, np.concatenate(list(g.cliques(3, np.arange(g.n))))))
+
+
+def test_included_reads_take_the_first_of_equal_rows(spark, tmp_path):
+    import duckdb
+
+    from cladeflow.plans.queries import ORACLES, QUERIES
+
+    rows = [(1, 1, 7, 100), (1, 1, 7, 900), (1, 1, 7, 2000), (2, 3, 8, 50), (2, 3, 8, 20), (1, 2, 8, 60), (0, 1, 7, 950), (0, 2, 7, 150)]
+    rows += [(k, 1, s, p) for s in range(20, 60) for k, p in ((5, s * 3), (5, 4000 - s * 50), (4, s * 3 + 9))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = sorted(map(tuple, QUERIES["included_reads"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLES["included_reads"]).fetchall())
