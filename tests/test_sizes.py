@@ -88,3 +88,18 @@ def test_included_reads_take_the_first_of_equal_rows(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     got = sorted(map(tuple, QUERIES["included_reads"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(ORACLES["included_reads"]).fetchall())
+
+
+def test_bootstrap_gathers_hits_once(spark, monkeypatch):
+    from cladeflow.operators import abundance
+
+    hits = spark.createDataFrame([(r, (r * r + i * 7) % 5) for r in range(200) for i in range(r % 3 + 1)], "read long, genome long")
+    lengths = spark.createDataFrame([(g, 100 + 10 * g) for g in range(5)], "genome long, length long")
+    want = {}
+    for i in range(2):
+        mixing = abundance.expectation_maximisation(abundance.resampled(hits, 0.9, i), 3, 0)
+        by = {r.genome: r.pi / (100 + 10 * r.genome) for r in mixing.collect()}
+        want |= {(i, g): x / sum(by.values()) for g, x in by.items()}
+    monkeypatch.setattr(abundance, "resampled", lambda *_: pytest.fail("a copy of the hits for each replicate"))
+    got = {(r.replicate, r.genome): r.abundance for r in abundance.bootstrap(hits, lengths, 2, 0.9, 3, 0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
