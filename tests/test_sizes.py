@@ -103,3 +103,28 @@ def test_bootstrap_gathers_hits_once(spark, monkeypatch):
     monkeypatch.setattr(abundance, "resampled", lambda *_: pytest.fail("a copy of the hits for each replicate"))
     got = {(r.replicate, r.genome): r.abundance for r in abundance.bootstrap(hits, lengths, 2, 0.9, 3, 0).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.fixture(scope="module")
+def reads_(spark):
+    """Sequences of which many share their first or last letters, copies and repeats among them."""
+    core = ["ACDEFGHIKL", "MNPQRSTVWY", "ACACACACAC", "LLLLLLLLLL"]
+    texts = [core[i % 4] + "AC" * (i % 3) + "GHKY"[i % 4] + core[(i // 4) % 4] for i in range(24)] + ["LLLLLLLLLLL"] * 2 + ["ACDEFGHIKL", "", "MNPQ"]
+    return dict(enumerate(texts)), spark.createDataFrame(list(enumerate(texts)), "rid long, seq string")
+
+
+def overlaps_by_hand(texts, k):
+    out = {}
+    for (a, x), (b, y) in itertools.permutations(texts.items(), 2):
+        fits = [n for n in range(k, min(len(x), len(y))) if x[-n:] == y[:n]]
+        if fits:
+            out[a, b] = max(fits)
+    return out
+
+
+def test_overlaps_send_no_sequences(reads_):
+    from cladeflow.operators import kmers
+
+    found = kmers.overlaps(reads_[1], 5)
+    assert "seq" not in plan(found)
+    assert {(r.a, r.b): r.length for r in found.collect()} == overlaps_by_hand(reads_[0], 5)
