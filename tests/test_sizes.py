@@ -128,3 +128,11 @@ def test_overlaps_send_no_sequences(reads_):
     found = kmers.overlaps(reads_[1], 5)
     assert "seq" not in plan(found)
     assert {(r.a, r.b): r.length for r in found.collect()} == overlaps_by_hand(reads_[0], 5)
+
+
+def test_irreducible_overlaps_by_classes(reads_):
+    from cladeflow.operators import kmers
+
+    want = overlaps_by_hand(reads_[0], 5)
+    want = {(a, b): n for (a, b), n in want.items() if not any((a, x) in want and (x, b) in want for x in reads_[0])}
+    assert {(r.a, r.b): r.length for r in kmers.irreducible_overlaps(reads_[1], 5).collect()} == want
