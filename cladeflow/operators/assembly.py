@@ -119,19 +119,25 @@ def clusters(seqs: DataFrame, k: int, shared: float = 0.85, least: float = 0.9)
 def end_joins(seqs: DataFrame, longest: int = 10, shortest: int = 4, support: DataFrame | None = None, ladder: int = 6) -> DataFrame:
     """``(a, b, length)``: ends that match exactly, the longest length from ``longest`` down to ``shortest``; with
     ``support`` (rid, seq) only where the k-mer over the junction occurs in a read."""
+    # sequences of equal ends are one kind; kinds are joined, and a kind's members only for the rows of the result
+    half = ladder // 2
+    room = F.least(F.length("seq") - 1, F.lit(longest)).alias("room")
+    fit = seqs.where(F.length("seq") > shortest)
+    a = fit.select(F.col("rid").alias("a"), room, F.right("seq", F.lit(max(longest, half))).alias("end"))
+    b = fit.select(F.col("rid").alias("b"), room, F.left("seq", F.lit(longest + ladder - half)).alias("head"))
+    x, y = (t.select("room", c).distinct().toDF(f"{c}_room", c) for t, c in ((a, "end"), (b, "head")))
     best = None
     for n in range(longest, shortest - 1, -1):
-        x = seqs.where(F.length("seq") > n).select(F.col("rid").alias("a"), F.col("seq").alias("aseq"), F.right("seq", F.lit(n)).alias("end"))
-        y = seqs.where(F.length("seq") > n).select(F.col("rid").alias("b"), F.col("seq").alias("bseq"), F.left("seq", F.lit(n)).alias("end"))
-        met = x.join(y, "end").where("a <> b").withColumn("length", F.lit(n))
+        own, other = x.where(F.col("end_room") >= n).withColumn("word", F.right("end", F.lit(n))), y.where(F.col("head_room") >= n).withColumn("word", F.left("head", F.lit(n)))
+        met = own.join(other, "word").drop("word").withColumn("length", F.lit(n))
         best = met if best is None else best.unionByName(met)
-    top = best.groupBy("a", "b").agg(F.max_by(F.struct("length", "aseq", "bseq"), "length").alias("m")).select("a", "b", "m.*")
+    top = best.groupBy("end_room", "end", "head_room", "head").agg(F.max("length").alias("length"))
     if support is not None:
-        half = ladder // 2
-        over = F.concat(F.right("aseq", F.lit(half)), F.substring("bseq", F.col("length") + 1, F.lit(ladder - half)))
+        over = F.concat(F.right("end", F.lit(half)), F.substring("head", F.col("length") + 1, F.lit(ladder - half)))
         known = kmers.kmers(support, ladder).select(F.col("kmer").alias("over")).distinct()
         top = top.withColumn("over", over).join(known, "over", "left_semi")
-    return top.select("a", "b", F.col("length").cast("long").alias("length"))
+    each = a.withColumnRenamed("room", "end_room").join(top, ["end_room", "end"]).join(b.withColumnRenamed("room", "head_room"), ["head_room", "head"])
+    return each.where("a <> b").select("a", "b", F.col("length").cast("long").alias("length"))
 
 
 def read_bridges(ends: DataFrame, least: int = 5) -> DataFrame:

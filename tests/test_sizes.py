@@ -136,3 +136,16 @@ def test_irreducible_overlaps_by_classes(reads_):
     want = overlaps_by_hand(reads_[0], 5)
     want = {(a, b): n for (a, b), n in want.items() if not any((a, x) in want and (x, b) in want for x in reads_[0])}
     assert {(r.a, r.b): r.length for r in kmers.irreducible_overlaps(reads_[1], 5).collect()} == want
+
+
+def test_end_joins_send_ends_only(spark, reads_):
+    from cladeflow.operators import assembly
+
+    found = assembly.end_joins(reads_[1], 6, 4)
+    assert "aseq" not in plan(found) and "bseq" not in plan(found)
+    want = {}
+    for (a, x), (b, y) in itertools.permutations(reads_[0].items(), 2):
+        fits = [n for n in range(4, 7) if len(x) > n and len(y) > n and x[-n:] == y[:n]]
+        if fits:
+            want[a, b] = max(fits)
+    assert {(r.a, r.b): r.length for r in found.collect()} == want
