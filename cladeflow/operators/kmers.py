@@ -90,8 +90,10 @@ def lookup(queries: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
 def reduced_lookup(queries: DataFrame, seqs: DataFrame, k: int, alphabet_name: str, least: int, table=None) -> DataFrame:
     """Seeds: k-mers equal in a reduced alphabet whose score is at least ``least``."""
     table = table if table is not None else scoring.score_map(scoring.blosum62())
-    q = kmers(queries, k).select(F.col("rid").alias("qid"), F.col("pos").alias("qpos"), F.col("kmer").alias("qmer"))
-    d = kmers(seqs, k).select("rid", "pos", "kmer")
+    q = cut(kmers(queries, k)).select(F.col("rid").alias("qid"), F.col("pos").alias("qpos"), F.col("kmer").alias("qmer"))
+    # only k-mers that may equal a query's in the reduced alphabet are shuffled
+    letters = str.maketrans(alphabet.RESIDUES, alphabet.classes(alphabet_name))
+    d = cut(sieve.kmers_among(seqs, k, q.select(F.col("qmer").alias("kmer")).distinct(), letters))
     q = q.withColumn("r", alphabet.reduced(F.col("qmer"), alphabet_name))
     d = d.withColumn("r", alphabet.reduced(F.col("kmer"), alphabet_name))
     # distinct word pairs are scored once, whatever their number of occurrences
@@ -215,11 +217,46 @@ def irreducible(edges: DataFrame) -> DataFrame:
 
 
 def contained(seqs: DataFrame, k: int) -> DataFrame:
-    """``rid`` of sequences that lie inside a different sequence; equal ones are kept.  Candidates share a first k-mer."""
-    head = seqs.where(F.length("seq") >= k).select(F.col("rid").alias("inner"), F.col("seq").alias("iseq"), F.left("seq", F.lit(k)).alias("kmer"))
-    hosts = kmers(seqs, k).select("rid", "kmer").distinct()
-    pairs = head.join(hosts, "kmer").where("inner <> rid").join(seqs.select("rid", "seq"), "rid")
-    return pairs.where((F.length("seq") > F.length("iseq")) & F.contains("seq", F.col("iseq"))).select(F.col("inner").alias("rid")).distinct()
+    """``rid`` of sequences that lie inside a different, longer sequence; equal ones are kept.
+
+    A sequence sends its length and digest (128 bits); a host those of its stretches whose first and last k letters and
+    length may be a sequence's.  So neither k-mers nor sequences are shuffled, and equal beginnings make no pairs.
+    """
+    import numpy as np
+
+    inner = seqs.where(F.length("seq") >= k).select("rid", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("key"), F.left("seq", F.lit(k)).alias("head"), F.right("seq", F.lit(k)).alias("tail"))
+    # first and last letters stand for a sequence only with its length: a third bitmap, of words made of all three
+    length = F.lpad(F.hex("n"), 16, "0")
+    spark = seqs.sparkSession.sparkContext
+    heads, tails = (spark.broadcast(sieve.sieve(inner.select(F.col(c).alias("kmer")).distinct(), k)) for c in ("head", "tail"))
+    whole = spark.broadcast(sieve.sieve(inner.select(F.concat("head", "tail", length).alias("kmer")).distinct(), 2 * k + 16))
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            rid, texts = batch.column(0), batch.column(1).to_pylist()
+            rows, ns, keys = [], [], []
+            last = dict(sieve.places(texts, k, tails.value))
+            for i, at in sieve.places(texts, k, heads.value):
+                t, ends = texts[i], last.get(i, np.empty(0, np.int64))
+                seen = set()
+                for p in at.tolist():
+                    far = ends[np.searchsorted(ends, p) :].tolist()
+                    words = [t[p : p + k] + t[q : q + k] + f"{q + k - p:016X}" for q in far]
+                    for j, _ in sieve.places(words, 2 * k + 16, whole.value):
+                        n = far[j] + k - p
+                        if n < len(t):
+                            seen.add((n, hashlib.md5(t[p : p + n].encode(), usedforsecurity=False).hexdigest()))
+                for n, key in seen:
+                    rows.append(i), ns.append(n), keys.append(key)
+            yield pa.RecordBatch.from_arrays([rid.take(pa.array(rows, pa.int64())), pa.array(ns, pa.int64()), pa.array(keys, pa.string())], ["host", "n", "key"])
+
+    hosts = seqs.where(F.length("seq") > k).select("rid", "seq").mapInArrow(run, f"host {dict(seqs.dtypes)['rid']}, n long, key string")
+    found = hosts.groupBy("n", "key").agg(F.min("host").alias("lo"), F.max("host").alias("hi"))
+    return inner.join(found, ["n", "key"]).where("lo <> rid or hi <> rid").select("rid").distinct()
 
 
 def map_reads(seqs: DataFrame, contigs: DataFrame, k: int, errors: int, portion: float = 1.0) -> DataFrame:

@@ -149,3 +149,31 @@ def test_end_joins_send_ends_only(spark, reads_):
         if fits:
             want[a, b] = max(fits)
     assert {(r.a, r.b): r.length for r in found.collect()} == want
+
+
+def test_reduced_lookup_shuffles_what_may_match(spark, monkeypatch):
+    from cladeflow.operators import kmers, sieve
+
+    seen = []
+    among = sieve.kmers_among
+    monkeypatch.setattr(sieve, "kmers_among", lambda *a: seen.append(among(*a)) or seen[-1])
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    seqs = {i: "".join(letters[(i * 7 + j * j * (i % 5 + 1)) % 20] for j in range(60)) for i in range(40)}
+    q = {0: seqs[3][10:30], 1: seqs[8][:14].translate(str.maketrans("ILV", "VIL"))}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "rid long, seq string")
+    got = {tuple(r)[:4] for r in kmers.reduced_lookup(frame(q), frame(seqs), 8, "GBMR10", -100).collect()}
+    from cladeflow.functions import alphabet
+
+    low = str.maketrans(alphabet.RESIDUES, alphabet.classes("GBMR10"))
+    cut = lambda t: [t[i : i + 8].translate(low) for i in range(len(t) - 7)]
+    assert got == {(a, i + 1, b, j + 1) for a, x in q.items() for i, u in enumerate(cut(x)) for b, y in seqs.items() for j, v in enumerate(cut(y)) if u == v}
+    assert seen and seen[0].count() < 40 * 53
+
+
+def test_contained_sends_no_sequences(spark, reads_):
+    from cladeflow.operators import kmers
+
+    found = kmers.contained(reads_[1], 5)
+    assert "regexp_extract_all" not in plan(found)
+    texts = reads_[0]
+    assert {r.rid for r in found.collect()} == {a for a, x in texts.items() if len(x) >= 5 and any(x in y and len(y) > len(x) for y in texts.values())}
