@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scoring import blosum62
+from ..plans.iterate import cut
 
 NEGATIVE = -(10**9)
 #: (free begin of query, free begin of target, free end of query, free end of target)
@@ -278,3 +279,28 @@ def multiple_alignment(placed: DataFrame) -> DataFrame:
 
 def levenshtein(pairs: DataFrame, a: str, b: str, most: int | None = None) -> DataFrame:
     return pairs.withColumn("distance", F.levenshtein(a, b, most) if most is not None else F.levenshtein(a, b))
+
+
+#: Pairs that a task makes, about.
+PAIRS = 4_000_000
+
+
+def edits_within(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``(a, b, distance)``: edit distance of every pair of ``rows(*by, text, id)`` with equal ``by``, a < b.
+
+    Equal texts of a group are one class: a distance is found once for two classes, and their ids are paired after it.
+    Pairs are dealt over as many tasks as their number asks for; rows of a group beyond a task's share are dealt too.
+    """
+    sizes = cut(rows.where(F.expr(" and ".join(f"{c} is not null" for c in by))).groupBy(*by).agg(F.count(F.lit(1)).alias("n")))
+    parts = max(1, int(sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) // PAIRS)
+    # one of two rows of a pair stands in a block only, the other in every block of its group
+    blocks = sizes.select(*by, F.ceil(F.col("n").cast("double") * F.col("n") / PAIRS).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, by)
+    ids = F.collect_list("id").alias
+    one = dealt.groupBy(*by, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("text").alias("x")).agg(ids("left"))
+    every = dealt.groupBy(*by, "blocks", F.col("text").alias("y")).agg(ids("right")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    on = [*by, "block"]
+    met = one.repartition(parts, *on).join(every.repartition(parts, *on), on)
+    # each pair of classes comes in both orders: the second class is given the larger ids
+    pairs = met.withColumn("distance", F.levenshtein("x", "y")).select("distance", "right", F.explode("left").alias("a"))
+    return pairs.select("a", "distance", F.explode("right").alias("b")).where("a < b").select("a", "b", "distance")

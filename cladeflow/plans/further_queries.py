@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import alphabet
-from ..operators import assembly, kmers, network as net
+from ..operators import alignment, assembly, kmers, network as net
 from ..sources import readers, sinks
 from ..streaming import windows
 from .base import NETWORKS, PEPTIDES, networks, peptides, query, r6, sql_kmers, table
@@ -97,10 +97,8 @@ def sam_contig_lengths(spark, sf):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, CAST(levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def edit_distances(spark, sf):
-    p = table(spark, sf, "part")
-    a = p.select("p_brand", "p_size", F.col("p_partkey").alias("a"), F.col("p_name").alias("x"))
-    b = p.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.levenshtein("x", "y").alias("distance"))
+    p = table(spark, sf, "part").select("p_brand", "p_size", F.col("p_name").alias("text"), F.col("p_partkey").alias("id"))
+    return alignment.edits_within(p, ["p_brand", "p_size"]).select("a", "b", "distance")
 
 
 @query("SELECT l_suppkey AS rid, min(l_extendedprice) AS e_value FROM lineitem WHERE l_quantity + l_discount * 100 >= 45 GROUP BY l_suppkey")

@@ -168,3 +168,32 @@ def test_reduced_lookup_shuffles_what_may_match(spark, monkeypatch):
     cut = lambda t: [t[i : i + 8].translate(low) for i in range(len(t) - 7)]
     assert got == {(a, i + 1, b, j + 1) for a, x in q.items() for i, u in enumerate(cut(x)) for b, y in seqs.items() for j, v in enumerate(cut(y)) if u == v}
     assert seen and seen[0].count() < 40 * 53
+
+
+@pytest.mark.parametrize("share", [4_000_000, 50])
+def test_edits_within_pair_classes_of_equal_texts(spark, monkeypatch, share):
+    from cladeflow.operators import alignment
+
+    names = ["red anvil", "blue anvil", "small widget", None, "red anvil", ""]
+    rows = [(i % 40, "xyz"[i % 3] if i % 17 else None, i % 2, names[(i * i + i // 7) % 6]) for i in range(90)]
+    monkeypatch.setattr(alignment, "PAIRS", share)
+    found = alignment.edits_within(spark.createDataFrame(rows, "id long, brand string, size int, text string"), ["brand", "size"])
+    assert "levenshtein(a" not in plan(found) and found.rdd.getNumPartitions() > (share == 50)
+
+    def edits(x, y):
+        line = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            before, line[0] = line[0], i
+            for j, d in enumerate(y, 1):
+                before, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, before + (c != d))
+        return line[-1]
+
+    want = [(a[0], b[0], None if a[3] is None or b[3] is None else edits(a[3], b[3])) for a in rows for b in rows if a[1] and a[1:3] == b[1:3] and a[0] < b[0]]
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
+
+
+def test_edit_distances_are_found_by_class(spark):
+    from cladeflow.plans.queries import QUERIES
+
+    assert "collect_list" in plan(QUERIES["edit_distances"](spark, "/root/testdata/sf0.001"))
