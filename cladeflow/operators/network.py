@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.iterate import cut, until_stable
 from .kmers import kmers
+from .tally import tally
 from .walks import by_component
 
 
@@ -17,11 +18,14 @@ from .walks import by_component
 def de_bruijn(seqs: DataFrame, k: int, least: int = 1) -> DataFrame:
     """Edges (src, dst, n) between consecutive k-mers, from the counts of (k+1)-mers; with ``least`` only between k-mers
     that occur so often."""
-    edges = kmers(seqs, k + 1).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).select(F.left("kmer", F.lit(k)).alias("src"), F.right("kmer", F.lit(k)).alias("dst"), "n")
     if least <= 1:
-        return edges
-    common = kmers(seqs, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
-    return edges.join(common.select(F.col("kmer").alias("src")), "src", "left_semi").join(common.select(F.col("kmer").alias("dst")), "dst", "left_semi")
+        found = kmers(seqs, k + 1).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+        return found.select(F.left("kmer", F.lit(k)).alias("src"), F.right("kmer", F.lit(k)).alias("dst"), "n")
+    counts = cut(tally(seqs, k, least))
+    common = counts.where(F.length("mer") == k).select(F.col("mer").alias("dst"))
+    edges = counts.where(F.length("mer") > k).select(F.left("mer", F.lit(k)).alias("src"), F.right("mer", F.lit(k)).alias("dst"), "n")
+    # what an edge leads to occurs as often as the edge; only of rarer edges it must be looked up
+    return edges.where(F.col("n") >= least).union(edges.where(F.col("n") < least).join(common, "dst", "left_semi").select("src", "dst", "n"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -55,9 +59,10 @@ def tips_removed(edges: DataFrame, longest: int) -> DataFrame:
 
     A dead end is followed for at most ``longest`` steps, each a join; a path of that length is no tip and stays.
     """
+    edges = cut(edges)  # read in each step
+    deg = cut(degrees(edges))
 
     def ends(e: DataFrame, src: str, dst: str) -> DataFrame:
-        deg = degrees(e)
         n_src, n_dst = ("n_in", "n_out") if src == "src" else ("n_out", "n_in")
         # walk back from vertices with nothing beyond them
         walk = e.join(deg.where(F.col(n_dst) == 0).select(F.col("v").alias(dst)), dst, "left_semi").select(F.col(src).alias("at"), "src", "dst", F.lit(1).alias("steps"))
@@ -84,8 +89,8 @@ def unitigs(edges: DataFrame) -> DataFrame:
     of a path are doubled each round, so a path of m edges takes log2(m) joins; rounds end when no more edges have
     arrived.  Closed circles have no last edge, never arrive, and are left out.
     """
-    through = degrees(edges).where("n_in = 1 and n_out = 1").select("v")
     e = cut(edges.select("src", "dst", F.xxhash64("src", "dst").alias("id")))
+    through = degrees(e).where("n_in = 1 and n_out = 1").select("v")
     step = e.join(through, F.col("dst") == F.col("v"), "left_semi").select("id", F.col("dst").alias("src")).join(e.select("src", F.col("id").alias("next")), "src")
     table = e.select("id").join(step.select("id", "next"), "id", "left").select("id", F.coalesce("next", "id").alias("far"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("next").isNull().alias("there"))
 

@@ -197,3 +197,40 @@ def test_edit_distances_are_found_by_class(spark):
     from cladeflow.plans.queries import QUERIES
 
     assert "collect_list" in plan(QUERIES["edit_distances"](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("letters", [1 << 20, 7])
+@pytest.mark.parametrize(("k", "other"), [(3, ""), (12, ""), (16, ""), (4, "Łö𝄞")])
+def test_kmers_are_counted_without_a_row_each(spark, monkeypatch, letters, k, other):
+    import random
+    from collections import Counter
+
+    from cladeflow.operators import tally
+
+    draw = random.Random(k)
+    core = ["".join(draw.choices("ACDEFGHIKLMNPQRSTVWY" if k > 4 else "ACG" + other, k=60)) for _ in range(4)]
+    texts = [core[i % 4][: 20 + i] + core[(i * 3 + 1) % 4][i:] for i in range(40)] + ["", "AC", "L" * 50, core[0][:k], None]
+    monkeypatch.setattr(tally, "LETTERS", letters)
+    seqs = spark.createDataFrame(list(enumerate(texts)), "rid long, seq string")
+    found = network.de_bruijn(seqs, k, 3)
+    assert "kmer" not in plan(found) and "posexplode" not in plan(found)
+    count = lambda n: Counter(t[i : i + n] for t in texts if t for i in range(len(t) - n + 1))
+    often = {w for w, n in count(k).items() if n >= 3}
+    want = {(w[:k], w[1:], n) for w, n in count(k + 1).items() if w[:k] in often and w[1:] in often}
+    assert {tuple(r) for r in found.collect()} == want and want
+
+
+def test_tips_count_kmers_once(spark, monkeypatch):
+    """A graph read in each step is written first."""
+    edges = [("S", "B"), ("B", "C"), ("C", "D"), ("D", "E"), ("E", "F"), ("F", "G"), ("C", "x"), ("u", "D")]
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    made = spark.createDataFrame([(a, b, 1) for a, b in edges], "src string, dst string, n long").mapInArrow(seen, "src string, dst string, n long")
+    left = {(r.src, r.dst) for r in network.tips_removed(made, 3).collect()}
+    assert left == set(edges) - {("C", "x"), ("u", "D")}
+    assert reads.value == len(edges)
