@@ -35,7 +35,9 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, index: np.nda
     """The runs ``flat[starts[i] : starts[i] + lens[i]]`` for each i of ``index``, one after the other."""
     own = lens[index]
     begin = np.cumsum(own) - own
-    return flat[np.arange(own.sum()) + np.repeat(starts[index] - begin, own)]
+    at = np.repeat((starts[index] - begin).astype(np.int32), own)  # below the ids of a batch
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
 
 
 class WordEncoder:
@@ -59,7 +61,7 @@ class WordEncoder:
     def single(self, chunks: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def words(self, words: list[str], step: int = 20_000) -> list[np.ndarray]:
+    def words(self, words: list[str], step: int = 4_000) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         for lo in range(0, len(words), step):
             some = words[lo : lo + step]
@@ -96,13 +98,14 @@ class WordEncoder:
         parts[:, 0] = word.indices.to_numpy()
         parts[:, 1] = mark.indices.to_numpy() + len(names)
         parts[other, 0] = len(names) + len(mark.dictionary) + np.arange(len(other))
-        parts[other, 1] = len(runs) - 1
+        parts[other, 1] = len(runs) - 1  # nothing
         flat = gather(flat, starts, lens, parts.ravel())
+        del runs
         lens = lens[parts].sum(1)
         starts = np.cumsum(lens) - lens
         ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        for lo in range(0, len(texts), 1024):
-            hi = min(lo + 1024, len(texts))
+        for lo in range(0, len(texts), 128):
+            hi = min(lo + 128, len(texts))
             own = code[ends[lo] : ends[hi]]
             raw = gather(flat, starts, lens, own).astype("<u4", copy=False).tobytes()
             upto = np.r_[0, np.cumsum(lens[own])][ends[lo : hi + 1] - ends[lo]].tolist()

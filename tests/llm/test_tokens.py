@@ -135,3 +135,39 @@ def test_histogram_packing_places_every_piece_once():
         for length, times in pattern:
             placed[length] = placed.get(length, 0) + n * times
     assert placed == counts
+
+
+def test_worker_lets_go_of_one_object_before_it_makes_another():
+    import weakref
+
+    from cladeflow.llm.common import per_worker
+
+    class Memo:
+        pass
+
+    made = []
+
+    def make(name):
+        assert not [r for r in made if r() is not None]
+        made.append(weakref.ref(memo := Memo()))
+        return memo
+
+    assert per_worker(make, "a") is per_worker(make, "a") and len(made) == 1
+    per_worker(make, "b")
+    assert len(made) == 2
+
+
+def test_packing_holds_little_beside_its_texts():
+    import tracemalloc
+
+    import numpy as np
+
+    from cladeflow.llm.packing import gather
+
+    n = 1 << 20
+    index = np.zeros(n, np.int32)
+    tracemalloc.start()
+    got = gather(np.arange(4, dtype="<u4"), np.array([1]), np.array([2]), index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:4].tolist() == [1, 2, 1, 2] and len(got) == 2 * n and peak < 56 * n
