@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scoring import blosum62
@@ -160,6 +162,94 @@ def align_pairs(pairs: DataFrame, mode: str = "global", gap_open: int = 10, gap_
     return pairs.select("qid", "rid", "query", "target").repartition("qid", "rid").mapInPandas(run, f"qid {types['qid']}, rid {types['rid']}, {ALIGNED}")
 
 
+#: Cells that one step of ``local_scores`` fills, about: its few tables then stay near the processor.
+CELLS = 1 << 17
+
+
+def local_scores(queries: list[str], targets: list[str], of: list[tuple[int, int]], gap_open: int = 10, gap_extend: int = 1, table: dict[str, int] | None = None) -> np.ndarray:
+    """``align(query, target, "local")``'s score for each pair ``(query, target)`` of ``of``, without places and trace.
+
+    Pairs of targets about as long go through one step for each place of their queries, which fills a row of cells along
+    every target.  All values have ``gap_extend * (i + j)`` added, so gaps that go on change nothing: a gap along the target
+    is a running maximum, one along the query a maximum with the row before.
+    """
+    m, at = matrix_of(table)
+    x = at.get("X", 0)
+    code = lambda t: np.array([at.get(c, x) for c in t], np.int64)
+    qs, ts = [code(t) for t in queries], [code(t) for t in targets]
+    out = np.zeros(len(of), np.int64)
+    order = sorted((i for i, (q, t) in enumerate(of) if len(qs[q]) and len(ts[t])), key=lambda i: (-len(ts[of[i][1]]), of[i][1]))
+    while order:
+        n = len(ts[of[order[0]][1]])
+        some, order = order[: max(1, CELLS // n)], order[max(1, CELLS // n) :]
+        some.sort(key=lambda i: -len(qs[of[i][0]]))
+        lens = np.array([len(qs[of[i][0]]) for i in some])
+        highest = (int(m.max()) + 2 * gap_extend) * int(lens[0]) + gap_extend * n + gap_open
+        kind = np.int16 if highest < 30_000 else np.int32
+        # what each residue scores along each target; the padding behind a target scores as low as nothing else
+        held = list(dict.fromkeys(of[i][1] for i in some))
+        gain = np.full((len(held), len(m), n), -min(highest, 10_000) - 1, kind)
+        for r, t in enumerate(held):
+            gain[r, :, : len(ts[t])] = m[:, ts[t]] + 2 * gap_extend
+        gain = gain.reshape(-1, n)
+        first = {t: r * len(m) for r, t in enumerate(held)}
+        rows = np.zeros((len(some), lens[0]), np.int64)
+        for r, i in enumerate(some):
+            rows[r, : lens[r]] = first[of[i][1]] + qs[of[i][0]]
+        floor = (gap_extend * np.arange(n + 1)).astype(kind)  # zero
+        h = np.repeat(floor[None], len(some), 0)
+        f, best, d, e = np.full((len(some), n), -gap_open, kind), np.zeros((len(some), n), kind), np.empty((len(some), n), kind), np.empty((len(some), n), kind)
+        for j in range(lens[0]):
+            k = int(np.searchsorted(-lens, -j))  # queries that are longer
+            hk, fk, bk, dk, ek = h[:k], f[:k], best[:k], d[:k], e[:k]
+            np.subtract(hk[:, 1:], kind(gap_open), out=ek)
+            np.maximum(fk, ek, out=fk)
+            np.take(gain, rows[:k, j], 0, out=dk, mode="clip")
+            dk += hk[:, :-1]
+            floor += kind(gap_extend)
+            np.maximum(dk, fk, out=dk)
+            np.maximum(dk, floor[1:], out=dk)
+            np.maximum.accumulate(dk, axis=1, out=ek)
+            ek -= kind(gap_open)
+            hk[:, 0] = floor[0]
+            hk[:, 1] = dk[:, 0]
+            np.maximum(dk[:, 1:], ek[:, :-1], out=hk[:, 2:])
+            np.subtract(dk, floor[1:], out=dk)  # no best ends with a gap
+            np.maximum(bk, dk, out=bk)
+        out[some] = best.max(1)
+    return out
+
+
+#: Pairs that a task of ``score_pairs`` gets, about.
+SCORED = 1_000
+
+
+def score_pairs(pairs: DataFrame, queries: DataFrame, seqs: DataFrame, gap_open: int = 10, gap_extend: int = 1) -> DataFrame:
+    """``(qid, rid, score)``: local alignment scores of ``pairs(qid, rid)``.  A sequence is sent once for every 64 of its
+    queries, not for each."""
+    pairs = cut(pairs)
+    tasks = max(1, pairs.count() // SCORED)
+    asked = pairs.join(queries.select(F.col("rid").alias("qid"), F.col("seq").alias("query")), "qid").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(64)))
+    blocks = pairs.groupBy("rid").agg(F.ceil(F.count(F.lit(1)) / 64).alias("blocks"))
+    lists = asked.join(blocks, "rid").groupBy("rid", F.pmod("block", "blocks").alias("block")).agg(F.collect_list(F.struct("qid", "query")).alias("asked"))
+    full = lists.join(seqs.select("rid", F.col("seq").alias("target")), "rid").select("rid", "target", "asked").repartition(tasks, "rid", "asked")
+    types = {"qid": dict(pairs.dtypes)["qid"], "rid": dict(pairs.dtypes)["rid"]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                lens = pc.list_value_length(part.column(2)).to_pylist()
+                flat = pc.list_flatten(part.column(2))
+                coded = flat.field("query").dictionary_encode()
+                target = np.repeat(np.arange(len(part)), lens)
+                of = list(zip(coded.indices.to_pylist(), target.tolist(), strict=True))
+                score = local_scores(coded.dictionary.to_pylist(), part.column(1).to_pylist(), of, gap_open, gap_extend)
+                yield pa.RecordBatch.from_arrays([flat.field("qid"), part.column(0).take(pa.array(target)), pa.array(score, pa.int32())], names=["qid", "rid", "score"])
+
+    return full.mapInArrow(run, f"qid {types['qid']}, rid {types['rid']}, score int")
+
+
 def extend_hits(hits: DataFrame, size: int, drop: int = 25) -> DataFrame:
     """x-drop extension of ``hits(qid, rid, qpos, pos, query, target)``, places from 1: with score, begin and end."""
 

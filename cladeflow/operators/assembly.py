@@ -190,12 +190,11 @@ def simulated_reads(spark: SparkSession, genomes: DataFrame, length: int, covera
 def search(queries: DataFrame, seqs: DataFrame, k: int = 6, alphabet_name: str = "GBMR10", gap: tuple[int, int] = (11, 1), most_e: float = 5.0) -> DataFrame:
     """Guided search: seeds, then local alignment of each seeded pair, bit score and E-value over all residues searched:
     ``(qid, rid, score, bits, e_value)``."""
-    from .alignment import align_pairs
+    from .alignment import score_pairs
 
     lam, kk = scoring.karlin("BLOSUM62", *gap)
     pairs = best_seeds(seeds(queries, seqs, k, alphabet_name)).select("qid", "rid")
-    full = pairs.join(queries.select(F.col("rid").alias("qid"), F.col("seq").alias("query")), "qid").join(seqs.select("rid", F.col("seq").alias("target")), "rid")
-    found = align_pairs(full, "local", *gap).select("qid", "rid", "score")
+    found = score_pairs(pairs, queries, seqs, *gap)
     size = seqs.agg(F.sum(F.length("seq")).alias("n"))
     scored = found.join(queries.select(F.col("rid").alias("qid"), F.length("seq").alias("m")), "qid").join(F.broadcast(size), F.lit(True))
     out = scored.select("qid", "rid", "score", scoring.bit_score(F.col("score"), lam, kk).alias("bits"), scoring.e_value(F.col("score"), F.col("m"), F.col("n"), lam, kk).alias("e_value"))

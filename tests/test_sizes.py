@@ -234,3 +234,30 @@ def test_tips_count_kmers_once(spark, monkeypatch):
     left = {(r.src, r.dst) for r in network.tips_removed(made, 3).collect()}
     assert left == set(edges) - {("C", "x"), ("u", "D")}
     assert reads.value == len(edges)
+
+
+def test_local_scores_of_many_pairs_are_those_of_align():
+    import random
+
+    from cladeflow.operators.alignment import align, local_scores
+
+    draw = random.Random(3)
+    some = lambda n, letters="ARNDCQEGHILKMFPSTWYV": "".join(draw.choice(letters) for _ in range(n))
+    queries = ["", "A", *(some(n) for n in (3, 20, 60)), some(40, "AC"), "W" * 3000]
+    targets = ["", *(some(9) + q[:25] + some(4) + q[28:] + "XZ*u" for q in queries[:6]), "W" * 400 + "A" + "W" * 400]
+    of = [(i, j) for i in range(6) for j in range(len(targets))]
+    for gap in ((11, 1), (10, 1), (3, 2), (0, 1)):
+        assert local_scores(queries, targets, of, *gap).tolist() == [align(queries[i], targets[j], "local", *gap)[0] for i, j in of]
+    # beyond two bytes
+    assert local_scores(["W" * 3000], ["W" * 3100], [(0, 0)]).tolist() == [33_000]
+
+
+def test_score_pairs_sends_a_sequence_once_for_its_queries(spark):
+    from cladeflow.operators.alignment import align, score_pairs
+
+    texts = [(1, "ACDEFGHIKLMNPQRSTVWY" * 3), (2, "ACDEFGHIK"), (3, "")]
+    asked = [(i, "ACDEFGHIKLWWMNPQRSTVWY"[i % 9 :]) for i in range(100)]
+    pairs = spark.createDataFrame([(q, r) for q, _ in asked for r, _ in texts], "qid long, rid long")
+    got = score_pairs(pairs, spark.createDataFrame(asked, "rid long, seq string"), spark.createDataFrame(texts, "rid long, seq string"))
+    want = {(q, r): align(a, b, "local")[0] for q, a in asked for r, b in texts}
+    assert {(x.qid, x.rid): x.score for x in got.collect()} == want and got.count() == 300
