@@ -89,14 +89,16 @@ def unitigs(edges: DataFrame) -> DataFrame:
     of a path are doubled each round, so a path of m edges takes log2(m) joins; rounds end when no more edges have
     arrived.  Closed circles have no last edge, never arrive, and are left out.
     """
-    e = cut(edges.select("src", "dst", F.xxhash64("src", "dst").alias("id")))
+    e = cut(edges.select("src", "dst")).withColumn("id", F.xxhash64("src", "dst"))  # ids would not compress
     through = degrees(e).where("n_in = 1 and n_out = 1").select("v")
     step = e.join(through, F.col("dst") == F.col("v"), "left_semi").select("id", F.col("dst").alias("src")).join(e.select("src", F.col("id").alias("next")), "src")
     table = e.select("id").join(step.select("id", "next"), "id", "left").select("id", F.coalesce("next", "id").alias("far"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("next").isNull().alias("there"))
 
     def jump(t: DataFrame) -> DataFrame:
         ahead = t.select(F.col("id").alias("far"), F.col("far").alias("beyond"), F.col("hops").alias("more"), F.col("there").alias("over"))
-        return t.join(ahead, "far").select("id", F.col("beyond").alias("far"), F.try_add("hops", "more").alias("hops"), F.col("over").alias("there"))
+        # what has arrived stays as it is, and is only looked up
+        gone = t.where("not there").drop("there").join(ahead, "far").select("id", F.col("beyond").alias("far"), F.try_add("hops", "more").alias("hops"), F.col("over").alias("there"))
+        return gone.union(t.where("there"))
 
     done = until_stable(table, jump, lambda t: tuple(t.agg(F.count_if("there")).first()), 60)
     # a path is known by its last edge; order along it by hops still to go

@@ -261,3 +261,22 @@ def test_score_pairs_sends_a_sequence_once_for_its_queries(spark):
     got = score_pairs(pairs, spark.createDataFrame(asked, "rid long, seq string"), spark.createDataFrame(texts, "rid long, seq string"))
     want = {(q, r): align(a, b, "local")[0] for q, a in asked for r, b in texts}
     assert {(x.qid, x.rid): x.score for x in got.collect()} == want and got.count() == 300
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    from cladeflow.plans.iterate import cut
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    n = held()
+    out = cut(spark.range(40_000).groupBy((F.col("id") % 5_000).alias("k")).agg(F.sum("id").alias("s")))
+    assert held() <= n and out.count() == 5_000 and spark.conf.get(key) == before
+
+
+def test_unitigs_of_many_lengths(spark):
+    """Paths arrive in different rounds, and a circle never does."""
+    edges = [(f"{c}{i:03}", f"{c}{i + 1:03}") for c, n in (("a", 1), ("b", 2), ("c", 33), ("d", 64)) for i in range(n)] + [("z0", "z1"), ("z1", "z0")]
+    got = network.unitigs(spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert sorted(r.n_edges for r in got) == [1, 2, 33, 64]
+    assert {r.seq for r in got if r.n_edges < 3} == {"a0001", "b00012"}
