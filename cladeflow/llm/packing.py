@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_batches, per_worker, released, write_table
+from .common import arrow_batches, per_worker, released, unused, write_table
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -58,17 +58,28 @@ class WordEncoder:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
 
-    def single(self, chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def words(self, words: list[str], step: int = 4_000) -> list[np.ndarray]:
+    def single(self, chunks: list[str], step: int = 1_000) -> list[np.ndarray]:
+        """An encoding of the library holds much more than its ids, so few are there at once."""
         out: list[np.ndarray] = []
+        for lo in range(0, len(chunks), step):
+            out += [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(chunks[lo : lo + step], add_special_tokens=False)]
+        return out
+
+    def words(self, words: list[str], step: int = 4_000) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of all words in turn, and how many are each word's."""
+        out, lens = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
         for lo in range(0, len(words), step):
             some = words[lo : lo + step]
             ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            out += np.split(ids, ends[:-1]) if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)) else self.single(some)
-        return out
+            if len(ends) == len(some) and (not len(ends) or ends[-1] == len(ids)):
+                out.append(ids)
+                lens.append(np.diff(ends, prepend=0))
+            else:
+                each = self.single(some)
+                out += each
+                lens.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return out, np.concatenate(lens)
 
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text (strings, no nulls) as little-endian bytes."""
@@ -86,21 +97,20 @@ class WordEncoder:
         # runs of ids: words, then marks, then other chunks, then the empty run
         names = word.dictionary.to_pylist()
         full = [i for i, w in enumerate(names) if w]
-        nothing = np.empty(0, "<u4")
-        runs = [nothing] * len(names)
-        for i, ids in zip(full, self.words([names[i] for i in full]), strict=True):
-            runs[i] = ids
-        runs += self.single(mark.dictionary.to_pylist()) + self.single(kinds.take(pa.array(other)).to_pylist()) + [nothing]
-        lens = np.fromiter(map(len, runs), np.int64, len(runs))
-        flat = np.concatenate(runs)
+        word_ids, word_lens = self.words([names[i] for i in full])
+        rest = self.single(mark.dictionary.to_pylist()) + self.single(kinds.take(pa.array(other)).to_pylist())
+        lens = np.zeros(len(names) + len(rest) + 1, np.int64)
+        lens[full] = word_lens
+        lens[len(names) : -1] = [len(ids) for ids in rest]
+        flat = np.concatenate([*word_ids, *rest])
+        del word_ids, rest
         starts = np.cumsum(lens) - lens
         parts = np.empty((len(kinds), 2), np.int64)
         parts[:, 0] = word.indices.to_numpy()
         parts[:, 1] = mark.indices.to_numpy() + len(names)
         parts[other, 0] = len(names) + len(mark.dictionary) + np.arange(len(other))
-        parts[other, 1] = len(runs) - 1  # nothing
+        parts[other, 1] = len(lens) - 1  # nothing
         flat = gather(flat, starts, lens, parts.ravel())
-        del runs
         lens = lens[parts].sum(1)
         starts = np.cumsum(lens) - lens
         ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
@@ -130,6 +140,7 @@ def cut_pieces(docs: DataFrame, vocab_path: str, size: int, end_id: int, id_col:
         from pyspark import TaskContext
 
         task, begun = TaskContext.get().partitionId(), defaultdict(int)
+        pa.set_memory_pool(pa.system_memory_pool())  # the other kinds keep what they once had
         encoder = per_worker(WordEncoder, vocab_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -147,6 +158,8 @@ def cut_pieces(docs: DataFrame, vocab_path: str, size: int, end_id: int, id_col:
                             col.append(x)
                         begun[length] += 1
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array([task] * len(cols[0]), pa.int32())], names=["id", "start", "length", "ids_crc32", "doc_tokens", "nth", "task"])
+                del part, texts, cols
+                unused()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda batches: released(run(batches)), f"{PIECES}, nth long, task int")
 

@@ -4,6 +4,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 from tokenizers import Tokenizer
@@ -171,3 +172,21 @@ def test_packing_holds_little_beside_its_texts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert got[:4].tolist() == [1, 2, 1, 2] and len(got) == 2 * n and peak < 56 * n
+
+
+def test_encoder_asks_for_few_encodings_at_once():
+    """An encoding weighs much more than its ids: chunks of a slice that are no plain words go to the library in parts."""
+    vocab = public.path("word_bpe_49k.json")
+    encoder = packing.WordEncoder(vocab)
+    library, asked = encoder.library, []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            asked.append(len(texts))
+            return library.encode_batch_fast(texts, **more)
+
+    encoder.library = Counting()
+    texts = [" ".join(f"x{i}y{i} word{'ab'[i % 2]}" for i in range(n)) for n in (0, 1, 2_500)] + ["", "Ein été, (so) 中文 a²"]
+    got = [np.frombuffer(ids, "<u4").tolist() for ids in encoder(pa.array(texts, pa.string()))]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert max(asked) <= 1_000
