@@ -54,6 +54,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(letters, f"[^{''.join(sorted(RESIDUES))}]", "")
 
 
+#: The twenty residues by letter.
+ORDERED = "".join(sorted(RESIDUES))
+
+
+def digits() -> tuple[bytes, bytes]:
+    """``normalised`` for bytes.translate on UTF-8: residues as 1 to 20 in the order of ``ORDERED``, 255 (no byte of UTF-8) as 0; and the bytes to leave out."""
+    table = bytearray(256)
+    for i, c in enumerate(ORDERED, 1):
+        table[ord(c)] = table[ord(c.lower())] = i
+    return bytes(table), bytes(b for b in range(255) if not table[b])
+
+
 def kmer_array(seq: Column, k: int) -> Column:
     """All substrings of length k, in order."""
     n = F.length(seq) - k + 1

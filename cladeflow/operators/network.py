@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..plans.iterate import cut, until_stable
+from . import tally
 from .kmers import kmers
-from .tally import tally
 from .walks import by_component
 
 
@@ -21,13 +21,23 @@ def de_bruijn(seqs: DataFrame, k: int, least: int = 1) -> DataFrame:
     if least <= 1:
         found = kmers(seqs, k + 1).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
         return found.select(F.left("kmer", F.lit(k)).alias("src"), F.right("kmer", F.lit(k)).alias("dst"), "n")
-    counts = cut(tally(seqs, k, least))
+    counts = cut(tally.tally(seqs, k, least))
     common = counts.where(F.length("mer") == k).select(F.col("mer").alias("dst"))
     edges = counts.where(F.length("mer") > k).select(F.left("mer", F.lit(k)).alias("src"), F.right("mer", F.lit(k)).alias("dst"), "n")
     # what an edge leads to occurs as often as the edge; only of rarer edges it must be looked up
     return edges.where(F.col("n") >= least).union(edges.where(F.col("n") < least).join(common, "dst", "left_semi").select("src", "dst", "n"))
 
 
+def frequent_edges(texts: DataFrame, k: int, least: int) -> DataFrame:
+    """``de_bruijn(seqs, k, least)`` of the peptides in the one column of ``texts``, for k up to ``tally.LONGEST``: k-mers
+    are numbers until the end."""
+    counts = cut(tally.residues(texts, k, least))
+    common = counts.where("src is null").select("dst")
+    edges = counts.where("src is not null")
+    found = edges.where(F.col("n") >= least).union(edges.where(F.col("n") < least).join(common, "dst", "left_semi").select("src", "dst", "n"))
+    return tally.spelled(found, k, ("src", "dst"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``(v, n_in, n_out)``."""
     ends = edges.select(F.col("src").alias("v"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(edges.select("dst", F.lit(1), F.lit(0)))

@@ -3,6 +3,9 @@
 Sequences are cut into runs of k-mers with one minimizer (the least hash of their halves).  Runs of a batch go to their
 minimizer's bucket as one compressed block, at some two bytes a k-mer; a task sorts the k-mers of a bucket in numpy.
 Letters may be any; markers of ends are above all of them.
+
+Short k-mers of the twenty residues (``residues``) are numbers: a task sorts some millions of them and sends each once with
+its count, as differences, to the bucket of its first letters.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import alphabet
 from .sieve import slots
 
 #: Letters that are cut at a time.
@@ -178,3 +182,163 @@ def tally(seqs: DataFrame, k: int, least: int) -> DataFrame:
 
     long_ = seqs.where(F.length("seq") >= k)
     return long_.select("seq").mapInArrow(cut, "bucket int, wide boolean, size long, block binary").groupBy("bucket").applyInArrow(counted, "mer string, n long")
+
+
+#: Residues and "none" as digits, and the bits that the count of a (k+1)-mer has beside its number.
+BASE, SPARE = 21, 6
+#: First letters that say the bucket; the bits of their number, and what spreads it over them (odd) and back.
+FIRST, FIRST_BITS = 6, 27
+SPREAD = 0x4F1BBCD
+UNSPREAD = pow(SPREAD, -1, 1 << FIRST_BITS)
+#: Numbers that a task sorts at a time (160 MB), letters that are numbered and rows that are read at a time, bytes sent.
+SORTED, SLICE, ROWS, SENT = 5 << 22, 1 << 17, 500, 1 << 22
+LONGEST = 12
+
+
+def numbers(digits: np.ndarray, w: int) -> np.ndarray:
+    """The number of each window of w digits."""
+    if w == 1:
+        return digits
+    kind = next(t for t in (np.uint16, np.uint32, np.uint64) if BASE**w <= np.iinfo(t).max)
+    low = numbers(digits, w // 2)
+    high = numbers(digits, w - w // 2)[: len(digits) - w + 1].astype(kind)
+    high *= kind(BASE ** (w // 2))
+    high += low[w - w // 2 :]
+    return high
+
+
+def places(digits: np.ndarray, k: int) -> np.ndarray:
+    """Of each k-mer in ``digits`` (0: a sequence ends) and the digit behind it, the number with spread first letters."""
+    low, width = digits[:-1], 1
+    while 2 * width <= k:
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    if width < k:
+        low = np.minimum(low[: width - k], low[k - width :])
+    at = np.flatnonzero(low)
+    first = min(FIRST, k)
+    out = numbers(digits, first)[at].astype(np.uint64)
+    out = (out * np.uint64(SPREAD)) & np.uint64((1 << FIRST_BITS) - 1)
+    out *= np.uint64(BASE ** (k + 1 - first))
+    out += numbers(digits[first:], k + 1 - first)[at]
+    return out
+
+
+def unspread(number: np.ndarray, after: int) -> np.ndarray:
+    """Plain numbers of those with spread first letters and ``after`` more."""
+    rest = np.uint64(BASE**after)
+    head = number // rest
+    plain = (head * np.uint64(UNSPREAD)) & np.uint64((1 << FIRST_BITS) - 1)
+    return plain * rest + (number - head * rest)
+
+
+def packed(kinds: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending numbers as differences, their bytes by weight, and their counts; compressed."""
+    codec = pa.Codec("zstd", 1)
+    steps = np.diff(kinds, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(steps.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
+    few = times.max() < 256
+    return codec.compress(planes.data, asbytes=True), (b"\1" if few else b"\4") + codec.compress(times.astype("<u1" if few else "<u4").data, asbytes=True)
+
+
+def unpacked(n: int, kinds: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    codec = pa.Codec("zstd", 1)
+    planes = np.frombuffer(codec.decompress(kinds, 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    steps = np.ascontiguousarray(planes.T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(codec.decompress(times[1:], n * times[0], asbytes=True), f"<u{times[0]}")
+
+
+def each_once(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ascending numbers, and how often each occurs."""
+    new = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    return number[new], np.diff(np.append(new, len(number)))
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers of all parts, ascending, with the sums of their counts."""
+    most = (1 << SPARE) - 1
+    rows = []
+    for kinds, times in parts:
+        # a count stands below its number; a large one takes more rows
+        full, left = np.divmod(times.astype(np.uint64), np.uint64(most))
+        kinds = kinds << np.uint64(SPARE)
+        rows += [(kinds | left)[left > 0], np.repeat(kinds | np.uint64(most), full.astype(np.int64))]
+    row = np.concatenate(rows)
+    row.sort()
+    number = row >> np.uint64(SPARE)
+    new = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+    return number[new], np.add.reduceat((row & np.uint64(most)).astype(np.int64), new)
+
+
+def residues(texts: DataFrame, k: int, least: int) -> DataFrame:
+    """``(src, dst, n)`` by numbers, of the peptides (see ``alphabet.normalised``) in the one column of ``texts``: k-mers
+    ``dst`` that occur ``least`` times or more, without ``src``, and the pairs of k-mers that begin with one of them."""
+    if not 1 < k <= LONGEST:
+        raise ValueError(f"k-mers of 2 to {LONGEST} residues are numbers here")
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = min(max(size >> 20, 32), 1 << 15)
+    digit, other = alphabet.digits()
+    rest = BASE ** (k + 1 - min(FIRST, k))
+    lows = np.array([-(-(b << FIRST_BITS) // buckets) * rest for b in range(buckets + 1)], np.uint64)
+
+    def sent(number: np.ndarray) -> Iterator[pa.RecordBatch]:
+        number.sort()
+        ends = np.searchsorted(number, lows).tolist()
+        cols, held = [[], [], [], []], 0
+        for bucket, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
+            if i < j:
+                kinds, times = each_once(number[i:j])
+                for col, x in zip(cols, (bucket, len(kinds), *packed(kinds, times)), strict=True):
+                    col.append(x)
+                held += len(cols[2][-1])
+            if cols[0] and (held >= SENT or bucket == buckets - 1 or j == len(number)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "size", "kinds", "times"])
+                cols, held = [[], [], [], []], 0
+
+    def cut(batches):
+        held, room = np.empty(SORTED + SLICE, np.uint64), 0
+        for batch in batches:
+            for some in (batch.column(0).slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+                whole = b"\xff".join([*some.cast(pa.binary()).fill_null(b"").to_pylist(), b""])  # no byte of UTF-8
+                letters = np.frombuffer(whole.translate(digit, other), np.uint8)
+                for lo in range(0, len(letters) - k, SLICE):
+                    found = places(letters[lo : lo + SLICE + k], k)
+                    held[room : room + len(found)] = found
+                    room += len(found)
+                    if room >= SORTED:
+                        yield from sent(held[:room])
+                        room = 0
+        if room:
+            yield from sent(held[:room])
+
+    def counted(table: pa.Table) -> pa.Table:
+        kinds, times = summed([unpacked(*(x.as_py() for x in row)) for row in zip(*(table.column(c) for c in ("size", "kinds", "times")), strict=True)])
+        src = kinds // np.uint64(BASE)
+        first = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
+        total = np.add.reduceat(times, first)
+        often = total >= least
+        edge = np.repeat(often, np.diff(np.append(first, len(src)))) & (kinds != src * np.uint64(BASE))
+        mer, pair = unspread(src[first[often]], k - min(FIRST, k)).astype(np.int64), unspread(kinds[edge], k + 1 - min(FIRST, k)).astype(np.int64)
+        src = pa.concat_arrays([pa.nulls(len(mer), pa.int64()), pa.array(pair // BASE)])
+        return pa.table({"src": src, "dst": np.concatenate([mer, pair % BASE**k]), "n": np.concatenate([total[often], times[edge]])})
+
+    return texts.mapInArrow(cut, "bucket int, size long, kinds binary, times binary").groupBy("bucket").applyInArrow(counted, "src long, dst long, n long")
+
+
+def spelled(rows: DataFrame, k: int, columns: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the k-mers of ``columns`` as texts for their numbers."""
+    letters = np.frombuffer(b"-" + alphabet.ORDERED.encode(), np.uint8)
+
+    def text(number: np.ndarray) -> pa.Array:
+        out = np.empty((len(number), k), np.uint8)
+        left = number.astype(np.uint64)
+        for i in range(k - 1, -1, -1):
+            over = left // np.uint64(BASE)
+            out[:, i] = letters[left - over * np.uint64(BASE)]
+            left = over
+        return pa.StringArray.from_buffers(len(out), pa.py_buffer(np.arange(0, (len(out) + 1) * k, k, dtype=np.int32)), pa.py_buffer(out))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([text(c.to_numpy(zero_copy_only=False)) if name in columns else c for name, c in zip(batch.schema.names, batch.columns, strict=True)], batch.schema.names)
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {'string' if c in columns else t}" for c, t in rows.dtypes))

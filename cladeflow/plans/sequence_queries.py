@@ -260,7 +260,7 @@ def de_bruijn_edges(spark, sf):
 def de_bruijn_frequent(spark, sf):
     from ..operators import network
 
-    return network.de_bruijn(peptides(spark, sf), 12, 5)
+    return network.frequent_edges(table(spark, sf, "documents").select("text"), 12, 5)
 
 
 @query(f"WITH {PEPTIDES}, {sql_kmers(13)}, e AS (SELECT DISTINCT substr(kmer, 1, 12) AS src, substr(kmer, 2, 12) AS dst FROM kmers), d AS (SELECT v, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT src AS v, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY v) SELECT CASE WHEN n_in = 0 THEN 'source' WHEN n_out = 0 THEN 'sink' WHEN n_in > 1 OR n_out > 1 THEN 'junction' ELSE 'inner' END AS role, count(*) AS n FROM d GROUP BY 1")

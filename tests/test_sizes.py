@@ -220,6 +220,38 @@ def test_kmers_are_counted_without_a_row_each(spark, monkeypatch, letters, k, ot
     assert {tuple(r) for r in found.collect()} == want and want
 
 
+@pytest.mark.parametrize(("k", "at_once"), [(2, 1 << 17), (6, 1 << 17), (12, 1 << 17), (5, 7), (12, 7)])
+def test_frequent_edges_send_no_letters(spark, monkeypatch, k, at_once):
+    """k-mers of raw texts are counted as numbers; rare, frequent and very frequent ones, in one slice or many."""
+    import random
+    from collections import Counter
+
+    from cladeflow.functions import alphabet
+    from cladeflow.operators import tally
+
+    draw = random.Random(k)
+    core = ["".join(draw.choices("ACDEFGHIKLMNPQRSTVWYouxz -é\nılſ𝄞aclmn", k=60)) for _ in range(4)]
+    texts = [core[i % 4][: 20 + i] + core[(i * 3 + 1) % 4][i:] for i in range(40)] + ["", "AC", "L" * 50, "xyz", None, core[0][:k]] + [core[1]] * 5000
+    monkeypatch.setattr(tally, "SLICE", at_once)
+    monkeypatch.setattr(tally, "SORTED", 50 * at_once)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = network.frequent_edges(rows, k, 3)
+    shuffled = tally.residues(rows, k, 3)
+    assert "regexp" not in plan(shuffled) and "posexplode" not in plan(shuffled) and "kinds" in plan(shuffled)
+    peptides = [r.seq for r in rows.select(alphabet.normalised(F.col("text")).alias("seq")).collect()]
+    count = lambda n: Counter(t[i : i + n] for t in peptides for i in range(len(t) - n + 1))
+    often = {w for w, n in count(k).items() if n >= 3}
+    want = {(w[:k], w[1:], n) for w, n in count(k + 1).items() if w[:k] in often and w[1:] in often}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and want
+
+
+def test_frequent_edges_is_what_the_query_runs(spark):
+    from cladeflow.plans.queries import QUERIES
+
+    assert "regexp" not in plan(QUERIES["de_bruijn_frequent"](spark, "/root/testdata/sf0.001"))
+
+
 def test_tips_count_kmers_once(spark, monkeypatch):
     """A graph read in each step is written first."""
     edges = [("S", "B"), ("B", "C"), ("C", "D"), ("D", "E"), ("E", "F"), ("F", "G"), ("C", "x"), ("u", "D")]
