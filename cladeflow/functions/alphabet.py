@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 #: Residue order and the class of each residue in eleven reduced alphabets.
 RESIDUES = "PGEKRQDSNTHCIVWYFALM"
+ORDERED = "".join(sorted(RESIDUES))
 ALPHABETS = {
     "ALL20": (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19),
     "DSSP5": (4, 4, 0, 0, 0, 0, 3, 2, 3, 2, 0, 2, 1, 1, 1, 1, 1, 0, 1, 1),
@@ -50,12 +51,8 @@ def trimmed(seq: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """Any text as a peptide: ASCII letters, upper case, the twenty residues only; null as empty."""
-    letters = F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z]", ""))
-    return F.regexp_replace(letters, f"[^{''.join(sorted(RESIDUES))}]", "")
-
-
-#: The twenty residues by letter.
-ORDERED = "".join(sorted(RESIDUES))
+    # one walk over the text; upper comes last, as other letters than ASCII ones may become such
+    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{ORDERED}{ORDERED.lower()}]+", ""))
 
 
 def digits() -> tuple[bytes, bytes]:

@@ -145,7 +145,8 @@ def _ends(seqs: DataFrame, k: int) -> DataFrame:
     some sequence's first or last k; n letters long, shorter than their sequence, ``key`` their digest."""
     long_ = seqs.where(F.length("seq") >= k)
     spark = seqs.sparkSession.sparkContext
-    heads, tails = (spark.broadcast(sieve.sieve(long_.select(f("seq", F.lit(k)).alias("kmer")).distinct(), k)) for f in (F.left, F.right))
+    outer = cut(long_.select(F.left("seq", F.lit(k)).alias("head"), F.right("seq", F.lit(k)).alias("tail")).distinct())  # sequences are made once for both
+    heads, tails = (spark.broadcast(sieve.sieve(outer.select(F.col(c).alias("kmer")).distinct(), k)) for c in ("head", "tail"))
 
     def run(batches):
         import hashlib

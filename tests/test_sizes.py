@@ -130,6 +130,32 @@ def test_overlaps_send_no_sequences(reads_):
     assert {(r.a, r.b): r.length for r in found.collect()} == overlaps_by_hand(reads_[0], 5)
 
 
+def test_overlaps_make_their_sequences_twice(spark):
+    """Once for the outermost letters, once for the places; not once more for each side."""
+    from cladeflow.operators import kmers
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    texts = ["ACDEFGHIKL", "HIKLMNPQRS", "PQRSTVWYAC"]
+    seqs = spark.createDataFrame(list(enumerate(texts)), "rid long, seq string").mapInArrow(seen, "rid long, seq string")
+    assert {tuple(r) for r in kmers.irreducible_overlaps(seqs, 4).collect()} == {(0, 1, 4), (1, 2, 4)}
+    assert made.value == 2 * len(texts)
+
+
+def test_normalised_walks_over_a_text_once(spark):
+    from cladeflow.functions import alphabet
+
+    texts = ["aBcoux-Z é\nılſß𝄞İyW", "", None, "BJOUXZ", "acdefghiklmnpqrstvwy1ACDEFGHIKLMNPQRSTVWY"]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select(alphabet.normalised(F.col("text")).alias("seq"))
+    assert plan(found).lower().count("regexp_replace(") == 1
+    assert [r.seq for r in found.collect()] == ["".join(c for c in "".join(c for c in t or "" if c.isascii()).upper() if c in alphabet.RESIDUES) for t in texts]
+
+
 def test_irreducible_overlaps_by_classes(reads_):
     from cladeflow.operators import kmers
 
