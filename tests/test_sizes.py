@@ -147,6 +147,20 @@ def test_overlaps_make_their_sequences_twice(spark):
     assert made.value == 2 * len(texts)
 
 
+def test_overlaps_join_ends_that_may_meet(spark, monkeypatch):
+    """Ends that begin like a sequence are many, those that go on like it few; only these are shuffled."""
+    from cladeflow.operators import kmers
+
+    written = []
+    monkeypatch.setattr(kmers, "cut", lambda df, own=kmers.cut: written.append((df.columns, (made := own(df)).count())) or made)
+    texts = [f"ACDEF{'GHIKLMNPQR'[i % 10]}{'STVWYACDEF'[i // 10 % 10]}{'GHIKLMNPQRSTVWYACDEF'[i % 20]}LLLACDEF{'RQPNMLKIHG'[i % 10]}{'TSYWV'[i % 5]}W" for i in range(100)] + ["ACDEFQQQLLL", "QQQLLLACDEFKW"]
+    found = kmers.irreducible_overlaps(spark.createDataFrame(list(enumerate(texts)), "rid long, seq string"), 5)
+    ends = [n for columns, n in written if "side" in columns]
+    want = overlaps_by_hand(dict(enumerate(texts)), 5)
+    assert {(r.a, r.b): r.length for r in found.collect()} == {(a, b): n for (a, b), n in want.items() if not any((a, x) in want and (x, b) in want for x in range(len(texts)))}
+    assert len(ends) == 3 and ends[-1] < ends[0] / 4 and want
+
+
 def test_normalised_walks_over_a_text_once(spark):
     from cladeflow.functions import alphabet
 
