@@ -8,10 +8,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..plans.iterate import cut, until_stable
+from ..plans.iterate import cut, discard, until_stable
 from . import tally
 from .kmers import kmers
-from .walks import by_component
+from .walks import by_component, forest
 
 
 # --- k-mer graphs -------------------------------------------------------------------------------------------------------
@@ -160,7 +160,9 @@ def spanning_forest(edges: DataFrame, least: int = 1) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``(v, component)``: the smallest vertex reachable, by minimum labels with a shortcut each round."""
+    edges = cut(forest(edges))
     both = cut(edges.select(F.col("source").alias("v"), F.col("target").alias("u")).union(edges.select("target", "source")).distinct())
+    discard(edges)
     start = both.select("v").distinct().withColumn("component", F.col("v"))
 
     def step(s: DataFrame) -> DataFrame:
@@ -291,7 +293,7 @@ def walk_sums(edges: DataFrame, labels: DataFrame) -> DataFrame:
     kind = edges.schema["source"].dataType.simpleString()
 
     def work(graph, sources):
-        yield [graph.ids[sources], *map(np.array, zip(*map(graph.sums, sources), strict=True))]
+        yield [graph.ids[sources], *graph.all_sums(sources)]
 
     return by_component(edges, labels, work, f"v {kind}, degree long, triangles long, reached long, hops long, harmonic double")
 
@@ -323,7 +325,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
     kind = edges.schema["source"].dataType.simpleString()
 
     def work(graph, sources):
-        yield [graph.ids, sum(map(graph.dependencies, sources), np.zeros(graph.n))]
+        yield [graph.ids, graph.all_dependencies(sources)]
 
     edges = cut(edges.select("source", "target"))
     labels = components(edges)

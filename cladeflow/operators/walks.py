@@ -1,8 +1,8 @@
 """Walks over whole components of an undirected graph, in numpy.
 
 A component's edges are sent to the tasks that walk it: as often as it has blocks of start vertices, which are as many as
-its work asks for, so no table of vertex pairs is made on the way.  What bounds a component is that one task holds its
-edges (two 4-byte numbers each, both ways); nothing is refused or left out.
+its work asks for, so no table of vertex pairs is made on the way.  They are sent packed (see ``chunks``).  What bounds a
+component is that one task holds its edges (two 4-byte numbers each, both ways); nothing is refused or left out.
 """
 
 from __future__ import annotations
@@ -14,9 +14,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.iterate import cut
+from .meeting import squeezed, unsqueezed
 
 #: Edges passed from all start vertices of a block, about.
 WORK = 1e8
+#: Blocks that a core gets at most, over all components.
+SHARE = 8
+#: A component of at most so many vertices is walked by matrix products, where at least this share of its pairs are edges.
+DENSE, FILLED = 4096, 0.05
+#: Edges that are packed into one row.
+CHUNK = 1 << 20
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges ``(source, target)`` that connect what ``edges`` connect: the tasks' own components, each as a star."""
+    if {dict(edges.dtypes)[c] for c in ("source", "target")} - {"bigint", "int", "smallint", "tinyint"}:
+        return edges.select("source", "target")
+
+    def stars(held):
+        source, target = (np.concatenate(h) for h in zip(*held, strict=True))
+        ids, ends = np.unique(np.concatenate([source, target]), return_inverse=True)
+        a, b, root = ends[: len(source)], ends[len(source) :], np.arange(len(ids))
+        while len(a):
+            low = np.minimum(root[a], root[b])
+            for x in (root[a], root[b]):  # roots are hooked to the smallest they meet
+                np.minimum.at(root, x, low)
+            while (root[root] != root).any():
+                root = root[root]
+            open_ = root[a] != root[b]
+            a, b = a[open_], b[open_]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["source", "target"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += len(batch)
+            if n >= CHUNK:
+                yield from stars(held)
+                held, n = [], 0
+        if n:
+            yield from stars(held)
+
+    bare = edges.select("source", "target").where("source is not null and target is not null")
+    kinds = dict(edges.dtypes)
+    wide = bare.select(*[F.col(c).cast("long").alias(c) for c in bare.columns]).mapInArrow(run, "source long, target long")
+    return wide.select(*[F.col(c).cast(kinds[c]).alias(c) for c in wide.columns])
 
 
 class Graph:
@@ -59,6 +102,57 @@ class Graph:
                 reached, hops, harmonic = reached + len(front), hops + d * len(front), harmonic + len(front) / d
         return int(self.at[s + 1] - self.at[s]), triangles, reached, hops, harmonic
 
+    def dense(self) -> bool:
+        return self.n <= DENSE and len(self.to) >= FILLED * self.n * self.n
+
+    def fronts(self, sources: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The matrix of edges, and level by level the number of shortest paths to each vertex (a row) from each source."""
+        edge = np.zeros((self.n, self.n))
+        edge[np.repeat(np.arange(self.n), np.diff(self.at)), self.to] = 1.0
+        front = np.zeros((self.n, len(sources)))
+        front[sources, np.arange(len(sources))] = 1.0
+        seen, found = front > 0, []
+        while front.any():
+            found.append(front)
+            front = edge @ front
+            front[seen] = 0.0
+            seen |= front > 0
+        return edge, found
+
+    def all_sums(self, sources: np.ndarray) -> list[np.ndarray]:
+        """``sums`` of many vertices, as columns."""
+        if not self.dense():
+            return list(map(np.array, zip(*map(self.sums, sources), strict=True)))
+        cols = []
+        for lo in range(0, len(sources), 512):
+            some = sources[lo : lo + 512]
+            edge, found = self.fronts(some)
+            near = edge[:, some]
+            triangles = np.rint((near * (edge @ near)).sum(0) / 2).astype(np.int64)
+            reached, hops, harmonic = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), np.zeros(len(some))
+            for d, front in enumerate(found[1:], 1):
+                many = np.count_nonzero(front, axis=0)
+                reached, hops, harmonic = reached + many, hops + d * many, harmonic + many / d
+            cols.append([self.at[some + 1] - self.at[some], triangles, reached, hops, harmonic])
+        return [np.concatenate(c) for c in zip(*cols, strict=True)]
+
+    def all_dependencies(self, sources: np.ndarray) -> np.ndarray:
+        """``dependencies`` of many sources, added up."""
+        total = np.zeros(self.n)
+        if not self.dense():
+            for s in sources:
+                total += self.dependencies(s)
+            return total
+        for lo in range(0, len(sources), 512):
+            edge, found = self.fronts(sources[lo : lo + 512])
+            share = np.zeros_like(found[0])
+            for before, front in zip(found[-2::-1], found[:0:-1], strict=True):
+                part = np.divide(1.0 + share, front, out=np.zeros_like(front), where=front > 0)
+                share += before * (edge @ part)
+            share[found[0] > 0] = 0.0  # not of the sources themselves
+            total += share.sum(1)
+        return total
+
     def dependencies(self, s: int) -> np.ndarray:
         """Brandes' sums of one source: for each other vertex, the shares of the shortest paths from ``s`` through it."""
         paths, share, steps = np.zeros(self.n), np.zeros(self.n), []
@@ -135,17 +229,64 @@ class Graph:
             yield whole()
 
 
+def chunks(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(component, m, ids, codes)``: the edges of a component, distinct and without loops, in rows of up to ``CHUNK``; an
+    edge is a code over the row's ids, and codes are packed as differences."""
+    kind = edges.schema["source"].dataType.simpleString()
+    name = labels.schema["component"].dataType.simpleString()
+    one = edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).where("source <> target")
+    placed = one.join(labels.select(F.col("v").alias("source"), "component"), "source").select("component", "source", "target")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartition(parts, "component").sortWithinPartitions("component", "source", "target")  # equal edges are neighbours
+
+    def run(batches):
+        key, held, n, last, kinds = None, [], 0, None, []
+
+        def row():
+            nonlocal last
+            source, target = (np.concatenate(h) for h in zip(*held, strict=True))
+            new = np.ones(len(source), bool)
+            new[1:] = (source[1:] != source[:-1]) | (target[1:] != target[:-1])
+            new[0] = last != (key, source[0], target[0])
+            last = key, source[-1], target[-1]
+            source, target = source[new], target[new]
+            if len(source):
+                ids, ends = np.unique(np.concatenate([source, target]), return_inverse=True)
+                codes = squeezed(np.sort(ends[: len(source)] * len(ids) + ends[len(source) :]))
+                yield pa.RecordBatch.from_arrays([pa.array([key], kinds[0]), pa.array([len(source)], pa.int64()), pa.array([ids.tolist()], pa.list_(kinds[1])), pa.array([codes], pa.binary())], ["component", "m", "ids", "codes"])
+
+        for batch in batches:
+            kinds = batch.schema.types
+            comp, source, target = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if not len(comp):
+                continue
+            ends = np.flatnonzero(comp[1:] != comp[:-1]) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(comp)], strict=True):
+                if held and (comp[lo] != key or n >= CHUNK):
+                    yield from row()
+                    held, n = [], 0
+                key, n = comp[lo], n + hi - lo
+                held.append((source[lo:hi].copy(), target[lo:hi].copy()))
+        if held:
+            yield from row()
+
+    return dealt.mapInArrow(run, f"component {name}, m long, ids array<{kind}>, codes binary")
+
+
 def by_component(edges: DataFrame, labels: DataFrame, work: Callable[[Graph, np.ndarray], Iterator[list]], schema: str, passes: float = 1.0) -> DataFrame:
     """Rows of ``work(graph, sources)`` (lists of columns) over all components, each vertex a source once.
 
     ``labels(v, component)`` as ``network.components`` gives them; ``passes`` makes blocks smaller where a source does more
     than to look at each edge once.
     """
-    one = edges.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).where("source <> target").distinct()
-    placed = cut(one.join(labels.select(F.col("v").alias("source"), "component"), "source"))
+    placed = cut(chunks(edges, labels))
     vertices = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("m")).join(vertices, "component")
-    blocks = cut(size.select("component", F.least("n", F.ceil(F.col("n") * 2.0 * F.col("m") * passes / WORK)).cast("int").alias("blocks")))
+    size = placed.groupBy("component").agg(F.sum("m").alias("m")).join(vertices, "component")
+    size = cut(size.select("component", "n", (F.col("n") * 2.0 * F.col("m") * passes).alias("work")))
+    # where there are blocks enough for all cores, they are larger instead of more: each block gets its component's edges
+    whole = size.agg(F.sum("work")).first()[0] or 0.0
+    each = max(WORK, whole / (SHARE * edges.sparkSession.sparkContext.defaultParallelism))
+    blocks = cut(size.select("component", F.least("n", F.ceil(F.col("work") / each)).cast("int").alias("blocks")))
     tasks = int(blocks.agg(F.sum("blocks")).first()[0] or 1)
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -160,20 +301,17 @@ def by_component(edges: DataFrame, labels: DataFrame, work: Callable[[Graph, np.
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
         for batch in batches:
-            comp, block, parts, source, target = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(comp):
-                continue
-            ends = np.flatnonzero((comp[1:] != comp[:-1]) | (block[1:] != block[:-1])) + 1
-            for lo, hi in zip([0, *ends], [*ends, len(comp)], strict=True):
-                now = (comp[lo], int(block[lo]), int(parts[lo]))
+            for comp, block, parts, ids, codes in zip(*batch.columns, strict=True):
+                now = (comp.as_py(), block.as_py(), parts.as_py())
                 if key is not None and now != key:
                     yield from done()
                     held = []
                 key = now
-                held.append((source[lo:hi].copy(), target[lo:hi].copy()))
+                ids, codes = ids.values.to_numpy(zero_copy_only=False), unsqueezed(codes.as_py())
+                held.append((ids[codes // len(ids)], ids[codes % len(ids)]))
         if held:
             yield from done()
 
-    sent = placed.join(blocks, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", "source", "target")
+    sent = placed.join(blocks, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "blocks", "ids", "codes")
     dealt = sent.repartition(min(max(tasks, 1), 2000), "component", "block").sortWithinPartitions("component", "block")
     return dealt.mapInArrow(run, schema)
