@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import alphabet, scoring
 from ..plans.iterate import cut, discard
-from . import sieve
+from . import containment, sieve
 
 
 def reads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,11 +221,8 @@ def irreducible(edges: DataFrame) -> DataFrame:
 
 
 def contained(seqs: DataFrame, k: int) -> DataFrame:
-    """``rid`` of sequences that lie inside a different sequence; equal ones are kept.  Candidates share a first k-mer."""
-    head = seqs.where(F.length("seq") >= k).select(F.col("rid").alias("inner"), F.col("seq").alias("iseq"), F.left("seq", F.lit(k)).alias("kmer"))
-    hosts = kmers(seqs, k).select("rid", "kmer").distinct()
-    pairs = head.join(hosts, "kmer").where("inner <> rid").join(seqs.select("rid", "seq"), "rid")
-    return pairs.where((F.length("seq") > F.length("iseq")) & F.contains("seq", F.col("iseq"))).select(F.col("inner").alias("rid")).distinct()
+    """``rid`` of sequences that lie inside a different sequence; equal ones are kept, those shorter than k left out."""
+    return containment.contained(seqs, k)
 
 
 def map_reads(seqs: DataFrame, contigs: DataFrame, k: int, errors: int, portion: float = 1.0) -> DataFrame:
